@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import sharding, simhash
+from corpusmill.llm import langid, sharding, simhash, toxicity
 from corpusmill.session import table
 
 
+def op1_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op2(table(spark, sf_dir, "documents"))
 
@@ -18,5 +22,9 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_jump_sharding, op3_golay_simhash)}
+def op7_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op7(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cnn_toxicity, op2_jump_sharding, op3_golay_simhash, op7_naive_bayes_language)}
 SQL: dict[str, str] = {}
