@@ -28,6 +28,8 @@ BITS = 4
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Keys with more fingerprints than this are compared in pairs of blocks, each pair a unit of its own.
 BLOCK = 4096
+#: The table of such keys is broadcast up to so many rows of 12 bytes, and joined by shuffle beyond.
+MOST_BROADCAST = 200_000
 LOWER = bytes(byte_table(lambda b: True).tolist())
 _golay: list[np.ndarray] = []
 
@@ -199,16 +201,15 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows].view(np.int64))], ["key", "fp"])
 
     keys = prints.select("fp").mapInArrow(keyed, "key long, fp long")
-    count = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own)))
-    units = (
-        keys.join(count, "key")
-        .withColumn("blocks", blocks)
-        .select("key", "fp", F.explode(pairs).alias("pair"))
-        .select(F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("unit"), "fp")
-    )
+    hot = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    n = hot.count()
+    units = keys.withColumnRenamed("key", "unit")
+    if n:
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))
+        marked = keys.join(F.broadcast(hot) if n <= MOST_BROADCAST else hot, "key", "left")
+        split = marked.where("blocks is not null").select("key", "fp", F.explode(pairs).alias("pair"))
+        units = marked.where("blocks is null").select(F.col("key").alias("unit"), "fp").unionByName(split.select(F.xxhash64("key", "pair").alias("unit"), "fp"))
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify, "src long, dst long").distinct()
 
 
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = distinct.join(component, distinct.fp == component.node).select("fp", "first", "component")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     moved = linked.join(least, "component").where("first <> least").select(F.col("fp").alias("own"), "least")
-    heads = distinct.join(moved, distinct.fp == moved.own, "left").select("fp", F.coalesce("least", "first").alias("head"))
+    heads = cut_lineage(distinct.join(moved, distinct.fp == moved.own, "left").select("fp", F.coalesce("least", "first").alias("head")))
     return prints.join(heads, "fp").select("id", "uid", "fp", F.col("head.id").alias("component_id"), F.col("head.uid").alias("keeper"))
 
 
