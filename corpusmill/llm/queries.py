@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import langid, sharding, simhash, toxicity
+from corpusmill.llm import bpe, decontaminate, langid, sharding, simhash, toxicity
 from corpusmill.session import table
 
 
@@ -22,9 +22,17 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(table(spark, sf_dir, "documents"))
 
 
+def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op5(table(spark, sf_dir, "documents"))
+
+
 def op7_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op7(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cnn_toxicity, op2_jump_sharding, op3_golay_simhash, op7_naive_bayes_language)}
+def op9_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cnn_toxicity, op2_jump_sharding, op3_golay_simhash, op5_chunk_bpe, op7_naive_bayes_language, op9_aho_corasick_decontamination)}
 SQL: dict[str, str] = {}
