@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, decontaminate, langid, lattice_lm, sharding, simhash, toxicity
+from corpusmill.llm import ann, bpe, decontaminate, langid, lattice_lm, sharding, simhash, toxicity
 from corpusmill.session import table
 
 
@@ -30,6 +30,10 @@ def op7_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op8(table(spark, sf_dir, "embeddings"))
+
+
 def op9_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,5 +42,5 @@ def op10_subword_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cnn_toxicity, op2_jump_sharding, op3_golay_simhash, op5_chunk_bpe, op7_naive_bayes_language, op9_aho_corasick_decontamination, op10_subword_lattice_score)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cnn_toxicity, op2_jump_sharding, op3_golay_simhash, op5_chunk_bpe, op7_naive_bayes_language, op8_multiprobe_neighbours, op9_aho_corasick_decontamination, op10_subword_lattice_score)}
 SQL: dict[str, str] = {}
