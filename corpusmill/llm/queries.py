@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import ann, bpe, decontaminate, langid, lattice_lm, sharding, simhash, toxicity
+from corpusmill.llm import ann, bpe, decontaminate, html_wrapper, langid, lattice_lm, sharding, simhash, toxicity, warc_revisit
 from corpusmill.session import table
 
 
@@ -22,10 +22,18 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisit.op4(table(spark, sf_dir, "pages"))
+
+
 def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.op6(table(spark, sf_dir, "pages"))
+
+
 def op7_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op7(table(spark, sf_dir, "documents"))
 
@@ -42,5 +50,5 @@ def op10_subword_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cnn_toxicity, op2_jump_sharding, op3_golay_simhash, op5_chunk_bpe, op7_naive_bayes_language, op8_multiprobe_neighbours, op9_aho_corasick_decontamination, op10_subword_lattice_score)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cnn_toxicity, op2_jump_sharding, op3_golay_simhash, op4_warc_revisits, op5_chunk_bpe, op6_wrapper_main_text, op7_naive_bayes_language, op8_multiprobe_neighbours, op9_aho_corasick_decontamination, op10_subword_lattice_score)}
+SQL: dict[str, str] = {"op4_warc_revisits": warc_revisit.SQL}
