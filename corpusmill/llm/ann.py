@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of TABLES tables has PROBES_ON Gaussian (2-stable) projections of the unit vectors, each cut into cells of
-a fixed width; a vector's cells name its bucket. For a query, the chance that a neighbour at the design
+Each of TABLES tables has PROJECTIONS Gaussian (2-stable) projections of the unit vectors, each cut into cells
+one standard deviation wide; a vector's cells name its bucket. For a query, the chance that a neighbour at the design
 similarity lies in a bucket is the product, over projections, of a normal's mass in each cell, the normal
-being centred where the query's own projection is shrunk to. Perturbed buckets are visited in the order
-of that chance until a table's share of success is reached; candidates of all tables are merged and
+being centred where the query's own projection is shrunk to. Perturbed buckets, empty ones included, are
+gone through in the order of that chance until they hold a set share of it; candidates of all tables are merged and
 ranked by the exact cosine of the original vectors.
 """
 
@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import cut_lineage
 
-TABLES, PROJECTIONS = 2, 8
-#: Cell edges in standard deviations of a projection; the outer cells are open, so a table has at most 4^8 buckets.
-EDGES = np.array([-0.9, 0.0, 0.9])
+TABLES, PROJECTIONS = 2, 9
+#: Cell edges in standard deviations of a projection; the outer cells are open, so a table has at most 3^9 buckets.
+EDGES = np.array([-0.5, 0.5])
 CELLS = len(EDGES) + 1
-#: Each table's buckets are visited until they hold this much of a neighbour's chance.
-SUCCESS = 0.85
-#: The design similarity is taken from this many vectors at most.
+#: Each table's buckets are gone through until they hold this much of a neighbour's chance.
+SUCCESS = 0.8
+#: The design similarity, at which nine of ten vectors have their k-th neighbour or nearer, is taken from this many vectors at most.
 SAMPLE = 2000
 #: A unit of work holds about so many vectors, and meets packs of so many queries.
 UNIT, PACK = 16_384, 256
@@ -53,18 +53,20 @@ def probes(unit: np.ndarray, a: np.ndarray, similarity: float, occupied: list[np
     """For each query and table, positions among the table's occupied buckets, in order of estimated success, as far as SUCCESS."""
     spread = math.sqrt(max(1 - similarity**2, 1e-6))
     centre = np.einsum("nd,tpd->ntp", unit, a) * similarity
-    upper = _cdf((np.append(EDGES, np.inf)[:CELLS] - centre[..., None]) / spread)
-    mass = np.diff(np.concatenate([np.zeros((*centre.shape, 1)), upper], axis=-1), axis=-1)
-    log = np.log(np.maximum(mass, 1e-12))
+    upper = _cdf((np.append(EDGES, np.inf) - centre[..., None]) / spread)
+    mass = np.maximum(np.diff(np.concatenate([np.zeros((*centre.shape, 1)), upper], axis=-1), axis=-1), 1e-9)
     out = []
-    digits = [b[:, None] // CELLS ** np.arange(PROJECTIONS) % CELLS for b in occupied]
     for i in range(len(unit)):
         own = []
         for t in range(TABLES):
-            chance = np.exp(log[i, t, np.arange(PROJECTIONS), digits[t]].sum(axis=1))
-            order = np.argsort(-chance, kind="stable")
-            total = np.cumsum(chance[order])
-            own.append(order[: np.searchsorted(total, SUCCESS) + 1])
+            every = np.ones(1)
+            for p in range(PROJECTIONS - 1, -1, -1):  # the chance of every bucket of the table, by its number
+                every = (every[:, None] * mass[i, t, p][None, :]).ravel()
+            order = np.sort(every)[::-1]
+            least = order[min(np.searchsorted(np.cumsum(order), SUCCESS * every.sum()), len(order) - 1)]
+            chance = every[occupied[t]]
+            visit = np.flatnonzero(chance >= least)
+            own.append(visit[np.argsort(-chance[visit], kind="stable")])
         out.append(own)
     return out
 
@@ -112,7 +114,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     near = sample @ sample.T
     np.fill_diagonal(near, -1)
     kth = np.sort(near, axis=1)[:, -min(k, len(sample))]
-    similarity = float(np.clip(np.quantile(kth, 0.25), 0.05, 0.95))
+    similarity = float(np.clip(np.quantile(kth, 0.1), 0.05, 0.95))
     a = directions(dim)
 
     def place(batches):
