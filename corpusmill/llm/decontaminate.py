@@ -78,9 +78,11 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RANGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-FOUND = [T.StructField("n_words", T.LongType()), T.StructField("words_hit", RANGE), T.StructField("spans", RANGE), T.StructField("items", T.ArrayType(T.StringType()))]
-ARROW_RANGE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+# a run of hit words: its first word and the word after it, and where those begin and end in the text
+PLACES = ("start", "end", "first", "last")
+RANGE = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in PLACES]))
+FOUND = [T.StructField("n_words", T.LongType()), T.StructField("words_hit", RANGE), T.StructField("items", T.ArrayType(T.StringType()))]
+ARROW_RANGE = pa.list_(pa.struct([(n, pa.int64()) for n in PLACES]))
 
 
 def _scan(docs: DataFrame, text_col: str, items: list[tuple[str, str | None]]) -> DataFrame:
@@ -90,21 +92,17 @@ def _scan(docs: DataFrame, text_col: str, items: list[tuple[str, str | None]]) -
     def run(batches):
         matcher = Matcher(sent.value)
         for b in batches:
-            n, hit, spans, names = [], [], [], []
+            n, hit, names = [], [], []
             for text in b.column(at).cast(pa.large_binary()):
                 raw = text.as_py() or b""
                 words = words_of(raw)
                 ranges, own = matcher.find(words)
                 ranges = merge(ranges)
-                place = []
-                if ranges:  # where those words are in the text as it was, in characters
-                    where = [m.span() for m in WORD.finditer(raw)]
-                    place = [(len(raw[: where[a][0]].decode()), len(raw[: where[z - 1][1]].decode())) for a, z in ranges]
+                where = [m.span() for m in WORD.finditer(raw)] if ranges else []  # those words in the text as it was
                 n.append(len(words))
-                hit.append([{"start": a, "end": z} for a, z in ranges])
-                spans.append([{"start": a, "end": z} for a, z in place])
+                hit.append([dict(zip(PLACES, (a, z, len(raw[: where[a][0]].decode()), len(raw[: where[z - 1][1]].decode())), strict=True)) for a, z in ranges])
                 names.append(sorted(own))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(hit, ARROW_RANGE), pa.array(spans, ARROW_RANGE), pa.array(names, pa.list_(pa.string()))], [*b.schema.names, "n_words", "words_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(hit, ARROW_RANGE), pa.array(names, pa.list_(pa.string()))], [*b.schema.names, "n_words", "words_hit", "items"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND]))
 
@@ -130,26 +128,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         rows = docs.select(F.monotonically_increasing_id().alias("_row"), text_col)
         hits = None
         for k in range(parts):
-            x = _scan(rows, text_col, own(k)).where(F.size("items") > 0).select("_row", "words_hit", "spans", "items")
+            x = _scan(rows, text_col, own(k)).where(F.size("items") > 0).select("_row", "words_hit", "items")
             hits = x if hits is None else hits.unionByName(x)
         hits = cut_lineage(hits)
         union = lambda c: F.flatten(F.collect_list(c))
-        hits = hits.groupBy("_row").agg(_merged(union("words_hit")).alias("words_hit"), _merged(union("spans")).alias("spans"), F.array_sort(F.array_distinct(union("items"))).alias("items"))
-        base = _scan(docs.withColumn("_row", F.monotonically_increasing_id()), text_col, []).drop("words_hit", "spans", "items")
+        hits = hits.groupBy("_row").agg(_merged(union("words_hit")).alias("words_hit"), F.array_sort(F.array_distinct(union("items"))).alias("items"))
+        base = _scan(docs.withColumn("_row", F.monotonically_increasing_id()), text_col, []).drop("words_hit", "items")
         empty = F.array()
-        found = base.join(hits, "_row", "left").drop("_row").withColumns({c: F.coalesce(c, empty.cast(RANGE)) for c in ("words_hit", "spans")} | {"items": F.coalesce("items", empty.cast("array<string>"))})
+        found = base.join(hits, "_row", "left").drop("_row").withColumns({"words_hit": F.coalesce("words_hit", empty.cast(RANGE)), "items": F.coalesce("items", empty.cast("array<string>"))})
     hit = F.aggregate("words_hit", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return found.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long")}).withColumn("contaminated", F.col("n_hit") > 0).drop("words_hit")
+    spans = F.transform("words_hit", lambda x: F.struct(x["first"].alias("start"), x["last"].alias("end")))
+    return found.withColumns({"n_hit": hit, "spans": spans, "n_items": F.size("items").cast("long")}).withColumn("contaminated", F.col("n_hit") > 0).drop("words_hit")
 
 
 def _merged(ranges):
-    """Overlapping and touching ranges put together, in order."""
+    """Overlapping and touching runs of words put together, in order."""
     start = F.array_sort(ranges)
     none = F.array().cast(RANGE)
 
     def step(done, x):
         last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))))
         return F.when((F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]), joined).otherwise(F.concat(done, F.array(x)))
 
     return F.aggregate(start, none, step)
