@@ -58,9 +58,11 @@ def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge = start + np.arange(len(at))
     keep = padded != 32
     keep[1:] |= padded[:-1] != 32
-    last = edge[1:] - 1
-    keep[last[padded[last] == 32]] = False  # a text that ends in spaces ends with its neighbour's
     keep[edge] = True
+    kept, ends = np.flatnonzero(keep), np.zeros(len(padded), bool)
+    ends[edge] = True
+    last = kept[:-1][(padded[kept[:-1]] == 32) & ~ends[kept[:-1]] & ends[kept[1:]]]
+    keep[last] = False  # a text that ends in spaces ends with its neighbour's
     place = np.zeros(len(padded) + 1, np.int64)
     np.cumsum(keep, out=place[1:])
     return padded[keep], place[edge], letters
