@@ -223,8 +223,7 @@ def doc_lines(docs: DataFrame) -> DataFrame:
 def doc_refs(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol, path, line): lines with the symbol in backticks, or, ignoring case, in a heading.
 
-    Lines that can match at all are cut to their words first, so the symbols meet them by equality of the text's
-    parts where possible and are broadcast otherwise.
+    The symbols asked for are few; only lines with a backtick or a heading meet them.
     """
     lines = doc_lines(docs).where(F.col("line_text").rlike("`|^#"))
     quoted = F.concat(F.lit("`[^`]*\\Q"), F.col("symbol"), F.lit("\\E[^`]*`"))

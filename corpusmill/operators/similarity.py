@@ -96,6 +96,48 @@ def top_k(scores: DataFrame, by: str, item: str, k: int, threshold: float | None
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), item))).where(F.col("rank") <= k)
 
 
+def exact_neighbours(vectors: DataFrame, queries: Column, k: int, id_col: str, vector: str, threshold: float = -1.0) -> DataFrame:
+    """(query_id, vec_id, rank, score): the k best of all other rows for each row that `queries` selects.
+
+    Queries are gone through in blocks of BLOCK; a block is one matrix of known size, sent to every task,
+    which keeps the k best of its own rows for each query.
+    """
+    from pyspark.sql import functions as fn
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and id is not null")
+    asked = vectors.where(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and id is not null")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    met = None
+    for i in range(blocks):
+        own = asked.where(fn.pmod(fn.xxhash64("id"), fn.lit(blocks)) == i).toArrow()
+        ids = np.array(own["id"].to_pylist(), np.int64)
+        q = np.array(own["v"].to_pylist(), np.float64)
+        sent = rows.sparkSession.sparkContext.broadcast((ids, q / np.sqrt((q * q).sum(axis=1))[:, None] if len(q) else q))
+
+        def run(batches, sent=sent):
+            ids, q = sent.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                x = np.array(b.column(1).to_pylist(), np.float64)
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                own = b.column(0).to_numpy()
+                for a in range(0, len(ids), 256):
+                    s = q[a : a + 256] @ x.T
+                    s[ids[a : a + 256, None] == own[None, :]] = -2
+                    r, c = np.nonzero(s >= max(threshold, -1.5) - 1e-9)
+                    exact = (q[a : a + 256][r] * x[c]).sum(axis=1)
+                    order = np.lexsort((own[c], -exact, r))
+                    r, c, exact = r[order], c[order], exact[order]
+                    place = np.arange(len(r)) - np.searchsorted(r, r)
+                    keep = (place < k) & (exact >= threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 256][r[keep]]), pa.array(own[c[keep]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
+
+        one = rows.mapInArrow(run, "query_id long, vec_id long, score double")
+        met = one if met is None else met.unionByName(one)
+    return top_k(met, "query_id", "vec_id", k).select("query_id", "vec_id", "rank", "score")
+
+
 def is_trivial_accessor(name: Column, first_line: Column) -> Column:
     return first_line.rlike(ACCESSOR_DOC) | (name.isin(ACCESSOR_NAMES) & (F.char_length(first_line) < 2 * MIN_DOC))
 

@@ -97,10 +97,10 @@ def scenario_named_like_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("tier <> 'unit'").join(m, "name", "left_semi").select("name", "tier")
 
 
-@query("""WITH c AS (SELECT o_orderpriority AS rule_id, o_totalprice > 1000 AS passed, CAST(floor(o_totalprice / 6000) AS INTEGER) AS score FROM orders WHERE o_orderkey < 400)
+@query("""WITH c AS (SELECT o_orderpriority AS rule_id, o_totalprice > 1000 AS passed, CAST(floor(o_totalprice / 6000) AS INTEGER) AS score FROM orders)
 SELECT rule_id, score, count(*) AS n FROM c WHERE passed AND score < 100 GROUP BY 1, 2""")
 def improvable_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "orders").where("o_orderkey < 400").select(F.col("o_orderpriority").alias("rule_id"), (F.col("o_totalprice") > 1000).alias("passed"), F.floor(F.col("o_totalprice") / 6000).cast("int").alias("score"))
+    c = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("rule_id"), (F.col("o_totalprice") > 1000).alias("passed"), F.floor(F.col("o_totalprice") / 6000).cast("int").alias("score"))
     return c.where("passed and score < 100").groupBy("rule_id", "score").agg(F.count("*").alias("n"))
 
 

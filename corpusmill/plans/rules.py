@@ -166,7 +166,7 @@ def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     path = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "events").where("event_id < 40").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("repo"), F.lit("abc").alias("sha"), F.lit("main").alias("branch"), F.lit("audit").alias("kind"), F.col("value").alias("score"), S.grade(F.col("value")).alias("grade"))
+    rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col("event_type").alias("repo"), F.lit("abc").alias("sha"), F.lit("main").alias("branch"), F.lit("audit").alias("kind"), F.col("value").alias("score"), S.grade(F.col("value")).alias("grade"))
     append_history(rows.where("score < 50"), path)
     append_history(rows.where("score >= 50"), path)
     latest = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("ts"), "score"))

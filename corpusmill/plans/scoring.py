@@ -37,7 +37,7 @@ def diff_size_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FINDINGS = """SELECT l_suppkey AS package, CASE l_linenumber % 3 WHEN 0 THEN 'QUALITY_SECURITY' WHEN 1 THEN 'ARCH_COUPLING' ELSE 'TEST_QUALITY_FILE_NAMING' END AS rule_id,
- CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity FROM lineitem WHERE l_suppkey = 7 AND l_quantity < 4"""
+ CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity FROM lineitem WHERE l_quantity = 1 AND l_tax = 0.08 AND l_discount = 0.1"""
 
 
 @query(f"""
@@ -48,7 +48,7 @@ p AS (SELECT rule_id, count(*) AS n, sum(CASE WHEN rule_id = 'QUALITY_SECURITY'
 s AS (SELECT r.rule_id, coalesce(n, 0) AS n, CAST(greatest(0, 100 - coalesce(lost, 0)) AS INTEGER) AS score FROM r LEFT JOIN p USING (rule_id))
 SELECT rule_id, n, score, score >= CASE rule_id WHEN 'QUALITY_LINT' THEN 100 ELSE 90 END AS passed FROM s""")
 def rule_scores_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey = 7 and l_quantity < 4")
+    lines = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") == 1) & (F.col("l_tax") == 0.08) & (F.col("l_discount") == 0.1))
     kind = F.col("l_linenumber") % 3
     found = lines.select(
         F.when(kind == 0, "QUALITY_SECURITY").when(kind == 1, "ARCH_COUPLING").otherwise("TEST_QUALITY_FILE_NAMING").alias("rule_id"),
@@ -106,24 +106,24 @@ def earned_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT l_partkey AS rule_id, l_returnflag <> 'R' AS passed, CASE l_linestatus WHEN 'O' THEN 0 ELSE 2 END AS sev,
-  CASE WHEN l_quantity < 5 THEN NULL ELSE CAST(l_quantity AS INTEGER) END AS score, l_orderkey * 10000000000 + l_suppkey * 100000 + l_linenumber * 1000 + CAST(l_quantity AS BIGINT) AS ordinal FROM lineitem WHERE l_partkey < 400)
+  CASE WHEN l_quantity < 5 THEN NULL ELSE CAST(l_quantity AS INTEGER) END AS score, l_orderkey, l_linenumber, l_suppkey, l_extendedprice FROM lineitem)
 SELECT rule_id, bool_and(passed) AS passed, CASE max(sev) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' ELSE 'error' END AS severity, min(score) AS score,
-  arg_min('m' || CAST(score AS VARCHAR), ordinal) AS message,
-  coalesce(string_agg(CASE WHEN score > 40 THEN 't' || CAST(score AS VARCHAR) END, chr(10) ORDER BY ordinal, score), '') AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY ordinal) AS k FROM c) WHERE k = 1 AND score IS NOT NULL GROUP BY 1""")
+  first('m' || CAST(score AS VARCHAR) ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS message,
+  coalesce(string_agg(CASE WHEN score > 40 THEN 't' || CAST(score AS VARCHAR) END, chr(10) ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice), '') AS text
+FROM c WHERE score IS NOT NULL GROUP BY 1""")
 def worst_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey < 400")
+    lines = table(spark, sf_dir, "lineitem")
     score = F.when(F.col("l_quantity") < 5, None).otherwise(F.col("l_quantity").cast("int"))
     c = lines.select(
         F.col("l_partkey").alias("rule_id"),
         (F.col("l_returnflag") != "R").alias("passed"),
         F.when(F.col("l_linestatus") == "O", "info").otherwise("error").alias("severity"),
         score.alias("score"),
-        (F.col("l_orderkey") * 10000000000 + F.col("l_suppkey") * 100000 + F.col("l_linenumber") * 1000 + F.col("l_quantity").cast("long")).alias("ordinal"),
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("ordinal"),
         F.concat(F.lit("m"), score.cast("string")).alias("message"),
         F.when(score > 40, F.concat(F.lit("t"), score.cast("string"))).alias("text"),
     )
-    return S.worst_of(c.where("score is not null").dropDuplicates(["ordinal"]), ["rule_id"])
+    return S.worst_of(c.where("score is not null"), ["rule_id"])
 
 
 COMMITS = "SELECT DISTINCT l_orderkey AS commit_id, l_suppkey AS file FROM lineitem"

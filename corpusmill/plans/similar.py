@@ -26,11 +26,10 @@ def cosine_cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {VECTORS}, s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.3) SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated queries against every vector."""
+    """Stated queries against every vector, in blocks of queries."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = q.join(v.select("vec_id", "embedding"), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", M.cosine(F.col("q"), F.col("embedding")).alias("score"))
-    return M.top_k(scored, "query_id", "vec_id", 10, 0.3).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    found = M.exact_neighbours(v, F.col("vec_id") % 100 == 0, 10, "vec_id", "embedding", 0.3)
+    return found.withColumn("score", F.round("score", 6))
 
 
 COMPONENTS = f"""WITH RECURSIVE {PAIRS}, e AS (SELECT i AS a, j AS b FROM p UNION SELECT j, i FROM p),
@@ -61,14 +60,13 @@ def cluster_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WAIVERS = [("000000000000", "gone"), ("ffffffffffff", " "), ("xyz", "short")]
 
 
-@query(f"""WITH {values('w', ['hash', 'reason'], WAIVERS)},
-h AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) AS hash, 'kept' AS reason FROM documents WHERE doc_id < 5 UNION ALL SELECT * FROM w),
-d AS (SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) AS cluster_hash FROM documents WHERE doc_id < 10)
+@query(f"""WITH {values('w', ['hash', 'reason'], WAIVERS)}, d AS (SELECT DISTINCT substr(sha256(source), 1, 12) AS cluster_hash, source FROM documents),
+h AS (SELECT cluster_hash AS hash, 'kept' AS reason FROM d WHERE source LIKE 'src1%' UNION ALL SELECT * FROM w)
 SELECT cluster_hash AS hash, CASE WHEN cluster_hash IN (SELECT hash FROM h) THEN 'acknowledged' ELSE 'open' END AS state FROM d
 UNION ALL SELECT hash, 'stale' FROM h WHERE hash NOT IN (SELECT cluster_hash FROM d)""")
 def waivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id < 10").select(F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 12).alias("cluster_hash"), "doc_id")
-    h = d.where("doc_id < 5").select(F.col("cluster_hash").alias("hash"), F.lit("kept").alias("reason")).unionByName(spark.createDataFrame(WAIVERS, "hash string, reason string"))
+    d = table(spark, sf_dir, "documents").select("source").distinct().select(F.substring(F.sha2(F.col("source").cast("binary"), 256), 1, 12).alias("cluster_hash"), "source")
+    h = d.where("source like 'src1%'").select(F.col("cluster_hash").alias("hash"), F.lit("kept").alias("reason")).unionByName(spark.createDataFrame(WAIVERS, "hash string, reason string"))
     marked = M.mark_waived(d, h).select(F.col("cluster_hash").alias("hash"), F.when(F.col("acknowledged"), "acknowledged").otherwise("open").alias("state"))
     return marked.unionByName(M.stale_waivers(d, h).select("hash", F.lit("stale").alias("state")))
 

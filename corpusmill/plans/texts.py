@@ -259,22 +259,22 @@ def overlap_next_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("event_id", F.coalesce(F.col("first") <= F.lag("last").over(w), no).alias("overlaps_previous"), F.coalesce(F.col("first") <= F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), no).alias("overlaps_any"))
 
 
-@query("""WITH h AS (SELECT o_orderkey AS hint FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT event_id AS line FROM events WHERE event_type = 'purchase'),
+@query("""WITH h AS (SELECT o_orderkey AS hint FROM orders), c AS (SELECT event_id AS line FROM events WHERE event_type = 'purchase'),
 r AS (SELECT hint, line, row_number() OVER (PARTITION BY hint ORDER BY abs(line - hint), line) AS k FROM h JOIN c ON line BETWEEN hint - 5 AND hint + 5) SELECT hint, line FROM r WHERE k = 1""")
 def nearest_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest candidate within five of each hint, the earlier of two: the window is unrolled to keys of an equi join."""
-    hints = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("hint"), F.explode(F.sequence(F.col("o_orderkey") - 5, F.col("o_orderkey") + 5)).alias("line"))
+    hints = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hint"), F.explode(F.sequence(F.col("o_orderkey") - 5, F.col("o_orderkey") + 5)).alias("line"))
     near = hints.join(table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("line")), "line")
     return near.groupBy("hint").agg(F.min_by("line", F.struct(F.abs(F.col("line") - F.col("hint")), "line")).alias("line"))
 
 
-@query("""WITH t AS (SELECT source AS file, doc_id AS test, unnest(string_split(lower(substr(text, 1, 200)), ' ')) AS sym FROM documents), c AS (SELECT file, test, sym, count(*) AS n FROM t WHERE regexp_full_match(sym, '[a-z]+') GROUP BY 1, 2, 3),
+@query("""WITH t AS (SELECT source AS file, doc_id AS test, unnest(string_split(lower(text), ' ')) AS sym FROM documents), c AS (SELECT file, test, sym, count(*) AS n FROM t WHERE regexp_full_match(sym, '[a-z]+') GROUP BY 1, 2, 3),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, test ORDER BY n DESC, sym) AS k FROM c) WHERE k <= 2),
 f AS (SELECT file, sym, count(*) AS n FROM p GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, sym) AS k FROM f)
 SELECT file, 'test_' || string_agg(sym, '_' ORDER BY k) AS canonical FROM g WHERE k <= 2 GROUP BY 1""")
 def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file's name from its tests: two leading symbols of each, then the two that lead most often."""
-    t = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("test"), F.explode(F.split(F.lower(F.substring("text", 1, 200)), " ")).alias("sym"))
+    t = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("test"), F.explode(F.split(F.lower("text"), " ")).alias("sym"))
     c = t.where(F.col("sym").rlike("^[a-z]+$")).groupBy("file", "test", "sym").agg(F.count("*").alias("n"))
     top = lambda d, *by: d.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "sym"))).where("k <= 2")
     g = top(top(c, "file", "test").groupBy("file", "sym").agg(F.count("*").alias("n")), "file")
@@ -338,18 +338,19 @@ def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_name").alias("name"), entry.alias("entry")).where(F.contains("entry", F.lit("brand#2"))).orderBy("name", "entry").limit(20)
 
 
-@query("SELECT part, CAST(min(k) AS INTEGER) AS first FROM (SELECT unnest(string_split(string_agg(p_name, ' ' ORDER BY p_partkey), ' ')) AS part, generate_subscripts(string_split(string_agg(p_name, ' ' ORDER BY p_partkey), ' '), 1) AS k FROM part WHERE p_partkey < 200) GROUP BY 1")
+@query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS part, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY p_partkey, i) AS k FROM w) SELECT part, p_partkey AS first_row, CAST(i AS INTEGER) AS first_place FROM r WHERE k = 1""")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of part names by where they are first seen."""
-    w = Window.orderBy("p_partkey", "i")
-    words = table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "part")).withColumn("k", F.row_number().over(w))
-    return words.groupBy("part").agg(F.min("k").alias("first"))
+    """Words of part names with where they are first seen."""
+    words = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "part"))
+    first = words.groupBy("part").agg(F.min(F.struct("p_partkey", (F.col("i") + 1).alias("i"))).alias("x"))
+    return first.select("part", F.col("x.p_partkey").alias("first_row"), F.col("x.i").alias("first_place"))
 
 
-@query("""SELECT a.doc_id AS a, b.doc_id AS b, len(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) <= 2 AS nearly_inside FROM (SELECT doc_id, list_distinct(string_split(substr(text, 1, 80), ' ')) AS w FROM documents WHERE doc_id < 20) a JOIN (SELECT doc_id, list_distinct(string_split(substr(text, 1, 80), ' ')) AS w FROM documents WHERE doc_id < 20) b ON b.doc_id = a.doc_id + 1""")
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)
+SELECT a.doc_id AS a, a.doc_id + 1 AS b, count_if(b.w IS NULL) <= 20 AS nearly_inside FROM w a JOIN (SELECT DISTINCT doc_id FROM documents) n ON n.doc_id = a.doc_id + 1 LEFT JOIN w b ON b.doc_id = a.doc_id + 1 AND b.w = a.w GROUP BY 1""")
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id < 20").select("doc_id", F.array_distinct(F.split(F.substring("text", 1, 80), " ")).alias("w"))
+    """Whether all but a few words of a document stand in the next one too."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("w"))
     b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    return d.join(b, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), (F.size(F.array_except("w", "v")) <= 2).alias("nearly_inside"))
-
-
+    return d.join(b, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), (F.size(F.array_except("w", "v")) <= 20).alias("nearly_inside"))
