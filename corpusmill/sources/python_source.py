@@ -1,12 +1,13 @@
 """Python source files as fact tables: modules, functions, classes, variables, imports, calls, references, definitions.
 
-Files are read whole by Spark and parsed with the standard library in mapInPandas, one row a file; the views below
+Files are listed on the driver, read whole by the executors and parsed with the standard library in mapInPandas, one row a file; the views below
 are projections of that nested row. A file that does not parse gives a row with an error and no facts.
 """
 
 from __future__ import annotations
 
 import ast
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -159,17 +160,41 @@ def parse(path: str, source: str, module: str) -> dict:
     return out | {"calls": walk.calls, "definitions": walk.definitions, "refs": sorted(walk.refs)}
 
 
-def read_files(spark: SparkSession, root: str, suffix: str = "*.py") -> DataFrame:
-    """(path, text) of files below root, without environment and cache folders; path is relative to root."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(root)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
-    return files.select(path.alias("path"), F.col("value").alias("text")).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_SEGMENTS))))
+def _tree(root: str, suffix: str) -> list[tuple[str, object]]:
+    """(path, file info) below root, in order, without environment and cache folders.
 
+    Spark's own listing leaves out names that begin with an underscore, and with them every __init__.py.
+    """
+    from pyarrow import fs
 
-def fingerprint(spark: SparkSession, root: str, suffix: str = "*.py") -> DataFrame:
+    system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+    found = system.get_file_info(fs.FileSelector(base, recursive=True))
+    paths = ((i.path[len(base) :].strip("/"), i) for i in found if i.type == fs.FileType.File and i.path.endswith(suffix))
+    return sorted(((p, i) for p, i in paths if not set(p.split("/")) & set(SKIPPED_SEGMENTS)), key=lambda x: x[0])
+
+
+def read_files(spark: SparkSession, root: str, suffix: str = ".py", files_a_task: int = 256) -> DataFrame:
+    """(path, text) of the source files below root, a local or remote folder that every executor can open."""
+    from pyarrow import fs
+
+    paths = [(p,) for p, _ in _tree(root, suffix)]
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                with system.open_input_stream(f"{base}/{p}") as f:
+                    rows.append((p, f.read().decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["path", "text"])
+
+    listed = spark.createDataFrame(paths, "path string").repartition(max(1, -(-len(paths) // files_a_task)))
+    return listed.mapInPandas(load, "path string, text string")
+
+
+def fingerprint(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
     """(path, modified) of every source file: equal tables mean that nothing changed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(root)
-    return files.select("path", F.col("modificationTime").alias("modified"))
+    return spark.createDataFrame([(p, i.mtime_ns) for p, i in _tree(root, suffix)], "path string, modified long")
 
 
 def parse_modules(files: DataFrame) -> DataFrame:
