@@ -62,7 +62,7 @@ def parse_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark)["functions"].select("module", "class_name", "name", "kind", "signature", "line_start", "line_end", "return_type")
 
 
-@query(facts("modules") + "SELECT path, module, error, all_exports, main_guard_line FROM modules_")
+@query(facts("modules") + "SELECT path, module, error, all_exports, main_guard_line FROM modules_", lists=("all_exports",))
 def parse_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark)["modules"].select("path", "module", "error", "all_exports", "main_guard_line")
 
@@ -204,7 +204,7 @@ def search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(F.contains("p_name", F.lit("ring")) & (F.col("p_brand") == "Brand#17") & (F.col("p_size") > 10)).select("p_partkey", "p_name", "p_brand", "p_size")
 
 
-@query("SELECT o_orderkey AS symbol, l_suppkey AS module, l_linenumber AS line, CASE WHEN l_discount > 0.05 THEN 0.5 ELSE 1.0 END AS confidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey AS symbol, l_suppkey AS module, l_linenumber AS line, CASE WHEN l_discount > 0.05 THEN 0.5 ELSE 1.0 END AS confidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'", doubles=("confidence",))
 def callers_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     li = table(spark, sf_dir, "lineitem")
@@ -283,7 +283,7 @@ def grep_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(facts("calls") + """SELECT CASE WHEN NOT contains(f, 'test') THEN 'production' WHEN contains(f, 'cart') THEN 'test_direct' ELSE 'test_indirect' END AS kind, path, list_sort(list(DISTINCT line)) AS lines
-FROM (SELECT *, string_split(path, '/')[-1] AS f FROM calls_ WHERE symbol IN ('total_price', 'discount')) GROUP BY 1, 2""")
+FROM (SELECT *, string_split(path, '/')[-1] AS f FROM calls_ WHERE symbol IN ('total_price', 'discount')) GROUP BY 1, 2""", lists=("lines",))
 def caller_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classify_callers(views(spark)["calls"].where("symbol in ('total_price', 'discount')"), "shop.cart")
 

@@ -74,7 +74,7 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(facts("definitions", "calls").replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT d.name AS src, c.symbol AS dst FROM definitions_ d JOIN calls_ c ON c.module = d.module AND c.pos >= d.first AND c.pos < d.last AND c.symbol <> d.name),
 r(node, depth, chain) AS (SELECT 'test_total', 0, ['test_total'] UNION ALL SELECT e.dst, r.depth + 1, list_append(r.chain, e.dst) FROM r JOIN e ON e.src = r.node WHERE r.depth < 3),
-m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1) SELECT r.node, r.depth, min(chain) AS chain FROM r JOIN m ON m.node = r.node AND m.depth = r.depth GROUP BY 1, 2""")
+m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1) SELECT r.node, r.depth, min(chain) AS chain FROM r JOIN m ON m.node = r.node AND m.depth = r.depth GROUP BY 1, 2""", lists=("chain",))
 def flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.operators.code import callees
 
@@ -102,7 +102,7 @@ def cycles_with_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cycles(_edges(spark, EDGES))
 
 
-@query("SELECT ['d', 'e', 'f'] AS members UNION ALL SELECT ['h']")
+@query("SELECT ['d', 'e', 'f'] AS members UNION ALL SELECT ['h']", lists=("members",))
 def new_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.new_cycles(_edges(spark, EDGES), _edges(spark, ADDS), _edges(spark, [("g", "g")]))
 

@@ -80,7 +80,7 @@ def workspace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 STACK = [("cli", ["click", "typer"]), ("web", ["flask", "fastapi", "aiohttp"]), ("test", ["pytest"])]
 
 
-@query("SELECT * FROM (VALUES ('cli', ['click-extra']), ('test', ['pytest', 'pytest-cov']), ('web', ['fastapi'])) AS t(category, deps)")
+@query("SELECT * FROM (VALUES ('cli', ['click-extra']), ('test', ['pytest', 'pytest-cov']), ('web', ['fastapi'])) AS t(category, deps)", lists=("deps",))
 def dependency_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first category whose known name equals or begins the dependency."""
     known = spark.createDataFrame([(i, c, n) for i, (c, ns) in enumerate(STACK) for n in ns], "k int, category string, name string")
@@ -106,7 +106,7 @@ def improvable_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(facts("modules", "functions", "classes") + """
 , s AS (SELECT module, name FROM functions_ WHERE class_name IS NULL UNION ALL SELECT module, name FROM classes_), r AS (SELECT module, count(*) * 0.5 AS weight FROM s GROUP BY 1)
-SELECT module, weight FROM r ORDER BY weight DESC, module LIMIT 5""")
+SELECT module, weight FROM r ORDER BY weight DESC, module LIMIT 5""", doubles=("weight",))
 def top_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views(spark)
     s = v["functions"].where("class_name is null").select("module").unionByName(v["classes"].select("module"))

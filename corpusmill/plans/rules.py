@@ -80,7 +80,7 @@ def duplicate_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.test_pairs(R.scan_tests(sources(spark).where("path like 'tests/%'")))
 
 
-@query("SELECT 'tests/test_bad.py::test_size' AS cluster, ['tests/test_bad.py::test_size', 'tests/test_cart.py::test_size', 'tests/test_cart.py::test_size_again'] AS members, 'single' AS signal")
+@query("SELECT 'tests/test_bad.py::test_size' AS cluster, ['tests/test_bad.py::test_size', 'tests/test_cart.py::test_size', 'tests/test_cart.py::test_size_again'] AS members, 'single' AS signal", lists=("members",))
 def merged_test_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters that share a test are one."""
     from corpusmill.operators.graph import connected_components

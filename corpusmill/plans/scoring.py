@@ -19,7 +19,7 @@ s AS (SELECT *, greatest(0, 100 - n * 2) AS score FROM n)
 SELECT supplier, n, CAST(score AS INTEGER) AS score,
   CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS audit_grade,
   CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS governance_grade
-FROM s""")
+FROM s""", longs=("n",))
 def penalty_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     n = lines.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).alias("n"))
@@ -97,7 +97,7 @@ def score_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT o_orderpriority AS category, o_orderstatus <> 'P' AND o_totalprice > 50000 AS passed, CAST(o_orderkey % 4 + 1 AS INTEGER) AS weight FROM orders)
 SELECT category, sum(CASE WHEN passed THEN weight ELSE 0 END) AS earned, sum(weight) AS total,
-  CAST(round_even(sum(CASE WHEN passed THEN weight ELSE 0 END) * 100 / sum(weight), 0) AS INTEGER) AS score FROM c GROUP BY 1""")
+  CAST(round_even(sum(CASE WHEN passed THEN weight ELSE 0 END) * 100 / sum(weight), 0) AS INTEGER) AS score FROM c GROUP BY 1""", longs=("earned", "total"))
 def earned_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     checks = o.select(F.col("o_orderpriority").alias("category"), ((F.col("o_orderstatus") != "P") & (F.col("o_totalprice") > 50000)).alias("passed"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("weight"))
@@ -201,7 +201,7 @@ def impact_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT substr(p_type, 1, strpos(p_type || ' ', ' ') - 1) AS prefix, count(*) AS modules, sum(p_size) AS symbols,
-  list_slice(list(p_name ORDER BY p_partkey), 1, 20) AS first_names, greatest(count(*) - 20, 0) AS more FROM part GROUP BY 1""")
+  list_slice(list(p_name ORDER BY p_partkey), 1, 20) AS first_names, greatest(count(*) - 20, 0) AS more FROM part GROUP BY 1""", lists=("first_names",), longs=("symbols",))
 def prefix_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.replace("p_type", F.lit(" "), F.lit(".")).alias("name"), F.col("p_size").alias("symbols"), F.col("p_name").alias("leaf"), F.col("p_partkey").alias("ordinal"))
     return A.rollup_prefix(p, depth=1)
@@ -215,7 +215,7 @@ def clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS n_pairs_groups, sum(n * (n - 1) // 2) AS n_pairs FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1)""")
+SELECT count(*) AS n_pairs_groups, sum(n * (n - 1) // 2) AS n_pairs FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1)""", longs=("n_pairs",))
 def clustered_pair_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("h")).agg(F.count("*").alias("n")).where("n > 1")
     return g.agg(F.count("*").alias("n_pairs_groups"), A.pair_count(F.col("n")).alias("n_pairs"))
@@ -253,7 +253,7 @@ def coverage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT coalesce(nullif(lang, 'es'), '(ungrouped)') AS domain, list_sort(list(DISTINCT source)) AS names FROM documents GROUP BY 1""")
+SELECT coalesce(nullif(lang, 'es'), '(ungrouped)') AS domain, list_sort(list(DISTINCT source)) AS names FROM documents GROUP BY 1""", lists=("names",))
 def names_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.nullif(F.col("lang"), F.lit("es")).alias("domain"), F.col("source").alias("name")).distinct()
     return A.names_by(d, "domain", "name")
@@ -261,7 +261,7 @@ def names_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH u AS (SELECT unnest(string_split(text, chr(10))) AS line, lang FROM documents)
-SELECT lang, count_if(trim(line) <> '') AS loc FROM u GROUP BY 1""")
+SELECT lang, count_if(trim(line) <> '') AS loc FROM u GROUP BY 1""", longs=("loc",))
 def lines_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     loc = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long")
@@ -270,7 +270,7 @@ def lines_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT o_custkey % 50 AS symbol, o_orderpriority AS module, CASE WHEN o_totalprice > 300000 THEN 2 WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS score FROM orders)
-SELECT symbol, list_sort(list(DISTINCT module)) AS modules, CASE max(score) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS score FROM r GROUP BY 1""")
+SELECT symbol, list_sort(list(DISTINCT module)) AS modules, CASE max(score) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS score FROM r GROUP BY 1""", lists=("modules",))
 def impact_batch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
     r = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("symbol"), F.array("o_orderpriority").alias("modules"), F.when(price > 300000, "HIGH").when(price > 150000, "MEDIUM").otherwise("LOW").alias("score"))

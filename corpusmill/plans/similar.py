@@ -44,7 +44,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(COMPONENTS + """, m AS (SELECT component AS cluster, list_sort(list(node)) AS members, count(*) AS size FROM c GROUP BY 1 HAVING count(*) <= 4)
-SELECT cluster, members, size, round((SELECT max(score) FROM p JOIN c ON c.node = p.i WHERE c.component = m.cluster), 6) AS max_score FROM m""")
+SELECT cluster, members, size, round((SELECT max(score) FROM p JOIN c ON c.node = p.i WHERE c.component = m.cluster), 6) AS max_score FROM m""", lists=("members",))
 def clusters_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.clusters(pairs(spark, sf_dir), 4).withColumn("max_score", F.round("max_score", 6))
 
@@ -87,7 +87,7 @@ def line_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.jaccard_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), lines.alias("items")), 0.5).withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT * FROM (VALUES ('both empty', 1.0), ('one empty', 0.0), ('half', 0.5), ('same', 1.0)) AS t(name, score)""")
+@query("""SELECT * FROM (VALUES ('both empty', 1.0), ('one empty', 0.0), ('half', 0.5), ('same', 1.0)) AS t(name, score)""", doubles=("score",))
 def jaccard_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("both empty", [], []), ("one empty", ["a"], []), ("half", ["a", "b", "c"], ["b", "c", "d"]), ("same", ["x"], ["x"])]
     return spark.createDataFrame(rows, "name string, a array<string>, b array<string>").select("name", M.jaccard(F.col("a"), F.col("b")).alias("score"))
@@ -127,7 +127,7 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("rank", rank).where("rank <= 3").select("id", "token", F.round("weight", 6).alias("weight"), "rank")
 
 
-@query("""SELECT * FROM (VALUES ('a', ['loadjsonfile', 'load', 'json', 'file', 'return', 'return', 'snake_case', 'snake', 'case', 'return', 'return']), ('b', CAST([] AS VARCHAR[]))) AS t(id, tokens)""")
+@query("""SELECT * FROM (VALUES ('a', ['loadjsonfile', 'load', 'json', 'file', 'return', 'return', 'snake_case', 'snake', 'case', 'return', 'return']), ('b', CAST([] AS VARCHAR[]))) AS t(id, tokens)""", lists=("tokens",))
 def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("a", "loadJsonFile(1); return snake_case"), ("b", "12 + 3")], "id string, text string").select("id", M.code_tokens(F.col("text")).alias("tokens"))
 

@@ -199,7 +199,7 @@ def git_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.commit_files(spark.createDataFrame([(LOG,)], "text string")).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'src/pricing.py' AS file, 4 AS co_changes, 0.8 AS strength UNION ALL SELECT 'src/util.py', 2, 0.4")
+@query("SELECT 'src/pricing.py' AS file, 4 AS co_changes, 0.8 AS strength UNION ALL SELECT 'src/util.py', 2, 0.4", doubles=("strength",))
 def git_log_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.coupled_with(L.commit_files(spark.createDataFrame([(LOG,)], "text string")), "src/cart.py", 0.3, 2)
 

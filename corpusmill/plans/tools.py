@@ -7,13 +7,15 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
-from corpusmill.plans.registry import QUERIES, Query
+from corpusmill.plans.registry import Query
 
 RULES: dict[str, list[Callable[[DataFrame], DataFrame]]] = {}
 
 
 def discover(disabled: str = "") -> dict[str, Query]:
     """Every registered query but those that a comma-separated list of globs names."""
+    from corpusmill.plans.catalog import QUERIES
+
     globs = [g.strip() for g in disabled.split(",") if g.strip()]
     return {n: q for n, q in QUERIES.items() if not any(fnmatch.fnmatchcase(n, g) for g in globs)}
 
