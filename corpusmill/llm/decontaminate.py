@@ -158,3 +158,19 @@ def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = find_contamination(rows, benchmark)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item, ws, unnest(generate_series(1, greatest(1, len(ws) - {WINDOW - 1}))) AS k FROM b WHERE len(ws) > 0),
+w AS (SELECT item, list_slice(ws, k, k + {WINDOW - 1}) AS win FROM i),
+n AS (SELECT DISTINCT len(win) AS n FROM w),
+p AS (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS k FROM d CROSS JOIN n WHERE len(ws) >= n),
+m AS (SELECT p.doc_id, p.k, p.n, w.item FROM p JOIN w ON list_slice(p.ws, p.k, p.k + p.n - 1) = w.win),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS place FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM m GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

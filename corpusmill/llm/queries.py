@@ -51,4 +51,4 @@ def op10_subword_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cnn_toxicity, op2_jump_sharding, op3_golay_simhash, op4_warc_revisits, op5_chunk_bpe, op6_wrapper_main_text, op7_naive_bayes_language, op8_multiprobe_neighbours, op9_aho_corasick_decontamination, op10_subword_lattice_score)}
-SQL: dict[str, str] = {"op4_warc_revisits": warc_revisit.SQL}
+SQL: dict[str, str] = {"op4_warc_revisits": warc_revisit.SQL, "op9_aho_corasick_decontamination": decontaminate.SQL}
