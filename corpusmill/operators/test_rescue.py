@@ -1,0 +1,89 @@
+"""What makes two alike tests only ambiguously so: ordered conditions over features of both."""
+
+from __future__ import annotations
+
+import ast
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.operators.similarity import jaccard
+
+FEATURES = "path string, name string, class_name string, line int, body int, call_sig string, literals array<string>, patches array<string>, calls array<string>, attributes array<string>, statements array<string>, setup array<string>, raises boolean"
+# fixed values: thresholds of the conditions, and calls that are never what a test is about
+LITERALS, TOKEN, TEMPLATE_BODY, SMALL_BODY, FAR, STRONG, SHARED, SETUP = 2, 4, 4, 8, 200, 0.85, 3, 0.5
+GENERIC = ["len", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "sorted", "sum", "min", "max", "any", "all", "range", "print", "isinstance", "open", "mkdir", "write_text", "read_text", "raises", "approx", "fixture"]
+# fixed values: which conditions each signal tries, in order
+ORDER = {
+    "same_calls": ["distinct_literals", "patch_context", "setup_divergence", "call_multiplicity", "distinct_sut", "distinct_class", "raises_divergence"],
+    "same_name": ["distinct_literals", "template_pair", "patch_context", "distinct_sut", "distinct_class", "raises_divergence"],
+    "same_file": ["distinct_literals", "patch_context", "body_size", "setup_divergence", "call_multiplicity", "distinct_sut", "distinct_class", "raises_divergence", "locality"],
+}
+
+
+def features(path: str, source: str) -> list[tuple]:
+    from corpusmill.sources.python_rules import FUNCTIONS, _blank, statements
+
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    leaf = lambda n: n.func.id if isinstance(n.func, ast.Name) else n.func.attr if isinstance(n.func, ast.Attribute) else None
+    out = []
+    for owner, body in [(None, tree.body), *((c.name, c.body) for c in tree.body if isinstance(c, ast.ClassDef))]:
+        for f in body:
+            if not (isinstance(f, FUNCTIONS) and f.name.startswith("test_")):
+                continue
+            calls = [n for n in ast.walk(f) if isinstance(n, ast.Call)]
+            asserts = [n for n in ast.walk(f) if isinstance(n, ast.Assert)]
+            used = {x.id for a in asserts for x in ast.walk(a) if isinstance(x, ast.Name)}
+            setup = {_blank(s) for s in f.body if not isinstance(s, ast.Assert) and not ({x.id for x in ast.walk(s) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)} & used)}
+            out.append((
+                path, f.name, owner, f.lineno, len(list(ast.iter_child_nodes(f))), "; ".join(ast.unparse(c) for c in calls),
+                sorted({str(n.value) for n in ast.walk(f) if isinstance(n, ast.Constant) and isinstance(n.value, (str, bytes))}),
+                sorted({ast.unparse(c.args[0]) for c in calls if leaf(c) == "patch" and c.args}),
+                sorted(n for c in calls if (n := leaf(c)) and n not in GENERIC),
+                sorted({x.attr for a in asserts for x in ast.walk(a) if isinstance(x, ast.Attribute)}),
+                sorted(statements(f.body)), sorted(setup), any(leaf(c) == "raises" for c in calls),
+            ))
+    return out
+
+
+def conditions(a: str, b: str) -> dict[str, Column]:
+    """Each condition over the columns of two tests, whose names end in a and b."""
+    x, y = (lambda c: F.col(f"{c}_{a}")), (lambda c: F.col(f"{c}_{b}"))
+    less = lambda c: F.array_except(x(c), y(c))
+    more = lambda c: F.array_except(y(c), x(c))
+    tokens = lambda p: F.split(F.regexp_replace(F.regexp_extract(p, r"([^/]+)\.py$", 1), "^test_", ""), "_")
+    apart = F.concat(F.array_except(tokens(x("path")), tokens(y("path"))), F.array_except(tokens(y("path")), tokens(x("path"))))
+    public = lambda c: F.filter(c, lambda n: ~F.startswith(n, F.lit("_")))
+    common = F.array_intersect(public(x("calls")), public(y("calls")))
+    times = lambda c, n: F.size(F.filter(c, lambda z: z == n))
+    strong = (jaccard(x("statements"), y("statements")) >= STRONG) | (F.size(F.array_intersect(x("attributes"), y("attributes"))) >= SHARED) | ((x("call_sig") == y("call_sig")) & (x("call_sig") != "") & (F.size(F.array_intersect(x("literals"), y("literals"))) >= SHARED))
+    return {
+        "distinct_literals": (F.size(less("literals")) >= LITERALS) & (F.size(more("literals")) >= LITERALS),
+        "patch_context": x("patches") != y("patches"),
+        "template_pair": F.exists(apart, lambda t: F.char_length(t) >= TOKEN) & (F.greatest(x("body"), y("body")) <= TEMPLATE_BODY),
+        "body_size": (x("body") != y("body")) & (F.greatest(x("body"), y("body")) <= SMALL_BODY),
+        "setup_divergence": jaccard(x("setup"), y("setup")) < SETUP,
+        "call_multiplicity": F.exists(common, lambda n: times(x("calls"), n) != times(y("calls"), n)),
+        "distinct_sut": (F.size(less("calls")) > 0) & (F.size(more("calls")) > 0),
+        "distinct_class": x("class_name").isNotNull() & y("class_name").isNotNull() & (x("class_name") != y("class_name")),
+        "raises_divergence": x("raises") != y("raises"),
+        "locality": (F.abs(x("line") - y("line")) > FAR) & ~strong,
+    }
+
+
+def rescue(pairs: DataFrame, tests: DataFrame) -> DataFrame:
+    """pairs (a, b, signal) with a verdict: the first condition of the signal that holds, as ambiguous_*, else the signal."""
+    key = F.concat_ws("::", "path", F.concat_ws(".", "class_name", "name"))
+    t = tests.withColumn("key", key)
+    x, y = (t.select(*[F.col(c).alias(f"{c}_{s}") for c in t.columns]) for s in ("a", "b"))
+    c = conditions("a", "b")
+    verdict = F.col("signal")
+    for signal, names in ORDER.items():
+        own = F.lit(signal)
+        for n in reversed(names):
+            own = F.when(F.coalesce(c[n], F.lit(False)), f"ambiguous_{n}").otherwise(own)
+        verdict = F.when(F.col("signal") == signal, own).otherwise(verdict)
+    return pairs.join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b")).select("a", "b", "signal", verdict.alias("verdict"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import code, graphs, more, rules, scoring, similar, texts
+from corpusmill.plans import code, extra, graphs, more, rules, scoring, similar, texts
 from corpusmill.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "code", "graphs", "more", "rules", "similar", "texts", "SQL", "flagship"]
+__all__ = ["QUERIES", "code", "extra", "graphs", "more", "rules", "similar", "texts", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
