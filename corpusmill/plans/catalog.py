@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.plans import code, extra, graphs, more, rules, scoring, similar, texts
 from corpusmill.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "code", "extra", "graphs", "more", "rules", "similar", "texts", "SQL", "flagship"]
+__all__ = ["QUERIES", "SQL", "code", "extra", "flagship", "graphs", "more", "rules", "scoring", "similar", "texts"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

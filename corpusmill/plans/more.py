@@ -167,7 +167,7 @@ def capped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.plans.tools import discover
 
-    return spark.createDataFrame([(n,) for n in sorted(discover("smelt_*, nothing")) if n in QUERIES], "name string")
+    return spark.createDataFrame([(n,) for n in sorted(discover("compaction_*, nothing")) if n in QUERIES], "name string")
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)

@@ -84,14 +84,14 @@ def json_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def smelt_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compaction_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The guarded pipeline over event properties, pages and documents."""
     texts = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), F.col("props").alias("text")).unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), "text"))
     return texts.withColumn("report", K.compact(F.col("text"), "moderate")).select("id", "kind", "report.format", "report.applied", "report.original_tokens", "report.compacted_tokens")
 
 
 @query()
-def smelt_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compaction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(n, t) for n, t, _ in SAMPLES], "name string, text string").withColumn("report", K.compact_check(F.col("text")))
     return rows.select("name", "report.format", "report.tokens", F.to_json("report.estimates").alias("estimates"), "report.savings")
 
