@@ -405,7 +405,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     row; an empty table gives none. A page that has none of its host's article places, and the only page of
     a host, are judged by themselves.
     """
-    rows = pages.drop("main_text", "_host").withColumn("_host", host_of(F.col(url_col).cast("string"))).withColumn(html_col, F.col(html_col).cast("string"))
+    rows = pages.drop("main_text", "_host", "_wrapper").withColumn("_host", host_of(F.col(url_col).cast("string"))).withColumn(html_col, F.col(html_col).cast("string"))
     wrappers = cut_lineage(infer(rows, "_host", html_col))
     size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     kept = [f for f in rows.schema.fields if f.name not in (html_col, "_host")]
@@ -413,7 +413,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     small = size <= MOST_BROADCAST
     sent = rows.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in wrappers.collect()} if small else None)
     if not small:
-        rows = rows.join(wrappers.withColumnRenamed("host", "_host"), "_host")
+        rows = rows.join(wrappers.toDF("_host", "_wrapper"), "_host")
     names_ = rows.columns
 
     def run(batches):
@@ -421,7 +421,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         for b in batches:
             out = []
             html, hosts = b.column(names_.index(html_col)), b.column(names_.index("_host"))
-            own = None if small else b.column(names_.index("wrapper"))
+            own = None if small else b.column(names_.index("_wrapper"))
             for i in range(b.num_rows):
                 host = hosts[i].as_py()
                 if host not in ready:

@@ -219,9 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(chosen), "id")
     rows = rows.select(F.xxhash64("id").alias("mark"), "y", "lang", "text").mapInArrow(ids_of, "mark long, y int, lang string, ids binary")
+    sample = rows.toArrow()  # as many rows as ids were chosen, and copies of them
     got: dict[int, tuple] = {}
-    for r in rows.toLocalIterator():
-        got.setdefault(r["mark"], (r["y"], r["lang"], bytes(r["ids"])))
+    for mark, y, lang, ids in zip(*(sample[c].to_pylist() for c in ("mark", "y", "lang", "ids")), strict=True):
+        got.setdefault(mark, (y, lang, ids))
     marks_in_order = sorted(got)
     label = np.array([got[k][0] for k in marks_in_order], int)
     if len(set(label.tolist())) < 2:
