@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are worked through in slices of about so many bytes, which bounds the arrays built from them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
