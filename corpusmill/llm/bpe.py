@@ -29,7 +29,8 @@ ROLL = 48
 CHUNK_BITS = 9
 #: A worker keeps encodings of about so many bytes of chunks and so many words; the oldest go first.
 KEEP_BYTES = 24 << 20
-KEEP_WORDS = 250_000
+BATCH_BYTES = 1 << 20
+KEEP_WORDS = 400_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches):
         own = encoder(sent.value)
         for b in batches:
-            for first, stop in slices(b.column(at)):
+            for first, stop in slices(b.column(at), BATCH_BYTES):
                 part = b.slice(first, stop - first)
                 ids, place = own.encode(part.column(at))
                 every = ids.tolist()
