@@ -35,6 +35,8 @@ ALPHA = 0.1
 SHARE, LONGEST = 1e-6, 64
 #: A task sends counts on whenever it holds so many distinct words.
 FLUSH = 300_000
+#: Looked-up texts are sent on in batches of about so many bytes.
+BATCH_BYTES = 1 << 20
 #: Longer words are worked through one by one.
 BATCHED = 128
 LOG10 = math.log(10)
@@ -272,7 +274,7 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "
     def look_up(batches):
         own = known_words.value
         for b in batches:
-            for first, stop in slices(b.column(2)):
+            for first, stop in slices(b.column(2), BATCH_BYTES):
                 part = b.slice(first, stop - first)
                 text = part.column(2).cast(pa.large_binary())
                 uid, word, n_, known, base, lp, at = [], [], [], [], [], [], []
