@@ -253,7 +253,8 @@ def merge(a: Part, b: Part, same_page: bool = False) -> Part:
     if a.parts or b.parts:
         pairs = align([p.sig for p in a.parts], [p.sig for p in b.parts])
         parts = [b.parts[j] if i < 0 else a.parts[i] if j < 0 else merge(a.parts[i], b.parts[j], same_page) for i, j in pairs]
-        if any(x.sig == y.sig for x, y in zip(parts, parts[1:], strict=False)):
+        # the places of a group are as many as its signature names
+        if a.sig[0] != "(" and any(x.sig == y.sig for x, y in zip(parts, parts[1:], strict=False)):
             parts = fold(parts)
         a.parts = parts
     return a

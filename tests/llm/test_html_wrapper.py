@@ -44,6 +44,14 @@ def test_wrappers_find_repeats_and_options():
     assert [p.sig for p in c.parts[0].parts] == ["(dt dd)"]
 
 
+def test_groups_with_equal_neighbours_keep_their_width():
+    for tags in (["h2", "p", "p"] * 2, ["dt", "dd", "dd"] * 3):
+        pages = ["<article>" + "".join(f"<{t}>{t} {i} {k}</{t}>" for k, t in enumerate(tags)) + "</article><footer>f</footer>" for i in range(3)]
+        assert run(pages) == [" ".join(f"{t} {i} {k}" for k, t in enumerate(tags)) for i in range(3)]
+    group = H.merge(*[H.of_page(H.parse(p)) for p in pages[:2]]).parts[0].parts[0]
+    assert group.sig == "(dt dd dd)" and [p.sig for p in group.parts] == ["dt", "dd", "dd"]
+
+
 def test_merging_is_the_same_in_any_grouping():
     rng = random.Random(3)
     pages = ["<article>" + "".join(f"<{t}>{rng.randrange(9)}</{t}>" for t in rng.choices(["p", "h2", "ul"], k=rng.randrange(1, 8))) + "</article><footer>f</footer>" for _ in range(12)]
