@@ -37,8 +37,9 @@ SHARE, LONGEST = 1e-6, 64
 FLUSH = 300_000
 #: Looked-up texts are sent on in batches of about so many bytes.
 BATCH_BYTES = 1 << 20
-#: Longer words are worked through one by one.
+#: Longer words are scored one by one, and counted by blocks of so many bytes, so many words of like length at a time.
 BATCHED = 128
+BLOCK, ABREAST = 1024, 32
 LOG10 = math.log(10)
 SLOT_BITS = 21
 
@@ -155,18 +156,63 @@ class Lattice:
         return out + self.stop
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in the words; words too long to batch add none."""
+        """Expected uses of each piece in the words."""
         logp, out = np.append(self.logp, -np.inf), np.zeros(len(self.pieces) + 1)
         for own, x in self._batches(words):
             if x.shape[1] > BATCHED + 3:
-                continue
+                continue  # below, by blocks
             spans = self.spans(x)
             a, b = self.forward(spans, logp), self.backward(spans, logp)
             r, s, k = np.nonzero(spans >= 0)
             i = spans[r, s, k]
             out += np.bincount(i, weights=np.exp(a[r, s] + logp[i] + b[r, s + k + 1] - a[r, -1]) * counts[own][r], minlength=len(out))
+        long = sorted((i for i, w in enumerate(words) if len(w) > BATCHED), key=lambda i: len(words[i]))
+        for a in range(0, len(long), ABREAST):
+            own = long[a : a + ABREAST]
+            out += self._expected_long([MARK + words[i] for i in own], counts[own], logp)
         return out[:-1]
 
+    def _expected_long(self, words: list[bytes], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """The same for long words, block by block: of each block only the forward sums that reach into it are kept,
+        and on the way back it is worked through again."""
+        n, most, size = len(words), self.longest, np.array([len(w) for w in words])
+        width = min(BLOCK, int(size.max()) + 1)
+        out, total, rows = np.zeros(len(self.pieces) + 1), np.zeros(n), np.arange(n)
+
+        def block(lo: int, into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The pieces that start in a block, none beyond its word's end, and the forward sums up to `most` past the block."""
+            x = np.frombuffer(b"".join(w[lo : lo + width + most].ljust(width + most, b"\0") for w in words), np.uint8)
+            spans = self.spans(x.reshape(n, width + most))[:, :width]
+            spans[lo + np.add.outer(np.arange(width), np.arange(1, most + 1)) > size[:, None, None]] = -1
+            alpha = np.full((n, width + most), -np.inf)
+            alpha[:, :most] = into
+            for s in range(width):
+                to = alpha[:, s + 1 : s + 1 + most]
+                np.logaddexp(to, alpha[:, s, None] + logp[spans[:, s]], out=to)
+            return spans, alpha
+
+        into = [np.full((n, most), -np.inf)]
+        into[0][:, 0] = 0
+        starts = range(0, int(size.max()) + 1, width)
+        for lo in starts:
+            spans, alpha = block(lo, into[-1])
+            into.append(alpha[:, width:].copy())
+            ends = rows[(size >= lo) & (size < lo + width)]
+            total[ends] = alpha[ends, size[ends] - lo]
+        beta = np.full((n, width + most), -np.inf)
+        for at in range(len(starts) - 1, -1, -1):
+            lo = starts[at]
+            if at < len(starts) - 1:
+                spans, alpha = block(lo, into[at])
+            beta[:, width:] = beta[:, :most].copy()
+            for s in range(width - 1, -1, -1):
+                beta[:, s] = np.logaddexp.reduce(logp[spans[:, s]] + beta[:, s + 1 : s + 1 + most], axis=1)
+                beta[size == lo + s, s] = 0
+            r, s, k = np.nonzero(spans >= 0)
+            i = spans[r, s, k]
+            out += np.bincount(i, weights=np.exp(alpha[r, s] + logp[i] + beta[r, s + k + 1] - total[r]) * counts[r], minlength=len(out))
+        return out
+
 
 def count_words(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
     """(word binary, n, c): how often each word stands in all texts, and in those of training rows."""

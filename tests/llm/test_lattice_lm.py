@@ -47,6 +47,21 @@ def test_expected_counts_cover_each_word():
     assert abs((e * size).sum() - sum(c * (len(w) + 3) for w, c in zip(words, (2, 1, 3), strict=True))) < 1e-6
 
 
+@pytest.mark.parametrize("block", [1024, 100, 7])
+def test_long_words_add_their_expected_counts(monkeypatch, block):
+    rng = random.Random(4)
+    words = [("thingé的" * 20).encode(), "".join(rng.choice("日本語の文章 https://x.y/"[:16].replace(" ", "")) for _ in range(500)).encode(), b"of", bytes(rng.choices(b"abet", k=1021)), b"x" * 1024]
+    counts = np.array([1.0, 2.0, 1.0, 1.0, 3.0])
+    logp, want = np.append(LATTICE.logp, -np.inf), np.zeros(len(LATTICE.pieces))
+    for w, c in zip(words, counts, strict=True):  # the whole word at once
+        spans = LATTICE.spans(np.frombuffer(L.MARK + w, np.uint8)[None])
+        a, b = LATTICE.forward(spans, logp)[0], LATTICE.backward(spans, logp)[0]
+        _, s, k = np.nonzero(spans >= 0)
+        np.add.at(want, spans[0, s, k], c * np.exp(a[s] + logp[spans[0, s, k]] + b[s + k + 1] - a[-1]))
+    monkeypatch.setattr(L, "BLOCK", block, raising=False)
+    assert np.allclose(LATTICE.expected(words, counts), want, atol=1e-8)
+
+
 def _docs(spark):
     rng = random.Random(6)
     vocab = ["the", "of", "and", "Thing.", "erble", "nt,", "çà"] + ["w%d" % i for i in range(200)]
