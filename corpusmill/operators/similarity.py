@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.operators.graph import connected_components
 
@@ -181,6 +184,39 @@ def cluster_hash(keys: Column) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, HASH_LENGTH)
 
 
+def component_hashes(components: DataFrame, key: Column) -> DataFrame:
+    """(cluster, cluster_hash): for components of any size, the cluster_hash of their members' keys.
+
+    The keys of a component go to one task, as a digest is taken in order, but are sorted outside memory and never gathered.
+    """
+
+    def run(batches):
+        cluster = digest = None
+        for b in batches:
+            ready = []
+            for c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if digest is not None and c == cluster:
+                    digest.update(b",")
+                else:
+                    if digest is not None:
+                        ready.append((cluster, digest))
+                    cluster, digest = c, hashlib.sha256(b"[")
+                digest.update(text.encode())
+            yield send(ready)
+        if digest is not None:
+            yield send([(cluster, digest)])
+
+    def send(ready):
+        for _, digest in ready:
+            digest.update(b"]")
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in ready], kind), pa.array([d.hexdigest()[:HASH_LENGTH] for _, d in ready], pa.string())], ["cluster", "cluster_hash"])
+
+    kind = to_arrow_type(components.schema["component"].dataType)
+    rows = components.select("component", key.alias("key")).repartition("component").sortWithinPartitions("component", "key")
+    schema = T.StructType([T.StructField("cluster", components.schema["component"].dataType), T.StructField("cluster_hash", T.StringType())])
+    return rows.select("component", F.to_json("key")).mapInArrow(run, schema)
+
+
 def mark_waived(found: DataFrame, waivers: DataFrame) -> DataFrame:
     w = waivers.select(F.col("hash").alias("cluster_hash")).distinct().withColumn("acknowledged", F.lit(True))
     return found.join(w, "cluster_hash", "left").withColumn("acknowledged", F.coalesce("acknowledged", F.lit(False)))

@@ -69,10 +69,15 @@ SELECT cluster, size, round(best, 6) AS best, (SELECT count(*) FROM m) AS total
 def cluster_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest clusters that are not waived (here: the first is), with how many there are in all."""
     from corpusmill.operators import similarity as M
-
-    found = M.clusters(pairs(spark, sf_dir))
-    facts = found.agg(F.count("*").alias("total"), F.min("cluster").alias("waived"))
-    return found.crossJoin(F.broadcast(facts)).where("cluster <> waived").orderBy(F.desc("max_score"), "cluster").limit(30).select("cluster", "size", F.round("max_score", 6).alias("best"), "total")
+    from corpusmill.operators.graph import connected_components
+
+    p = pairs(spark, sf_dir)
+    c = connected_components(p, "i", "j")
+    sizes = c.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
+    facts = sizes.agg(F.count("*").alias("total"), F.min("cluster").alias("waived"))
+    best = p.join(c, p.i == c.node).groupBy(F.col("component").alias("cluster")).agg(F.max("score").alias("best"))
+    found = sizes.where(F.col("size") <= M.MAX_CLUSTER).join(best, "cluster").crossJoin(F.broadcast(facts)).where("cluster <> waived")
+    return found.orderBy(F.desc("best"), "cluster").limit(30).select("cluster", "size", F.round("best", 6).alias("best"), "total")
 
 
 @query("SELECT * FROM (VALUES ('shop.cart', 'cart'), ('shop.util', 'util'), ('a.b', 'a.b'), ('c', 'c')) AS t(name, short)")

@@ -52,9 +52,9 @@ def clusters_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(COMPONENTS + """, k AS (SELECT component, list_sort(list(['p' || CAST(node % 7 AS VARCHAR), 'q' || CAST(node AS VARCHAR)])) AS keys FROM c GROUP BY 1)
 SELECT component AS cluster, substr(sha256('[' || array_to_string(list_transform(keys, lambda x: '["' || x[1] || '","' || x[2] || '"]'), ',') || ']'), 1, 12) AS cluster_hash FROM k""")
 def cluster_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.clusters(pairs(spark, sf_dir), 10_000)
-    keys = F.transform("members", lambda m: F.array(F.concat(F.lit("p"), (m % 7).cast("string")), F.concat(F.lit("q"), m.cast("string"))))
-    return found.select("cluster", M.cluster_hash(keys).alias("cluster_hash"))
+    m = F.col("node")
+    key = F.array(F.concat(F.lit("p"), (m % 7).cast("string")), F.concat(F.lit("q"), m.cast("string")))
+    return M.component_hashes(components(spark, sf_dir), key)
 
 
 WAIVERS = [("000000000000", "gone"), ("ffffffffffff", " "), ("xyz", "short")]
