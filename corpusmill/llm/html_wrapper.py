@@ -15,6 +15,7 @@ import pickle
 import re
 import zlib
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -41,7 +42,7 @@ ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 ASIDE_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "adsense", "adslot", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "respond", "replies", "pagination", "pager", "widget", "toolbar", "masthead", "skip", "disclaimer", "copyright"}
 MAIN_TAGS, MAIN_WORDS = {"article", "main"}, {"article", "content", "main", "post", "entry", "story", "body"}
 LONGEST_GROUP = 3
-#: A text that never changed in so many pages of a host belongs to its template.
+#: A text that never changed in most pages of a host, so many of them of different texts, belongs to its template.
 FIXED_IN = 3
 #: Wrappers up to so many bytes in all are broadcast; beyond, pages meet theirs in a join on the host.
 MOST_BROADCAST = 16 << 20
@@ -51,6 +52,7 @@ MOST_BROADCAST = 16 << 20
 class Element:
     sig: str
     children: list = field(default_factory=list)  # Element, or Text
+    page: bytes = b""  # of a root: a digest of the page's texts
 
 
 @dataclass
@@ -84,6 +86,7 @@ def parse(html: str) -> Element:
     stack: list[tuple[str, Element]] = [("#root", root)]
     parts: list[str] = []
     linked = in_link = 0
+    digest = blake2b(digest_size=8)
 
     def flush():
         nonlocal linked
@@ -91,6 +94,7 @@ def parse(html: str) -> Element:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 stack[-1][1].children.append(Text(text, min(linked, len(text))))
+                digest.update(text.encode("utf-8", "surrogatepass") + b"\n")
             parts.clear()
         linked = 0
 
@@ -150,6 +154,7 @@ def parse(html: str) -> Element:
             stack[-1][1].children.append(element)
         stack.append((tag, element))
     flush()
+    root.page = digest.digest()
     return root
 
 
@@ -164,6 +169,7 @@ class Part:
     text: str | None = None  # of a text that was the same so far
     chars: int = 0
     links: int = 0
+    pages: frozenset[bytes] = frozenset()  # of a text that was the same so far: digests of pages with it, FIXED_IN or a few more at most
 
 
 def runs(sigs: list[str]) -> list[tuple[int, int, int]]:
@@ -206,10 +212,12 @@ def fold(parts: list[Part]) -> list[Part]:
     return out
 
 
-def of_page(node: Element | Text) -> Part:
+def of_page(node: Element | Text, page: frozenset[bytes] | None = None) -> Part:
+    if page is None:
+        page = frozenset([node.page])
     if isinstance(node, Text):
-        return Part("#", text=node.text, chars=len(node.text), links=node.links)
-    return Part(node.sig, parts=fold([of_page(c) for c in node.children]))
+        return Part("#", text=node.text, chars=len(node.text), links=node.links, pages=page)
+    return Part(node.sig, parts=fold([of_page(c, page) for c in node.children]))
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -249,7 +257,9 @@ def merge(a: Part, b: Part, same_page: bool = False) -> Part:
     a.chars += b.chars
     a.links += b.links
     if a.text != b.text:
-        a.text = None
+        a.text, a.pages = None, frozenset()
+    elif a.text is not None and len(a.pages) < FIXED_IN:
+        a.pages = a.pages | b.pages
     if a.parts or b.parts:
         pairs = align([p.sig for p in a.parts], [p.sig for p in b.parts])
         parts = [b.parts[j] if i < 0 else a.parts[i] if j < 0 else merge(a.parts[i], b.parts[j], same_page) for i, j in pairs]
@@ -302,9 +312,9 @@ def judge(wrapper: Part) -> Part:
 
     def mark(p: Part, inside: bool, aside: bool, dense: bool) -> None:
         if p.sig == "#":
-            fixed = not contained and p.text is not None and p.seen >= FIXED_IN and everywhere >= FIXED_IN
+            fixed = not contained and p.text is not None and len(p.pages) >= FIXED_IN and 2 * p.seen > everywhere
             keep = inside and not aside and not dense and not fixed
-            p.text, p.links, p.parts = None, int(keep), []
+            p.text, p.links, p.parts, p.pages = None, int(keep), [], frozenset()
             return
         own = p.sig[0] not in "(#"
         if own:

@@ -27,6 +27,16 @@ def test_places_of_a_host_without_article_element():
     assert run(pages) == [f"Story number {i} is long enough. Its second part {i * 7}" for i in range(5)]
 
 
+def test_texts_of_copies_are_no_template():
+    page = lambda i, more="": f"<body><div id=top><a href=/>Home</a> <a href=/b>About</a></div><div><p>Story number {i} is long enough.</div>{more}<div id=end>Copyright of all pages</div></body>"
+    copy = page(99, "<section><p>Only here.</section>")
+    for others, copies in ((20, 3), (4, 6)):
+        want = [f"Story number {i} is long enough." for i in range(others)] + ["Story number 99 is long enough. Only here."] * copies
+        pages = [page(i) for i in range(others)] + [copy] * copies
+        assert run(pages) == want
+        assert run(pages[::-1]) == want[::-1]
+
+
 def test_what_is_not_the_article():
     page = '<html><body><header><h1>Site</h1></header><div class="side-bar sidebar">s</div><main><article><header><h2>T</h2></header><p>x<ul><li>a<li>b</ul><form>f<input></form><div class="cookie-notice">c</div><table><tr><td>1<td>2</table></article><aside>q</aside><section id="comments"><article class="comment"><p>no</p></article></section></main><div hidden>h</div><footer>f</footer>'
     assert run([page]) == ["T x a b 1 2"]
