@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 A word's embedding is the sum of three rows of a table, found by hashes of the whole word and of its
-first four and five bytes, so that inflected forms of a word share most of it. Filters one, two and
+first four and five bytes, so that inflected forms of a word share most of it. Scripts without spaces are
+cut into characters, each standing for its pair with the next one and for itself. Filters one, two and
 three words wide slide over the whole text (each ends at a word; padding after a text keeps filters
 inside it); the largest response of each filter over the text feeds a logistic output. The embeddings
 start from each row's document-frequency log-odds in the training rows, then everything is trained
@@ -35,17 +36,40 @@ EPOCHS = 12
 #: letters, digits, and every byte of other scripts
 WORD = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 
+#: First and one past the last code point of scripts without spaces: Thai and Lao, Burmese, Khmer, kana, Han, half-width kana, further Han.
+UNSPACED = np.array([0x0E00, 0x0F00, 0x1000, 0x10A0, 0x1780, 0x1800, 0x3040, 0x3130, 0x3400, 0xA000, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x1B000, 0x1B170, 0x20000, 0x40000])
+
+
+def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with runs of UNSPACED cut into characters: starts, ends (a character's are those of its pair), and where its shorter forms end."""
+    lead = np.flatnonzero(data >= 0xE0)
+    a, b, c = (data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 63 for k in (1, 2, 3))
+    first = data[lead].astype(np.int64)
+    code = np.where(first < 0xF0, (first & 15) << 12 | a << 6 | b, (first & 7) << 18 | a << 12 | b << 6 | c)
+    own = np.searchsorted(UNSPACED, code, "right") % 2 == 1
+    lead, first = lead[own], first[own]
+    if not len(lead):
+        return start, end, np.minimum(start + 4, end), np.minimum(start + 5, end)
+    stop = lead + np.where(first < 0xF0, 3, 4)
+    begin = np.unique(np.concatenate([start, lead, stop[stop < end[np.searchsorted(start, lead, "right") - 1]]]))
+    run = np.searchsorted(start, begin, "right") - 1
+    upto = np.minimum(np.append(begin[1:], len(data)), end[run])
+    one = np.isin(begin, lead)
+    pair = np.append(one[:-1] & one[1:] & (run[:-1] == run[1:]), False)
+    whole = np.where(pair, np.append(upto[1:], 0), upto)
+    return begin, whole, np.where(one, upto, np.minimum(begin + 4, upto)), np.where(one, upto, np.minimum(begin + 5, upto))
+
 
 def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of all words, (3, words and padding), and where each text begins; PAD_ROW fills PAD places after each text."""
     data, at = text_buffer(texts)
     low = WORD[data]
-    start, end = spans(low > 0, at)
+    start, *ends = _cut(data, *spans(low > 0, at))
     first = np.append(np.searchsorted(start, at[:-1]), len(start))
     text = np.repeat(np.arange(len(at) - 1), np.diff(first))
     place = np.arange(len(start)) + PAD * text
     out = np.full((3, len(start) + PAD * (len(at) - 1)), PAD_ROW, np.int32)
-    for i, stop in enumerate((end, np.minimum(start + 4, end), np.minimum(start + 5, end))):
+    for i, stop in enumerate(ends):
         h = span_hashes(low, start, stop) + np.uint64(i)
         out[i, place] = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) + i * BUCKETS
     return out, first + PAD * np.arange(len(at))

@@ -65,3 +65,31 @@ def test_thresholds_are_calibrated_by_language():
     t = toxicity.calibrate(s, y, np.ones(400), langs)
     assert set(t) == {"en", "de"} and all(0.3 < x < 0.42 for x in t.values())
     assert toxicity.calibrate(s[:10], y[:10], np.ones(10), langs[:10]) == {}
+
+
+def test_scripts_without_spaces_are_cut_into_characters():
+    def words(text):
+        rows, at = toxicity.word_rows(pa.array([text]))
+        return [tuple(c) for c in rows[:, : at[1] - toxicity.PAD].T.tolist()]
+
+    assert set(words("毒品")[:1]) < set(words("今天我喜欢毒品和茶")) and len(words("今天我喜欢毒品和茶")) == 9
+    assert words("สวัสดี")[0] == words("abc สวัสดีครับ")[1] and len(words("ばか。𠀀𠀁")) == 5
+    assert words("iphone手机x") == [*words("iphone"), *words("手机"), *words("x")]
+    assert len(words("größe привет 한국어 naïve")) == 4
+    rows, at = toxicity.word_rows(pa.array(["毒", "品", "", "a毒"]))
+    assert at.tolist() == [0, 3, 6, 8, 12] and rows[:, 0].tolist() == rows[:, 9].tolist() == list(words("毒")[0])
+
+
+def test_toxic_words_inside_unspaced_runs_are_seen(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        text = [rng.choice("日月火水木金土山川田人口車門雨") for _ in range(rng.randrange(20, 60))]
+        bad = rng.random() < 0.3
+        if bad:
+            text.insert(rng.randrange(3, 15), "毒品")
+        rows.append((i, "".join(text), "zh", int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    got = toxicity.op1(docs.drop("toxic"), docs.select("doc_id", "toxic")).toPandas().merge(docs.select("doc_id", "toxic").toPandas(), on="doc_id", suffixes=("", "_label"))
+    held = got[got.held_out]
+    assert (held.predicted == held.toxic_label).mean() > 0.95
