@@ -49,8 +49,12 @@ def buckets(unit: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (cell * CELLS ** np.arange(PROJECTIONS)).sum(axis=2)
 
 
-def probes(unit: np.ndarray, a: np.ndarray, similarity: float, occupied: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """For each query and table, positions among the table's occupied buckets, in order of estimated success, as far as SUCCESS."""
+def probes(unit: np.ndarray, a: np.ndarray, similarity: float, occupied: list[np.ndarray], held: list[np.ndarray] | None = None, k: int = 0) -> list[list[np.ndarray]]:
+    """For each query and table, positions among the table's occupied buckets, in order of estimated success, as far as SUCCESS.
+
+    held: how many ids each bucket has, each id counted in one bucket of a table. Where no table's buckets are sure
+    to hold k ids beside the query's own, the first table's are gone through further, until they do or none is left.
+    """
     spread = math.sqrt(max(1 - similarity**2, 1e-6))
     centre = np.einsum("nd,tpd->ntp", unit, a) * similarity
     upper = _cdf((np.append(EDGES, np.inf) - centre[..., None]) / spread)
@@ -67,6 +71,11 @@ def probes(unit: np.ndarray, a: np.ndarray, similarity: float, occupied: list[np
             chance = every[occupied[t]]
             visit = np.flatnonzero(chance >= least)
             own.append(visit[np.argsort(-chance[visit], kind="stable")])
+            if t == 0:
+                further = chance
+        if held is not None and all(n[visit].sum() <= k for n, visit in zip(held, own, strict=True)):
+            order = np.argsort(-further, kind="stable")
+            own[0] = order[: np.searchsorted(np.cumsum(held[0][order]), k + 1) + 1]
         out.append(own)
     return out
 
@@ -130,22 +139,26 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     each = placed.select("id", "v", "q", F.posexplode(F.array(*(f"t{i}" for i in range(TABLES)))).alias("t", "bucket"))
     counts = each.groupBy("t", "bucket").count().withColumn("g", group("bucket")).collect()
     occupied = [np.array(sorted(r["bucket"] for r in counts if r["t"] == t)) for t in range(TABLES)]
+    homes = placed.groupBy("id").agg(*(F.min(f"t{i}").alias(f"t{i}") for i in range(TABLES)))
+    homes = homes.select(F.posexplode(F.array(*(f"t{i}" for i in range(TABLES)))).alias("t", "bucket")).groupBy("t", "bucket").count().collect()
+    home = {(r["t"], r["bucket"]): r["count"] for r in homes}
+    held_in = [np.array([home.get((t, b), 0) for b in occupied[t].tolist()], np.int64) for t in range(TABLES)]
     group_of = [dict() for _ in range(TABLES)]
     load: dict[tuple[int, int], int] = {}
     for r in counts:
         group_of[r["t"]][r["bucket"]] = r["g"]
         load[r["t"], r["g"]] = load.get((r["t"], r["g"]), 0) + r["count"]
     cut = {key: max(1, math.ceil(n / (2 * UNIT))) for key, n in load.items()}
-    sent = spark.sparkContext.broadcast((occupied, [np.array([group_of[t][b] for b in occupied[t].tolist()]) for t in range(TABLES)], cut))
+    sent = spark.sparkContext.broadcast((occupied, [np.array([group_of[t][b] for b in occupied[t].tolist()]) for t in range(TABLES)], cut, held_in))
 
     def pack(batches):
         """For each pack of queries and each unit that one of them probes: the queries and their buckets there."""
-        occupied, groups_at, cut = sent.value
+        occupied, groups_at, cut, held_in = sent.value
         for b in batches:
             for first in range(0, b.num_rows, PACK):
                 ids = b.column(0).to_numpy()[first : first + PACK]
                 x = matrix(b.column(1).slice(first, PACK), dim)
-                visits = probes(unit_rows(x), a, similarity, occupied)
+                visits = probes(unit_rows(x), a, similarity, occupied, held_in, k)
                 out: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
                 for i, own in enumerate(visits):
                     for t, order in enumerate(own):
@@ -222,7 +235,9 @@ def _answer(part: pa.RecordBatch, row: int, dim: int, k: int, ids, vecs, units,
         s = np.where(ids == own, -np.inf, score[i])
         have = np.flatnonzero(s > -np.inf)
         if len(have) > k:
-            have = have[s[have] >= np.partition(s[have], len(have) - k)[len(have) - k] - 1e-9]
+            top = have[s[have] >= np.partition(s[have], len(have) - k)[len(have) - k] - 1e-9]
+            if len(np.unique(ids[top])) >= k:  # rows that repeat an id count once
+                have = top
         got, value = best(x[i], own, ids[have], vecs[have], k)
         q += [own] * len(got)
         found.append(got)

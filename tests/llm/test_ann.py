@@ -69,3 +69,15 @@ def test_every_bucket_chance_is_numbered_like_the_buckets():
     for i, visits in enumerate(ann.probes(u, a, 0.999, every)):
         for t in range(ann.TABLES):
             assert own[i, t] in visits[t][:40]
+
+
+def test_fewer_than_k_found_are_completed(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=16)
+    near = [x + rng.normal(0, 0.01, 16) for _ in range(3)]
+    # the query, its antipode, a far vector, and one id with a near and a far vector
+    rows = [(0, x), (1, -x), (2, near[0]), (3, near[1]), (4, near[2]), (4, -near[2]), (5, -2 * x + rng.normal(0, 0.01, 16))]
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    assert [r for r, _ in got] == [1, 2, 3, 4, 5] and {v for _, v in got} == {1, 2, 3, 4, 5}
+    assert ann.nearest(df.where("vec_id < 2"), F.lit(True), 5).count() == 2
