@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, release
+
+#: A walk's rounds are put together into one table after so many.
+MERGE_EVERY = 16
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -33,28 +38,35 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e, old = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()), e
+        release(old)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, cut_every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, cut_every: int = 6) -> DataFrame:
     """(node, rank) after a fixed number of rounds; the weight of nodes without targets is lost and ranks are scaled once at the end.
 
-    edges (src, dst) may repeat; a null dst marks a node without targets.
+    edges (src, dst) may repeat; a null dst marks a node without targets. A round is one join and one grouped
+    sum: every node takes part in the sum with a share of its own, so no second join brings back nodes without links.
     """
-    e = cut_lineage(edges.where("src is not null").distinct())
-    nodes = cut_lineage(e.select(F.col("src").alias("node")).unionByName(e.where("dst is not null").select(F.col("dst").alias("node"))).distinct())
-    n = nodes.count()
-    links = e.where("dst is not null")
-    links = cut_lineage(links.join(links.groupBy("src").agg(F.count("*").alias("out")), "src"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    e = edges.where("src is not null").distinct()
+    # one row a link, and one without a target for each node, which keeps the node and its base
+    ends = e.where("dst is not null")
+    out = ends.groupBy("src").agg(F.count("*").alias("out"))
+    nodes = e.select(F.col("src").alias("node")).unionByName(ends.select(F.col("dst").alias("node"))).distinct()
+    stay = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("long").alias("out"))
+    links = cut_lineage(ends.join(out, "src").select("src", "dst", "out").unionByName(stay).repartition("src"))
+    n = links.where("out is null").count()
+    ranks, held = links.where("out is null").select(F.col("src").alias("node"), F.lit(1.0 / max(n, 1)).alias("rank")), None
     base = (1.0 - damping) / max(n, 1)
+    share = F.when(F.col("out").isNotNull(), F.lit(damping) * F.col("rank") / F.col("out")).otherwise(F.lit(base))
     for i in range(rounds):
-        got = ranks.join(links, ranks.node == links.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        ranks = nodes.join(got, "node", "left").select("node", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        ranks = links.join(ranks, links.src == ranks.node).groupBy(F.col("dst").alias("node")).agg(F.sum(share).alias("rank"))
         if i % cut_every == cut_every - 1:
             ranks = cut_lineage(ranks)
+            release(held)
+            held = ranks
     total = ranks.agg(F.sum("rank")).first()[0]
     return ranks.select("node", (F.col("rank") / F.lit(total or 1.0)).alias("rank"))
 
@@ -80,16 +92,21 @@ def stars(score: Column, symbols: Column) -> Column:
 def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(start, node, depth): nodes reached from each start by at most `most` steps, with the fewest steps; starts have depth 0."""
     e = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    seen = cut_lineage(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
-    frontier, depth = seen, 0
+    frontier, depth = cut_lineage(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()), 0
+    rounds = [frontier]  # what each round found; put together from time to time
     while most is None or depth < most:
         depth += 1
+        seen = reduce(DataFrame.unionByName, rounds)
         new = frontier.join(e, frontier.node == e.src).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         frontier = cut_lineage(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
-    return seen
+        if len(rounds) == MERGE_EVERY:
+            seen = cut_lineage(seen)
+            release(*rounds[:-1])
+            rounds = [seen]
+        rounds.append(frontier)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def trace(edges: DataFrame, start: str, most: int = 5) -> DataFrame:
@@ -118,32 +135,37 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         while True:  # trim
             size = e.count()
-            e = cut_lineage(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            e, old = cut_lineage(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")), e
+            release(old)
             if e.count() == size:
                 break
         if e.isEmpty():
             break
-        colour = cut_lineage(e.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        colour = held = cut_lineage(e.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
             got = colour.join(e, colour.node == e.src).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("got"))
             new = cut_lineage(colour.join(got, "node", "left").select("node", F.least("colour", F.coalesce("got", "colour")).alias("colour"), (F.col("got") < F.col("colour")).alias("moved")))
             done = new.where("moved").isEmpty()
-            colour = new.select("node", "colour")
+            release(held)
+            colour, held = new.select("node", "colour"), new
             if done:
                 break
         a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd"))
         inside = cut_lineage(e.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour")))
         own = cut_lineage(colour.where("node = colour").select("node", "colour"))
-        frontier = own
+        frontier, before = own, None
         while True:  # backwards within a colour
             back = frontier.toDF("dst", "colour").join(inside, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
             frontier = cut_lineage(back.join(own, ["node", "colour"], "left_anti"))
             if frontier.isEmpty():
                 break
-            own = cut_lineage(own.unionByName(frontier))
+            own, old = cut_lineage(own.unionByName(frontier)), own
+            release(old, before)
+            before = frontier
         found = own if found is None else found.unionByName(own)
         rest = own.select("node")
-        e = cut_lineage(e.join(rest.select(F.col("node").alias("src")), "src", "left_anti").join(rest.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        e, old = cut_lineage(e.join(rest.select(F.col("node").alias("src")), "src", "left_anti").join(rest.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")), e
+        release(old, inside, held)
     if found is None:
         return e.select(F.col("src").alias("node"), F.col("src").alias("component"))
     big = found.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
@@ -188,7 +210,9 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         placed = ready if placed is None else placed.unionByName(ready)
         if last:
             break
-        left = cut_lineage(left.join(ready, "node", "left_anti"))
-        e = cut_lineage(e.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        next_left = cut_lineage(left.join(ready, "node", "left_anti"))
+        next_e = cut_lineage(e.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        release(left, e)
+        left, e = next_left, next_e
         level += 1
     return placed if placed is not None else left.withColumn("level", F.lit(0))
