@@ -22,32 +22,33 @@ BUCKETS = 1 << BUCKET_BITS
 PIECE = 1 << 12
 ALPHA = 0.5
 UNKNOWN = "und"
-_chars: list[np.ndarray] = []
+_chars: list[np.ndarray] = []  # for each code point below 65,536: what it is folded to, and whether it is a letter
 
 
-def _fold(c: int) -> int:
-    """A letter as its lower-case code point; a mark as itself; anything else as a space."""
+def _fold(c: int) -> tuple[int, bool]:
+    """A letter as its lower-case code point; a mark as itself; anything else as a space. And whether it is a letter."""
     x = chr(c)
     kind = unicodedata.category(x)
     if kind[0] == "L":
         low = x.lower()
-        return ord(low) if len(low) == 1 else c
-    return c if kind[0] == "M" else 32
+        return (ord(low) if len(low) == 1 else c), True
+    return (c if kind[0] == "M" else 32), False
 
 
 def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Folded code points with one space around each text and each run of letters, where texts begin, and the letters of each text."""
     if not _chars:
-        _chars.append(np.array([32 if 0xD800 <= c < 0xE000 else _fold(c) for c in range(1 << 16)], np.uint32))
+        folded = [(32, False) if 0xD800 <= c < 0xE000 else _fold(c) for c in range(1 << 16)]
+        _chars.extend([np.array([c for c, _ in folded], np.uint32), np.array([x for _, x in folded], bool)])
     code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
     first = (data & 0xC0) != 0x80
     number = np.zeros(len(data) + 1, np.int64)
     np.cumsum(first, out=number[1:])
     start = number[at]
-    low = _chars[0][np.minimum(code, 0xFFFF)]
+    plane = np.minimum(code, 0xFFFF)
+    low, letter = _chars[0][plane], _chars[1][plane]
     for i in np.flatnonzero(code > 0xFFFF):
-        low[i] = _fold(int(code[i]))
-    letter = low != 32
+        low[i], letter[i] = _fold(int(code[i]))
     total = np.zeros(len(low) + 1, np.int64)
     np.cumsum(letter, out=total[1:])
     letters = np.diff(total[start])

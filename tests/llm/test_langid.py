@@ -22,7 +22,7 @@ def _docs(spark, n=240):
 def _brute_grams(text):
     chars = [" "]
     for c in text:
-        x = chr(langid._fold(ord(c)))
+        x = chr(langid._fold(ord(c))[0])
         if x != " " or chars[-1] != " ":
             chars.append(x)
     if chars[-1] != " ":
@@ -31,10 +31,10 @@ def _brute_grams(text):
 
 
 def test_grams_equal_those_of_each_text_alone():
-    texts = ["Ab, cd!", "", "é", None, "  x  ", "漢字 ab", "12", "a1b"]
+    texts = ["Ab, cd!", "", "é", None, "  x  ", "漢字 ab", "12", "a1b", "\u0301", "x\u0301 \U0001e8d0"]
     data, at = text_buffer(pa.array(texts, pa.string()))
     chars, place, letters = langid.characters(data, at)
-    assert letters.tolist() == [4, 0, 1, 0, 1, 4, 0, 2]
+    assert letters.tolist() == [4, 0, 1, 0, 1, 4, 0, 2, 0, 1]
     total = [0] * len(texts)
     for n, g in zip(langid.SIZES, langid.grams(chars), strict=False):
         ok = langid._within(n, place, len(chars)) & (g != langid.BUCKETS - 1)
