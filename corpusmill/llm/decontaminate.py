@@ -1,23 +1,29 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised test items, run once along each text."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised test items, run once along each text.
+
+A benchmark too large for one automaton in memory is dealt over several, which run over each slice of texts in turn.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import byte_table
-from corpusmill.session import cut_lineage
+from corpusmill.llm.common import byte_table, slices, text_buffer
+from corpusmill.session import cut_lineage, release
 
 WINDOW = 10
-#: One automaton holds items of about so many words; a larger benchmark is dealt over several, one pass each.
+#: One automaton holds items of about so many words; a larger benchmark is dealt over several.
 MOST_WORDS = 60_000
+#: Texts are worked through in batches of about so many bytes; with several automata, in slices of so many.
+BATCH_BYTES, SLICE_OF_PARTS = 1 << 20, 16 << 20
 NORMAL = bytes(byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128, other=32).tolist())
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -85,24 +91,62 @@ FOUND = [T.StructField("n_words", T.LongType()), T.StructField("words_hit", RANG
 ARROW_RANGE = pa.list_(pa.struct([(n, pa.int64()) for n in PLACES]))
 
 
-def _scan(docs: DataFrame, text_col: str, items: list[tuple[str, str | None]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _places(raw: bytes, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Runs of words as places in the text as it was, in characters."""
+    if not ranges:
+        return []
+    where = np.array([m.span() for m in WORD.finditer(raw)], np.int64)
+    chars = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=chars[1:])
+    r = np.array(ranges, np.int64)
+    first, last = chars[where[r[:, 0], 0]], chars[where[r[:, 1] - 1, 1]]
+    return [dict(zip(PLACES, x, strict=True)) for x in np.stack([r[:, 0], r[:, 1], first, last], axis=1).tolist()]
+
+
+def _scan(docs: DataFrame, text_col: str, parts: list[Broadcast]) -> DataFrame:
+    """docs with what the items of all parts hit. Texts are read once; where there are several parts, a slice of
+    texts stays in memory while one part's automaton after another is built and run over it."""
     at = docs.columns.index(text_col)
 
+    def judged(batches: list[pa.RecordBatch], matchers: Iterable[Matcher]) -> Iterator[pa.RecordBatch]:
+        raw = [[x.as_py() or b"" for x in b.column(at).cast(pa.large_binary())] for b in batches]
+        n = [[0] * len(own) for own in raw]
+        ranges: list[list[list]] = [[[] for _ in own] for own in raw]
+        names: list[list[set]] = [[set() for _ in own] for own in raw]
+        for matcher in matchers:
+            for k, own in enumerate(raw):
+                for i, text in enumerate(own):
+                    words = words_of(text)
+                    n[k][i] = len(words)
+                    hit, items = matcher.find(words)
+                    if hit:
+                        ranges[k][i] += merge(hit)
+                        names[k][i] |= items
+        for k, b in enumerate(batches):
+            hit = [_places(text, merge(r)) for text, r in zip(raw[k], ranges[k], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n[k], pa.int64()), pa.array(hit, ARROW_RANGE), pa.array([sorted(x) for x in names[k]], pa.list_(pa.string()))], [*b.schema.names, "n_words", "words_hit", "items"])
+
     def run(batches):
-        matcher = Matcher(sent.value)
+        if len(parts) == 1:
+            matcher = Matcher(parts[0].value)
+            for b in batches:
+                for first, stop in slices(b.column(at), BATCH_BYTES):
+                    yield from judged([b.slice(first, stop - first)], [matcher])
+            return
+        def each():
+            for p in parts:
+                yield Matcher(p.value)
+                vars(p).pop("_value", None)  # read again for the next slice: one part is in memory at a time
+
+        held, size = [], 0
         for b in batches:
-            n, hit, names = [], [], []
-            for text in b.column(at).cast(pa.large_binary()):
-                raw = text.as_py() or b""
-                words = words_of(raw)
-                ranges, own = matcher.find(words)
-                ranges = merge(ranges)
-                where = [m.span() for m in WORD.finditer(raw)] if ranges else []  # those words in the text as it was
-                n.append(len(words))
-                hit.append([dict(zip(PLACES, (a, z, len(raw[: where[a][0]].decode()), len(raw[: where[z - 1][1]].decode())), strict=True)) for a, z in ranges])
-                names.append(sorted(own))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(hit, ARROW_RANGE), pa.array(names, pa.list_(pa.string()))], [*b.schema.names, "n_words", "words_hit", "items"])
+            held.append(b)
+            size += len(text_buffer(b.column(at))[0])
+            if size >= SLICE_OF_PARTS:
+                yield from judged(held, each())
+                held, size = [], 0
+        if held:
+            yield from judged(held, each())
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND]))
 
@@ -111,49 +155,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """docs with n_words, n_hit, n_items, items (sorted ids as text), spans (of the hit words, in characters of the text) and contaminated.
 
     A null text has no words, an item without words has no window, a null item id reads as empty text,
-    and repeated items count once. The benchmark is collected only up to `most_words` words at a time
-    (a word being at least two bytes of text); beyond that its items are dealt by hash, the texts are
-    scanned once for each part, and what was found is put together by row. Columns of docs with the
-    new names are replaced.
+    and repeated items count once. Texts are scanned once, whatever the benchmark's size: its items are
+    collected and sent about `most_words` words at a time (a long item in pieces that overlap by a window
+    less a word), and the automata of several parts run over each slice of texts in turn. Columns of docs
+    with the new names are replaced.
     """
     new = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated", "words_hit"]
     docs = docs.drop(*new)
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text).cast("string").alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text).cast("string").alias("text")).distinct()
+    step = max(1, most_words // 4)
+
+    def cut(batches):
+        for b in batches:
+            ids, pieces = [], []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), strict=True):
+                words = words_of(text.as_py() or b"")
+                for i in range(0, max(1, len(words) - WINDOW + 1), step):
+                    ids.append(name)
+                    pieces.append(b" ".join(words[i : i + step + WINDOW - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(pieces, pa.string())], ["id", "text"])
+
+    items = cut_lineage(items.mapInArrow(cut, "id string, text string").where("text <> ''"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // (6 * most_words)))
     own = lambda k: [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()]
-    if parts == 1:
-        found = _scan(docs, text_col, own(0))
-    else:
-        rows = docs.select(F.monotonically_increasing_id().alias("_row"), text_col)
-        hits = None
-        for k in range(parts):
-            x = _scan(rows, text_col, own(k)).where(F.size("items") > 0).select("_row", "words_hit", "items")
-            hits = x if hits is None else hits.unionByName(x)
-        hits = cut_lineage(hits)
-        union = lambda c: F.flatten(F.collect_list(c))
-        hits = hits.groupBy("_row").agg(_merged(union("words_hit")).alias("words_hit"), F.array_sort(F.array_distinct(union("items"))).alias("items"))
-        base = _scan(docs.withColumn("_row", F.monotonically_increasing_id()), text_col, []).drop("words_hit", "items")
-        empty = F.array()
-        found = base.join(hits, "_row", "left").drop("_row").withColumns({"words_hit": F.coalesce("words_hit", empty.cast(RANGE)), "items": F.coalesce("items", empty.cast("array<string>"))})
+    found = _scan(docs, text_col, [docs.sparkSession.sparkContext.broadcast(own(k)) for k in range(parts)])
+    release(items)
     hit = F.aggregate("words_hit", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     spans = F.transform("words_hit", lambda x: F.struct(x["first"].alias("start"), x["last"].alias("end")))
     return found.withColumns({"n_hit": hit, "spans": spans, "n_items": F.size("items").cast("long")}).withColumn("contaminated", F.col("n_hit") > 0).drop("words_hit")
 
 
-def _merged(ranges):
-    """Overlapping and touching runs of words put together, in order."""
-    start = F.array_sort(ranges)
-    none = F.array().cast(RANGE)
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))))
-        return F.when((F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(start, none, step)
-
-
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = find_contamination(rows, benchmark)

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from corpusmill.llm import decontaminate as D
 
 
@@ -47,14 +49,34 @@ def test_query_equals_brute_force(spark):
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
-def test_large_benchmarks_are_dealt_over_parts(spark):
+def test_large_benchmarks_are_dealt_over_parts(spark, monkeypatch):
     _, _, docs, bench = _tables(spark)
     order = lambda d: sorted(map(str, d.select("doc_id", "n_words", "n_hit", "n_items", "items", "spans", "contaminated").collect()))
     assert order(D.find_contamination(docs, bench)) == order(D.find_contamination(docs, bench, most_words=20))
+    monkeypatch.setattr(D, "SLICE_OF_PARTS", 100)
+    assert order(D.find_contamination(docs, bench)) == order(D.find_contamination(docs, bench, most_words=4))
+
+
+def test_a_long_item_is_found_wherever_it_is_cut(spark):
+    words = [f"x{i}" for i in range(95)]
+    docs = spark.createDataFrame([(i, "a " + " ".join(words[i : i + 10]) + " b") for i in range(86)] + [(200, " ".join(words[80:89]))], "doc_id long, text string")
+    bench = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    for most in (60_000, 40, 8):
+        got = {r["doc_id"]: r["n_hit"] for r in D.find_contamination(docs, bench, most_words=most).collect()}
+        assert got == {i: 10 for i in range(86)} | {200: 0}
+
+
+def test_many_runs_in_a_long_text(spark):
+    docs = spark.createDataFrame([(1, "é the end, " * 40000), (2, None), (3, "")], "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
+    bench = spark.createDataFrame([(None, "the end")], "item_id string, text string")
+    got = {r["doc_id"]: r for r in D.find_contamination(docs, bench).collect()}
+    assert got[1]["n_hit"] == 80000 and len(got[1]["spans"]) == 40000 and got[1]["items"] == [""]
+    assert all(got[1]["text"][s["start"] : s["end"]] == "the end" for s in got[1]["spans"][:50])
+    assert got[2]["n_words"] == got[3]["n_words"] == 0
 
 
 def test_spans_point_into_the_original_text(spark):
-    docs = spark.createDataFrame([(1, "Ünd: ONE—two; one TWO")], "doc_id long, text string").withColumn("spans", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0))
+    docs = spark.createDataFrame([(1, "Ünd: ONE—two; one TWO")], "doc_id long, text string").withColumn("spans", F.lit(0))
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     (r,) = D.find_contamination(docs, bench).collect()
     assert [r["text"][s["start"] : s["end"]] for s in r["spans"]] == ["one TWO"] and r["items"] == ["1"]
