@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, decontaminate, langid, simhash, toxicity
-from corpusmill.session import ensure_checkpoint_dir, table
+from corpusmill.session import cut_lineage, ensure_checkpoint_dir, remove, table
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, dict[str, str]], DataFrame], keep: Column) -> DataFrame:
@@ -51,8 +51,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def judge(rows: DataFrame, c: dict[str, str]) -> DataFrame:
-        dropped = simhash.near_duplicates(rows, id_col=c["doc_id"], text_col=c["text"]).where("uid <> keeper").select(F.col("uid").alias("_uid"))
-        return rows.withColumn("_uid", F.monotonically_increasing_id()).join(dropped, "_uid", "left_anti")
+        rows = cut_lineage(rows.withColumn("_uid", F.monotonically_increasing_id()))  # numbered once, for both sides of the join
+        dropped = simhash.near_duplicates(rows, id_col=c["doc_id"], text_col=c["text"], uid_col="_uid").where("uid <> keeper").select(F.col("uid").alias("_uid"))
+        return rows.join(dropped, "_uid", "left_anti")
 
     return _kept(docs, judge, F.lit(True))
 
@@ -73,11 +74,6 @@ STAGES = [("language ID", language), ("toxicity", toxic), ("SimHash near-dedup",
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to `documents`; what lies between them is kept in the session's shared folder."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -90,6 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
         before = path
     return docs

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.common import byte_table, slices
 from corpusmill.operators.graph import connected_components
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, release
 
 BITS = 4
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -111,8 +111,8 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, uid, fp): the fingerprint of each row's whole text as a signed long; uid numbers the rows of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
+    """(id, uid, fp): the fingerprint of each row's whole text as a signed long; uid is the column named, or numbers the rows of docs."""
 
     def run(batches):
         for b in batches:
@@ -121,7 +121,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = np.array([fingerprint(x or b"") for x in text[first:stop].to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:stop], b.column(1)[first:stop], pa.array(fp.view(np.int64))], ["id", "uid", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("text"))
+    uid = F.monotonically_increasing_id() if uid_col is None else F.col(uid_col).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), uid.alias("uid"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("uid", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
@@ -213,9 +214,13 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
     """(id, uid, fp, component_id, keeper) for each row of docs.
 
+    Rows that are to be told apart afterwards bring a number of their own in uid_col, written down before: a
+    number made on reading may change when files are read again. Without one the rows are numbered here, and
+    the numbers hold within this result only. Columns of docs beyond these are not carried along.
+
     component_id is the smallest id reachable over links of at most 4 differing fingerprint bits; keeper
     is the uid of the row to keep (smallest id, then first row). Null and empty texts have fingerprint
     zero and are linked like any other; repeated rows share a component; null ids count as largest.
@@ -228,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     moved = linked.join(least, "component").where("first <> least").select(F.col("fp").alias("own"), "least")
     heads = cut_lineage(distinct.join(moved, distinct.fp == moved.own, "left").select("fp", F.coalesce("least", "first").alias("head")))
+    release(distinct)
     return prints.join(heads, "fp").select("id", "uid", "fp", F.col("head.id").alias("component_id"), F.col("head.uid").alias("keeper"))
 
 
