@@ -4,13 +4,15 @@ Each of TABLES tables has PROJECTIONS Gaussian (2-stable) projections of the uni
 one standard deviation wide; a vector's cells name its bucket. For a query, the chance that a neighbour at the design
 similarity lies in a bucket is the product, over projections, of a normal's mass in each cell, the normal
 being centred where the query's own projection is shrunk to. Perturbed buckets, empty ones included, are
-gone through in the order of that chance until they hold a set share of it; candidates of all tables are merged and
-ranked by the exact cosine of the original vectors.
+gone through in the order of that chance until they hold a share of it that is measured: for a sample of vectors
+the true neighbours among all rows are found first, and the share is the least that would have met them. Candidates
+of all tables are merged and ranked by the exact cosine of the original vectors.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,9 @@ TABLES, PROJECTIONS = 2, 9
 #: Cell edges in standard deviations of a projection; the outer cells are open, so a table has at most 3^9 buckets.
 EDGES = np.array([-0.5, 0.5])
 CELLS = len(EDGES) + 1
-#: Each table's buckets are gone through until they hold this much of a neighbour's chance.
-SUCCESS = 0.8
-#: The design similarity, at which nine of ten vectors have their k-th neighbour or nearer, is taken from this many vectors at most.
-SAMPLE = 2000
+#: The share of a neighbour's chance up to which buckets are gone through is set so that of the true neighbours of SAMPLE
+#: vectors this part would be met. The design similarity is what three of four of them have in their k-th neighbour.
+RECALL, SAMPLE = 0.96, 256
 #: A unit of work holds about so many vectors, and meets packs of so many queries.
 UNIT, PACK = 16_384, 256
 SEED = 20240711
@@ -49,25 +50,48 @@ def buckets(unit: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (cell * CELLS ** np.arange(PROJECTIONS)).sum(axis=2)
 
 
-def probes(unit: np.ndarray, a: np.ndarray, similarity: float, occupied: list[np.ndarray], held: list[np.ndarray] | None = None, k: int = 0) -> list[list[np.ndarray]]:
-    """For each query and table, positions among the table's occupied buckets, in order of estimated success, as far as SUCCESS.
-
-    held: how many ids each bucket has, each id counted in one bucket of a table. Where no table's buckets are sure
-    to hold k ids beside the query's own, the first table's are gone through further, until they do or none is left.
-    """
+def chances(unit: np.ndarray, a: np.ndarray, similarity: float) -> Iterator[list[np.ndarray]]:
+    """For each query and table, the chance of every bucket of the table, by its number, and the sum of all chances that are as large or larger."""
     spread = math.sqrt(max(1 - similarity**2, 1e-6))
     centre = np.einsum("nd,tpd->ntp", unit, a) * similarity
     upper = _cdf((np.append(EDGES, np.inf) - centre[..., None]) / spread)
     mass = np.maximum(np.diff(np.concatenate([np.zeros((*centre.shape, 1)), upper], axis=-1), axis=-1), 1e-9)
-    out = []
     for i in range(len(unit)):
         own = []
         for t in range(TABLES):
             every = np.ones(1)
-            for p in range(PROJECTIONS - 1, -1, -1):  # the chance of every bucket of the table, by its number
+            for p in range(PROJECTIONS - 1, -1, -1):
                 every = (every[:, None] * mass[i, t, p][None, :]).ravel()
+            own.append(every / every.sum())
+        yield own
+
+
+def share_needed(unit: np.ndarray, a: np.ndarray, similarity: float, near: list[np.ndarray]) -> list[float]:
+    """For each neighbour, given by its buckets (a row of TABLES numbers) under its query, the share at which the first table meets it."""
+    out = []
+    for own, rows in zip(chances(unit, a, similarity), near, strict=True):
+        if len(rows):
+            need = []
+            for t, every in enumerate(own):
+                order = np.sort(every)[::-1]
+                total = np.cumsum(order)
+                need.append(total[np.searchsorted(-order, -every[rows[:, t]], side="left")])
+            out += np.min(need, axis=0).tolist()
+    return out
+
+
+def probes(unit: np.ndarray, a: np.ndarray, similarity: float, occupied: list[np.ndarray], success: float, held: list[np.ndarray] | None = None, k: int = 0) -> list[list[np.ndarray]]:
+    """For each query and table, positions among the table's occupied buckets, in order of estimated success, as far as that share of it.
+
+    held: how many ids each bucket has, each id counted in one bucket of a table. Where no table's buckets are sure
+    to hold k ids beside the query's own, the first table's are gone through further, until they do or none is left.
+    """
+    out = []
+    for tables in chances(unit, a, similarity):
+        own = []
+        for t, every in enumerate(tables):
             order = np.sort(every)[::-1]
-            least = order[min(np.searchsorted(np.cumsum(order), SUCCESS * every.sum()), len(order) - 1)]
+            least = order[min(np.searchsorted(np.cumsum(order), success), len(order) - 1)]
             chance = every[occupied[t]]
             visit = np.flatnonzero(chance >= least)
             own.append(visit[np.argsort(-chance[visit], kind="stable")])
@@ -80,7 +104,15 @@ def probes(unit: np.ndarray, a: np.ndarray, similarity: float, occupied: list[np
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component lies between a half and one: no square overflows or vanishes, and no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    if not len(x):
+        return x
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -90,7 +122,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def best(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest by exact cosine, ties to smaller ids; each id once, the query's own id never."""
+    """The k nearest by exact cosine, ties to smaller ids; each id once, the query's own id never. Query and vectors are scaled."""
     score = (vectors * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((vectors * vectors).sum(axis=1)))
     order = np.lexsort((ids, -score))
     ids, score = ids[order], score[order]
@@ -102,28 +134,27 @@ def best(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, k: i
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` selects, the k nearest rows found.
 
-    Rows without an id, and vectors that are null, zero, of another length than most, or that hold null or
-    non-finite components, take no part. Fewer than k candidates: all of them. Rows that repeat an id
-    count once, with the nearer vector. Work is dealt in units of about UNIT vectors of some buckets of
-    one table; a group of buckets with more (many equal vectors, say) is cut by a hash of the id, and the packs of
-    queries that probe it go to each cut. What is broadcast is the list of occupied buckets, at most
-    CELLS ** PROJECTIONS a table.
+    Rows without an id, and vectors that are null, empty, zero, or hold null or non-finite components, take no
+    part; any finite component counts, however large or small. Vectors of different lengths have no cosine, so
+    each length is searched on its own. Fewer than k candidates: all of them. Rows that repeat an id count once,
+    with the nearer vector. Other columns are not read, whatever their names; an empty table gives no rows. Work is
+    dealt in units of about UNIT vectors of some buckets of one table; a group of buckets with more (many equal
+    vectors, say) is cut by a hash of the id, and the packs of queries that probe it go to each cut. What is broadcast
+    is the list of occupied buckets, at most CELLS ** PROJECTIONS a table, and SAMPLE vectors.
     """
-    spark = vectors.sparkSession
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
-    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists(v, lambda x: F.abs(x) > 1e-150))
-    sizes = rows.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dim, total = sizes[0]["d"], sizes[0]["count"]
-    rows = rows.where(F.size(v) == dim)
-    sample = unit_rows(np.array([r["v"] for r in rows.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()]))
-    near = sample @ sample.T
-    np.fill_diagonal(near, -1)
-    kth = np.sort(near, axis=1)[:, -min(k, len(sample))]
-    similarity = float(np.clip(np.quantile(kth, 0.1), 0.05, 0.95))
+    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(v, lambda x: x != 0))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in rows.groupBy(F.size(v).alias("d")).agg(F.count("*").alias("n"), F.count_if("q").alias("asked")).orderBy("d").collect():  # one row a length
+        if r["asked"]:
+            out = out.unionByName(_nearest(rows.where(F.size(v) == r["d"]), r["d"], r["n"], k))
+    return out
+
+
+def _nearest(rows: DataFrame, dim: int, total: int, k: int) -> DataFrame:
+    """nearest() for vectors (id, v, q) of one length."""
+    spark = rows.sparkSession
     a = directions(dim)
 
     def place(batches):
@@ -133,6 +164,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(t[:, i]) for i in range(TABLES))], [*b.schema.names, *(f"t{i}" for i in range(TABLES))])
 
     placed = cut_lineage(rows.mapInArrow(place, "id long, v array<double>, q boolean, " + ", ".join(f"t{i} long" for i in range(TABLES))))
+    similarity, success = _measure(placed, a, dim, k)
     # groups of buckets: about UNIT vectors each, if the buckets allow it
     groups = max(1, math.ceil(total / UNIT))
     group = lambda b: F.pmod(F.xxhash64(b), F.lit(groups)).cast("int")
@@ -158,7 +190,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
             for first in range(0, b.num_rows, PACK):
                 ids = b.column(0).to_numpy()[first : first + PACK]
                 x = matrix(b.column(1).slice(first, PACK), dim)
-                visits = probes(unit_rows(x), a, similarity, occupied, held_in, k)
+                visits = probes(unit_rows(x), a, similarity, occupied, success, held_in, k)
                 out: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
                 for i, own in enumerate(visits):
                     for t, order in enumerate(own):
@@ -211,6 +243,47 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _measure(placed: DataFrame, a: np.ndarray, dim: int, k: int) -> tuple[float, float]:
+    """The design similarity, and the share of chance at which RECALL of the true neighbours of some vectors are met.
+
+    The vectors are SAMPLE at most, those of the smallest hashes of their ids; each task sends its k nearest rows to each.
+    """
+    chosen = placed.groupBy("id").agg(F.first("v").alias("v")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    ids, unit = np.array([r["id"] for r in chosen], np.int64), unit_rows(np.array([r["v"] for r in chosen], np.float64).reshape(-1, dim))
+    sent = placed.sparkSession.sparkContext.broadcast((ids, unit))
+    buckets_of = [f"t{i}" for i in range(TABLES)]
+
+    def near(batches):
+        ids, unit = sent.value
+        score, rows = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0, 1 + TABLES), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = b.column(0).to_numpy()
+            got = unit @ unit_rows(matrix(b.column(1), dim)).T
+            got[ids[:, None] == own[None, :]] = -np.inf
+            keep = np.argsort(-got, axis=1, kind="stable")[:, :k]
+            info = np.stack([own, *(b.column(2 + t).to_numpy() for t in range(TABLES))], axis=1)
+            score = np.concatenate([score, np.take_along_axis(got, keep, axis=1)], axis=1)
+            rows = np.concatenate([rows, info[keep]], axis=1)
+            keep = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, rows = np.take_along_axis(score, keep, axis=1), np.take_along_axis(rows, keep[..., None], axis=1)
+        i, j = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(score[i, j]), *(pa.array(rows[i, j, c]) for c in range(1 + TABLES))], ["at", "score", "near", *buckets_of])
+
+    found = placed.select("id", "v", *buckets_of).mapInArrow(near, "at long, score double, near long, " + ", ".join(f"{c} long" for c in buckets_of))
+    place = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "near"))
+    found = found.withColumn("place", place).where(F.col("place") <= k).toArrow()  # at most k rows a sampled vector
+    at, score = found["at"].to_numpy(), found["score"].to_numpy()
+    if not len(at):
+        return 0.5, 1.0
+    numbers = np.stack([found[c].to_numpy() for c in buckets_of], axis=1)
+    last = [score[at == i].min() for i in np.unique(at)]
+    similarity = float(np.clip(np.quantile(last, 0.25), 0.05, 0.95))
+    need = share_needed(unit, a, similarity, [numbers[at == i] for i in range(len(ids))])
+    return similarity, float(np.quantile(need, RECALL, method="higher"))
+
+
 def _runs(key: np.ndarray):
     if len(key):
         edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
@@ -222,7 +295,7 @@ def _answer(part: pa.RecordBatch, row: int, dim: int, k: int, ids, vecs, units,
     asked = np.frombuffer(part.column(7)[row].as_py(), np.int64)
     x = np.frombuffer(part.column(8)[row].as_py(), np.float64).reshape(-1, dim)
     score = np.full((len(asked), len(ids)), -np.inf)
-    direction = unit_rows(x)
+    direction, whole = unit_rows(x), scaled(x)
     by_bucket: dict[int, list[int]] = {}
     for i, visit in enumerate(part.column(9)[row].as_py()):
         for name in np.frombuffer(visit, np.int32).tolist():
@@ -238,7 +311,7 @@ def _answer(part: pa.RecordBatch, row: int, dim: int, k: int, ids, vecs, units,
             top = have[s[have] >= np.partition(s[have], len(have) - k)[len(have) - k] - 1e-9]
             if len(np.unique(ids[top])) >= k:  # rows that repeat an id count once
                 have = top
-        got, value = best(x[i], own, ids[have], vecs[have], k)
+        got, value = best(whole[i], own, ids[have], scaled(vecs[have]), k)
         q += [own] * len(got)
         found.append(got)
         exact.append(value)
