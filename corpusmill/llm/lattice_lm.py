@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,10 @@ ROUNDS = 2
 #: Added to each piece's expected count.
 SMOOTH = 0.01
 ALPHA = 0.1
-#: A word with at least this share of all tokens is looked up in a broadcast table, which so has at most 1 / SHARE rows; longer words never are.
+#: A word with at least this share of all tokens is looked up in a broadcast table, which so has at most 1 / SHARE rows; words over LONGEST bytes stand there by a digest.
 SHARE, LONGEST = 1e-6, 64
-#: A task sends counts on whenever it holds so many distinct words.
-FLUSH = 300_000
+#: A task sends counts on whenever it holds so many distinct words, or so many bytes of them.
+FLUSH, FLUSH_BYTES = 300_000, 32 << 20
 #: Looked-up texts are sent on in batches of about so many bytes.
 BATCH_BYTES = 1 << 20
 #: Longer words are scored one by one, and counted by blocks of so many bytes, so many words of like length at a time.
@@ -44,6 +46,11 @@ LOG10 = math.log(10)
 SLOT_BITS = 21
 
 
+def table_key(word: bytes) -> bytes:
+    """What a word is called in the broadcast table: itself, or a digest led by a space, which no word holds."""
+    return word if len(word) <= LONGEST else b" " + blake2b(word, digest_size=16).digest()
+
+
 class Lattice:
     """Pieces by hash, and their log-probabilities."""
 
@@ -214,17 +221,29 @@ class Lattice:
         return out
 
 
+def batches_of(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Words in lists of at most 50,000 and about BATCH_BYTES bytes."""
+    first, size = 0, 0
+    for i, w in enumerate(words):
+        size += len(w) + 24
+        if size > 2 * BATCH_BYTES or i - first == 50_000:
+            yield words[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(words):
+        yield words[first:]
+
+
 def count_words(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
     """(word binary, n, c): how often each word stands in all texts, and in those of training rows."""
 
     def run(batches):
         every: Counter[bytes] = Counter()
         own: Counter[bytes] = Counter()
+        seen = 0
 
         def flush():
             found = list(every)
-            for a in range(0, len(found), 50_000):
-                words = found[a : a + 50_000]
+            for words in batches_of(found):
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([every[w] for w in words], pa.int64()), pa.array([own.get(w, 0) for w in words], pa.int64())], ["word", "n", "c"])
             every.clear()
             own.clear()
@@ -237,8 +256,11 @@ def count_words(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
                 every.update(words)
                 if yes:
                     own.update(words)
-                if len(every) > FLUSH:
+                seen += sum(map(len, words))
+                if len(every) > FLUSH or seen > FLUSH_BYTES and sum(map(len, every)) > FLUSH_BYTES:
                     yield from flush()
+                if seen > FLUSH_BYTES:
+                    seen = 0
         yield from flush()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), train.alias("train"))
@@ -283,6 +305,9 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "
     word model with 0.1 added to each count; both are learned from the rows that `train` marks. Null
     counts as empty text (its end alone); repeated rows each get a row; an empty table gives none.
 
+    Words of any length take the same way. Documents that repeat an id are rows of their own; words that
+    tie in frequency need no order, and other columns of docs are not read, whatever their names.
+
     Frequent words are looked up in a broadcast table with a proven bound; the others, none of which
     has more than SHARE of all tokens, meet their counts in a join on the word, so no key is hot.
     """
@@ -305,9 +330,13 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "
             paths = sent.value.score(b.column(0).to_pylist()) + math.log(shared)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array((np.logaddexp(whole, paths) - math.log(max(n, 1))) / LOG10)], ["word", "c", "lp"])
 
-    frequent = (F.col("n") >= least) & (F.octet_length("word") <= LONGEST)
-    # the frequent words are at most 1 / SHARE, each of at most LONGEST bytes
-    top = words.where(frequent).select("word", "n", "c").mapInArrow(lattice_score, "word binary, c long, lp double").toArrow()
+    def by_key(batches):
+        for b in lattice_score(batches):
+            yield b.set_column(0, "word", pa.array([table_key(w) for w in b.column(0).to_pylist()], pa.binary()))
+
+    frequent = F.col("n") >= least
+    # the frequent words are at most 1 / SHARE, each called by at most LONGEST bytes
+    top = words.where(frequent).select("word", "n", "c").mapInArrow(by_key, "word binary, c long, lp double").toArrow()
     table = {w: (c, math.log10(c + ALPHA), lp) for w, c, lp in zip(top["word"].to_pylist(), top["c"].to_pylist(), top["lp"].to_pylist(), strict=True)}
     known_words = spark.sparkContext.broadcast(table)
     rest = words.where(~frequent).select("word", "n", "c").mapInArrow(lattice_score, "word binary, c long, lp double")
@@ -331,7 +360,7 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "
                     tokens.append(len(words) + 1)
                     k, s, z = int(ends > 0), end_base, end_lp
                     for w, m in Counter(words).items():
-                        x = own.get(w)
+                        x = own.get(w if len(w) <= LONGEST else table_key(w))
                         if x is None:
                             uid.append(row)
                             word.append(w)

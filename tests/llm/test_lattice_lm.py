@@ -87,6 +87,75 @@ def test_query_equals_brute_force(spark):
     assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
 
 
+def plain_score(words, lattice, known, train):
+    """Every distinct word's log10 probability, from all segmentations one by one, with the counts of training words."""
+    ends, n, v, discount = train
+    out = {}
+    for w in words:
+        text, whole = L.MARK + w, max(known[w] - discount, 1e-300)
+        ways = [-math.inf] * len(text) + [0.0]  # from each place to the end
+        for s in range(len(text) - 1, -1, -1):
+            own = [lattice.logp[lattice.lookup[text[s:t]]] + ways[t] for t in range(s + 1, len(text) + 1) if text[s:t] in lattice.lookup]
+            top = max(own)
+            ways[s] = top + math.log(sum(math.exp(x - top) for x in own))
+        path = math.exp(ways[0] + lattice.stop) * discount * v
+        out[w] = math.log10((whole + path) / n) if whole + path > 0 else (ways[0] + lattice.stop + math.log(discount * v / n)) / math.log(10)
+    return out
+
+
+def plain_fit(types, lattice):
+    """Expectation-maximisation over distinct words, from forward and backward sums of plain loops."""
+    for _ in range(L.ROUNDS):
+        uses = [L.SMOOTH] * len(lattice.pieces)
+        for w in types:
+            text = L.MARK + w
+            n = len(text)
+            arcs = [(s, t, lattice.lookup[text[s:t]]) for s in range(n) for t in range(s + 1, min(n, s + lattice.longest) + 1) if text[s:t] in lattice.lookup]
+            a, b = [-math.inf] * n + [-math.inf], [-math.inf] * n + [0.0]
+            a[0] = 0.0
+            for s, t, i in arcs:
+                a[t] = np.logaddexp(a[t], a[s] + lattice.logp[i])
+            for s, t, i in reversed(arcs):
+                b[s] = np.logaddexp(b[s], b[t] + lattice.logp[i])
+            for s, t, i in arcs:
+                uses[i] += math.exp(a[s] + lattice.logp[i] + b[t] - a[n])
+        first = sum(u for u, p in zip(uses, lattice.pieces, strict=True) if p.startswith(L.MARK))
+        on = sum(u for u, p in zip(uses, lattice.pieces, strict=True) if not p.startswith(L.MARK))
+        lattice = L.Lattice(lattice.pieces, np.log([u / first if p.startswith(L.MARK) else u / (on + len(types)) for u, p in zip(uses, lattice.pieces, strict=True)]))
+        lattice.stop = math.log(len(types) / (on + len(types)))
+    return lattice
+
+
+def test_score_equals_brute_force(spark):
+    rng = random.Random(9)
+    vocab = ["the", "of", "Thing.", "nt,", "çà", "語", "u" * 129, "https://a.b/" + "path/" * 20] + ["w%d" % i for i in range(40)]
+    rows = [(i, " ".join(rng.choice(vocab[: rng.choice([4, len(vocab)])]) for _ in range(rng.randrange(0, 25)))) for i in range(60)]
+    rows += [(500, None), (501, ""), (502, "q" * 300 + " unseen z"), (7, "the of the")]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    tokens = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(L.LOWER)) for _, t in rows]
+    known = Counter(w for ws, h in zip(tokens, held, strict=True) if not h for w in ws)
+    ends = held.count(False)
+    n, v = sum(known.values()) + ends, len(known) + 1
+    once, twice = sum(c == 1 for c in known.values()), sum(c == 2 for c in known.values())
+    discount = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+    word = plain_score({w for ws in tokens for w in ws}, plain_fit(sorted(known), LATTICE), known, (ends, n, v, discount))
+    want = Counter((i, round(sum(word[w] for w in ws) + math.log10(max(ends - discount, 0.05) / n), 5)) for (i, _), ws in zip(rows, tokens, strict=True))
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, score int, uid int")
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in L.op10(docs).collect()) == want
+
+
+def test_frequent_long_words_are_looked_up_too():
+    assert L.table_key(b"x" * 64) == b"x" * 64
+    assert len(L.table_key(b"x" * 65)) == 17 and L.table_key(b"x" * 65) != L.table_key(b"x" * 66)
+
+
+def test_words_leave_a_task_in_bounded_batches():
+    words = [b"a" * 3, b"b" * (3 << 20), *(b"%d" % i for i in range(60_000))]
+    parts = list(L.batches_of(words))
+    assert [w for p in parts for w in p] == words
+    assert max(map(len, parts)) <= 50_001 and len(parts[0]) == 2
+
+
 def test_scores_are_probabilities_and_follow_the_corpus(spark):
     rows, docs = _docs(spark)
     got = {r["doc_id"]: r["score"] for r in L.op10(docs).collect()}
