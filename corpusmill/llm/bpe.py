@@ -1,18 +1,20 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash of its last 48 bytes has certain bits zero, so equal passages are cut
-alike wherever they stand. What a chunk holds between its first and last white space is encoded once
-and kept; a chunk met again, in the same text or another, is not encoded again. A chunk's ends depend
-on what stands beside them: the join of two chunks is encoded anew from the last place in the left
-chunk to the first place in the right one at which both encodings agree whatever stands beside them.
-White space is such a place, as no token of these tokenizers holds any; a chunk without white space
-goes into the join whole, which then reaches to the next chunk.
+alike wherever they stand. Each chunk is encoded by itself, once, and kept; a chunk met again, in the same
+text or another, is not encoded again. By itself a chunk may come out wrong at its ends, where a word is cut
+through. Each join is therefore encoded anew by the library, from some words before it to some words after
+it, and what comes out must begin with the ids that the left chunk has for the first of these words and end
+with those that the right chunk has for the last; if it does not, twice as many words are taken, until both
+ends agree or the text is encoded as a whole. The ids between the agreeing words replace those of the chunks.
+Chunks of a few words go together with their neighbour, so a passage without white space is one chunk.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections import OrderedDict
 
 import numpy as np
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 from corpusmill.llm.common import _power, mix, slices, text_buffer
 
 ROLL = 48
-#: Chunks are about so many bytes on average.
-CHUNK_BITS = 9
+#: Chunks are about two to this power bytes on average, and have so many words at least.
+CHUNK_BITS, LEAST_WORDS = 9, 4
 #: A worker keeps encodings of about so many bytes of chunks and so many words; the oldest go first.
 KEEP_BYTES = 24 << 20
 BATCH_BYTES = 1 << 20
@@ -71,13 +73,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.chunks: OrderedDict[bytes, bytes] = OrderedDict()
+        self.chunks: OrderedDict[bytes, tuple[bytes, array]] = OrderedDict()
         self.kept = 0
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.token = [(self.tokenizer.id_to_token(i) or "") for i in range(size)]
 
-    def _ids(self, pieces: list[list[bytes]]) -> list[bytes]:
-        """The ids of each piece, given as its words; words not yet known are encoded in one batch."""
+    def _ids(self, pieces: list[list[bytes]]) -> list[tuple[bytes, array]]:
+        """The ids of each piece, given as its words, and how many ids each word has; words not yet known are encoded in one batch."""
         if len(self.words) > KEEP_WORDS:
             self.older, self.words = self.words, {}
         words, older = self.words, self.older
@@ -89,63 +91,126 @@ class Encoder:
                         words[w] = x
                     else:
                         new[w] = None
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, got, strict=True):
-            words[w] = np.array(e.ids, np.uint32).tobytes()
-        get = words.__getitem__
-        return [b"".join(map(get, piece)) for piece in pieces]
+        for w, ids in zip(new, self._library([*new]), strict=True):
+            words[w] = ids
+        get, out = words.__getitem__, []
+        for piece in pieces:
+            found = [*map(get, piece)]
+            out.append((b"".join(found), array("I", [len(x) >> 2 for x in found])))
+        return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end (null: none) and where each begins."""
-        data, at = text_buffer(texts)
-        raw = data.tobytes()
-        end = cuts(data, at) if len(data) else np.zeros(0, np.int64)
-        start = np.append(0, end[:-1]) if len(end) else end
-        blank = np.flatnonzero(SPACE[data])
-        lo, hi = np.searchsorted(blank, start), np.searchsorted(blank, end)
-        text_of = np.searchsorted(at, start, side="right") - 1
-        head = np.where(lo < hi, blank[np.minimum(lo, max(len(blank) - 1, 0))] if len(blank) else 0, end).tolist()
-        tail = np.where(lo < hi, blank[np.maximum(hi - 1, 0)] + 1 if len(blank) else 0, end).tolist()
-        start, end, text_of = start.tolist(), end.tolist(), text_of.tolist()
-        order: list[tuple[int, bytes | int]] = []  # (text, stored ids or the number of a piece to encode)
+    def _library(self, texts: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in got]
+
+    @staticmethod
+    def _chunks(at: np.ndarray, data: np.ndarray) -> tuple[list[int], list[int], list[int], np.ndarray]:
+        """Where chunks begin and end, the text of each, and where words begin; a chunk of few words goes together with its neighbour."""
+        end = cuts(data, at)
+        start = np.append(0, end[:-1])
+        word = ~SPACE[data]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        first[start] = word[start]
+        total = np.append(0, np.cumsum(first))
+        n = (total[end] - total[start]).tolist()
+        inside = np.zeros(len(start), bool)  # a word is cut through where the chunk begins
+        inside[1:] = word[start[1:] - 1] & word[start[1:]]
+        inside, text = inside.tolist(), (np.searchsorted(at, start, side="right") - 1).tolist()
+        s, e, t, words = [], [], [], 0
+        for a, b, own, k, through in zip(start.tolist(), end.tolist(), text, n, inside, strict=True):
+            if t and t[-1] == own and (words < LEAST_WORDS or k < LEAST_WORDS):
+                e[-1] = b
+                words += k - through
+            else:
+                s.append(a)
+                e.append(b)
+                t.append(own)
+                words = k
+        first[start] &= ~np.array(inside)
+        first[s] = word[s]
+        return s, e, t, np.flatnonzero(first)
+
+    def _by_chunk(self, raw: bytes, start: list[int], end: list[int]) -> list[tuple[bytes, array]]:
+        """Each chunk's ids by itself, from the store where it was met before."""
+        out: list[tuple[bytes, array] | int] = []
         pieces: list[list[bytes]] = []
         fresh: dict[bytes, int] = {}
-        left, text = -1, -1  # where the open join begins
-        for i in range(len(start)):
-            if text_of[i] != text:
-                if left >= 0:
-                    order.append((text, len(pieces)))
-                    pieces.append(raw[left : end[i - 1]].split())
-                text, left = text_of[i], start[i]
-            if head[i] == end[i]:
-                continue  # no white space: the join goes on
-            order.append((text, len(pieces)))
-            pieces.append(raw[left : head[i]].split())
-            body = raw[head[i] : tail[i]]
+        for s, e in zip(start, end, strict=True):
+            body = raw[s:e]
             key = xxhash.xxh3_128_digest(body)
             known = self.chunks.get(key)
             if known is not None:
                 self.chunks.move_to_end(key)
-                order.append((text, known))
+                out.append(known)
             elif key in fresh:
-                order.append((text, fresh[key]))
+                out.append(fresh[key])
             else:
+                out.append(len(pieces))
                 fresh[key] = len(pieces)
-                order.append((text, len(pieces)))
                 pieces.append(body.split())
-            left = tail[i]
-        if left >= 0:
-            order.append((text, len(pieces)))
-            pieces.append(raw[left : end[-1]].split())
-        ids = self._ids(pieces)
+        found = self._ids(pieces)
         for key, i in fresh.items():
-            self.chunks[key] = ids[i]
-            self.kept += len(ids[i]) + 120
+            self.chunks[key] = found[i]
+            self.kept += 5 * len(found[i][1]) + len(found[i][0]) + 200
         while self.kept > KEEP_BYTES and self.chunks:
-            self.kept -= len(self.chunks.popitem(last=False)[1]) + 120
-        parts = [x if isinstance(x, bytes) else ids[x] for _, x in order]
-        size = np.bincount(np.array([t for t, _ in order], np.int64), weights=np.array([len(x) // 4 for x in parts], np.float64), minlength=len(at) - 1).astype(np.int64) if order else np.zeros(len(at) - 1, np.int64)
-        return np.frombuffer(b"".join(parts), np.uint32), np.append(0, np.cumsum(size))
+            _, (ids, counts) = self.chunks.popitem(last=False)
+            self.kept -= 5 * len(counts) + len(ids) + 200
+        return [x if isinstance(x, tuple) else found[x] for x in out]
+
+    def _joins(self, raw: bytes, joins: list[int], chunks: list[tuple[bytes, array]], begins: np.ndarray, starts: list[int]) -> dict[int, tuple[int, bytes, int]]:
+        """For each join (the number of its left chunk): how many bytes of ids go at the left chunk's end, what stands in their
+        place, and how many go at the right chunk's start. A join that never agrees is left out."""
+        done: dict[int, tuple[int, bytes, int]] = {}
+        k = 2
+        while joins:
+            joins = [i for i in joins if len(chunks[i][1]) >= 2 * k and len(chunks[i + 1][1]) >= 2 * k]
+            middle = np.searchsorted(begins, [starts[i + 1] for i in joins])  # the first word that begins in the right chunk
+            windows = [raw[a:b] for a, b in zip(begins[middle - k].tolist(), begins[np.minimum(middle + k, len(begins) - 1)].tolist(), strict=True)]
+            left = []
+            for i, got in zip(joins, self._library(windows), strict=True):
+                (ids, counts), (next_ids, next_counts) = chunks[i], chunks[i + 1]
+                out, into = 4 * sum(counts[1 - k :]), 4 * sum(next_counts[: k - 1])
+                a, b = 4 * counts[-k], 4 * next_counts[k - 1]
+                agrees = len(got) >= a + b and got[:a] == ids[len(ids) - out - a : len(ids) - out] and got[len(got) - b :] == next_ids[into : into + b]
+                if agrees:
+                    done[i] = (out, got[a : len(got) - b], into)
+                else:
+                    left.append(i)
+            joins, k = left, 2 * k
+        return done
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (null: none) and where each begins."""
+        data, at = text_buffer(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        raw = data.tobytes()
+        start, end, text, begins = self._chunks(at, data)
+        chunks = self._by_chunk(raw, start, end)
+        joins = [i for i in range(len(start) - 1) if text[i] == text[i + 1]]
+        repaired = self._joins(raw, joins, chunks, begins, start)
+        whole = {text[i] for i in joins if i not in repaired}
+        parts: list[bytes] = []
+        size = [0] * (len(at) - 1)
+        before = 0
+        for i, (ids, _) in enumerate(chunks):
+            own = text[i]
+            if own in whole:
+                if i == 0 or text[i - 1] != own:
+                    parts += self._library([raw[at[own] : at[own + 1]]])
+                    size[own] = len(parts[-1]) >> 2
+                continue
+            join = repaired.get(i) if i + 1 < len(text) and text[i + 1] == own else None
+            if join is None:
+                piece = ids[before:] if before else ids
+                before = 0
+            else:
+                piece = ids[before : len(ids) - join[0]] + join[1]
+                before = join[2]
+            parts.append(piece)
+            size[own] += len(piece) >> 2
+        return np.frombuffer(b"".join(parts), np.uint32), np.append(0, np.cumsum(np.array(size, np.int64)))
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: the tokens, joined by spaces."""

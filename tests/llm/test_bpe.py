@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -28,6 +29,36 @@ def test_odd_texts():
     check([None, "", " ", "x" * 9000, "<|endoftext|> a<|startoftext|>b", "it's I'm we'll", "é é İß 漢字 😀", "a\x1cb\x85c d", "12 3.4!!?", "\n\t" * 50])
 
 
+def test_joins_are_encoded_until_both_ends_agree(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(bpe, "CHUNK_BITS", 5)
+    words = ["it's", "don't", "!!!", "we'll", "<|endoftext|>", "e\u0301a", "1234", "漢字", "a"] + ["".join(rng.choice("abcdeé'!1") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    text = " ".join(rng.choice(words) for _ in range(3000))
+    own, asked = bpe.Encoder(bpe.tokenizer_json(PATH)), []
+    library = own._library
+    own._library = lambda texts: asked.append(len(texts)) or library(texts)
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert own.encode(pa.array([text]))[0].tolist() == want
+    joins = len(own._chunks(np.array([0, len(text.encode())]), np.frombuffer(text.encode(), np.uint8))[0]) - 1
+    assert joins > 50 and asked[1:] == [joins]  # every join once: the first window agreed
+    # wrong ids near a chunk's ends are found out: the windows grow beyond them, or the text is encoded whole
+    real = bpe.Encoder._by_chunk
+    for places in ([1], [1, 2], range(1, 60)):
+
+        def wrong(self, raw, start, end, places=places):
+            out = []
+            for ids, counts in real(self, raw, start, end):
+                x, edge = np.frombuffer(ids, np.uint32).copy(), np.append(0, np.cumsum(np.array(counts, int)))
+                x[edge[sorted({k for w in places if w < len(counts) for k in (w, len(counts) - 1 - w)})]] ^= 1
+                out.append((x.tobytes(), counts))
+            return out
+
+        monkeypatch.setattr(bpe.Encoder, "_by_chunk", wrong)
+        asked.clear()
+        assert own.encode(pa.array([text]))[0].tolist() == want
+        assert asked[1] == joins and len(asked) > 2 and asked[2] > 0
+
+
 def test_chunks_are_shared_and_joins_repaired():
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdeé'!1") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
