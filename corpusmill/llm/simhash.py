@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the uid of the row to keep (smallest id, then first row). Null and empty texts have fingerprint
     zero and are linked like any other; repeated rows share a component; null ids count as largest.
     """
-    prints = cut_lineage(fingerprints(docs, id_col, text_col))
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, uid_col))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid")))
     distinct = cut_lineage(prints.groupBy("fp").agg(first.alias("first")))
     component = connected_components(fingerprint_links(distinct))

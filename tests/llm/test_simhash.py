@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 import xxhash
 
 from corpusmill.llm import simhash
@@ -114,3 +115,12 @@ def test_repeated_rows_null_ids_and_empty(spark):
     same = [r for r in got if r["component_id"] == 1]
     assert len(same) == 3 and len({r["keeper"] for r in same}) == 1
     assert simhash.op3(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_long_texts_and_numbers_brought_along(spark):
+    long = "word of a long text " * 60_000
+    docs = spark.createDataFrame([(1, long), (2, long), (3, ""), (4, None), (5, "q")], "doc_id long, text string").withColumns({c: F.lit(0) for c in ("id", "fp", "uid", "keeper", "component_id", "key")})
+    got = {r["doc_id"]: r["component_id"] for r in simhash.op3(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    kept = simhash.near_duplicates(docs.withColumn("uid", F.col("doc_id") * 10), uid_col="uid").collect()
+    assert {r["uid"]: r["keeper"] for r in kept} == {10: 10, 20: 10, 30: 30, 40: 30, 50: 50}
