@@ -50,9 +50,10 @@ def assign_shards(rows: DataFrame, key: str, shards: int) -> DataFrame:
     Slots follow the order of the keys (nulls first; rows with equal keys in any order), and are
     given without gathering a shard: rows are dealt by key range, each part is counted by shard, and a
     part numbers its own rows from the sum of the parts before it. What is sent to the driver is a
-    number for each part and shard. Names already used in rows are replaced. Empty input: no rows.
+    number for each part and shard. Other columns pass through, empty and very long texts among them;
+    those named like the new ones are replaced, and `_tie` and `_part` are dropped. Empty input: no rows.
     """
-    rows = rows.drop("shard", "slot", "grown_shard")
+    rows = rows.drop("shard", "slot", "grown_shard", "_tie", "_part")
     placed = rows.withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1), "_tie": F.monotonically_increasing_id()})
     placed = cut_lineage(placed.repartitionByRange(F.col(key).asc_nulls_first(), F.col("_tie")).sortWithinPartitions(F.col(key).asc_nulls_first(), "_tie").withColumn("_tie", F.spark_partition_id()).withColumnRenamed("_tie", "_part"))
     counts = placed.groupBy(F.col("_part").alias("part"), "shard").count().collect()
@@ -88,6 +89,7 @@ def assign_shards(rows: DataFrame, key: str, shards: int) -> DataFrame:
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """Whole texts count for size and digest; a null text has no bytes and the digest of an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     return assign_shards(rows, "doc_id", 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

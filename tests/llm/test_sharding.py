@@ -47,3 +47,11 @@ def test_query_columns_and_empty_table(spark):
     assert sharding.op2(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.shard_of(F.col("doc_id"), 0)
+
+
+def test_long_texts_and_names_of_the_operator(spark):
+    long = "né " * 700_000
+    docs = spark.createDataFrame([(1, long), (2, ""), (3, "x")], "doc_id long, text string").withColumns({"_tie": F.lit(1), "_part": F.lit("p"), "grown_shard": F.lit("g"), "size": F.lit(0)})
+    got = {r["doc_id"]: r for r in sharding.op2(docs).collect()}
+    assert got[1]["size"] == len(long.encode()) + 16 and got[1]["text_crc32"] == __import__("zlib").crc32(long.encode())
+    assert sharding.assign_shards(docs, "doc_id", 3).columns == ["doc_id", "text", "size", "shard", "grown_shard", "slot"]
