@@ -31,16 +31,13 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
-def _later(struct: Column) -> Column:
-    return F.max(struct)
-
-
 def resolve(records: DataFrame) -> DataFrame:
     """(record_id, url, ts, status, response_id, payload_digest, payload_length, headers) for each revisit.
 
     records: record_id, url, ts (long), type (`response` with a full payload, or `revisit`), headers (map of
     lower-case names), payload_digest, payload_length. Strictly earlier responses count; of several at one
-    instant that with the largest record_id does. status: `resolved` if the entity tags agree (compared
+    instant that with the largest record_id does, and of several of that id the one with the largest headers (as JSON),
+    digest and length. Other columns are not read, whatever their names. status: `resolved` if the entity tags agree (compared
     weakly) or, without a pair of tags, the modification dates do; `mismatch` if they differ; `unverified`
     if no pair can be compared; `orphan` if no earlier response exists or url or ts is null. Headers are
     those stored with the permitted ones of the revisit laid over them; a mismatch and an orphan keep only
@@ -56,7 +53,7 @@ def resolve(records: DataFrame) -> DataFrame:
         F.col("payload_length").cast("long").alias("payload_length"),
     )
     found = rows.where((F.col("kind") == 0) | (F.col("url").isNotNull() & F.col("ts").isNotNull()))
-    order = ["url", "ts", "kind", "record_id", "_tie"]
+    order = ["url", "ts", "kind", "record_id", "headers", "payload_digest", "payload_length", "_tie"]
     dealt = found.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = cut_lineage(dealt.drop("_tie").withColumn("_part", F.spark_partition_id()))
     response = F.struct("url", "ts", "record_id", "headers", "payload_digest", "payload_length")

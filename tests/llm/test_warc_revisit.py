@@ -67,3 +67,25 @@ def test_empty_and_only_revisits(spark):
     df = spark.createDataFrame([(1, "http://a/", 1, "revisit", {}, None, None)] * 2, SCHEMA)
     assert [r["status"] for r in W.resolve(df).collect()] == ["orphan", "orphan"]
     assert W.resolve(df.limit(0)).count() == 0
+
+
+def test_ties_are_settled_alike_in_and_across_parts(spark):
+    tied = [(5, "http://a.x/p", 10, "response", {"etag": f'"{k}"'}, f"d{k}", k) for k in range(9)]
+    later = [(100 + i, "http://a.x/p", 20 + i, "revisit", {}, None, None) for i in range(300)]
+    df = spark.createDataFrame(tied + later, SCHEMA)
+    for parts in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got = W.resolve(df.repartition(4)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert len(got) == 300 and {(r["status"], r["payload_digest"], r["headers"]["etag"]) for r in got} == {("unverified", "d8", '"8"')}
+
+
+def test_odd_records(spark):
+    long = {"etag": '"e"', "x-long": "v" * 2_000_000}
+    rows = [(1, "http://a.x/p", 1, "response", long, "d", 1), (2, "http://a.x/p", 2, "revisit", long, None, None), (None, "http://a.x/p", 3, "revisit", None, None, None), (3, None, None, "revisit", None, None, None), (4, "", 4, "revisit", {}, None, None), (5, None, None, "response", None, None, None), (6, "http://a.x/p", None, "revisit", {}, None, None), (7, "u", 1, None, {}, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("kind", "status", "response_id", "own", "stored", "_tie", "_part")})
+    got = {r["record_id"]: r for r in W.resolve(df).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {2: "resolved", None: "unverified", 3: "orphan", 4: "orphan", 6: "orphan"}
+    assert got[2]["headers"]["x-long"] == "v" * 2_000_000 and got[2]["response_id"] == 1
