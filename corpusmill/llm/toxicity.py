@@ -220,7 +220,9 @@ def calibrate(score: np.ndarray, label: np.ndarray, weight: np.ndarray, langs: l
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model | None:
     """Trains on a bounded sample of labelled rows (MAX_TOXIC and MAX_CLEAN, by a hash of the id); None if a label is missing.
 
-    A document with several labels counts as toxic if one says so; null labels are ignored. A fifth of
+    A document with several labels counts as toxic if one says so; null labels and labels without a document
+    are ignored, and null ids have none. Rows that repeat an id count once, with the smallest lang and words.
+    Other columns are not read, whatever their names; an empty table trains nothing. A fifth of
     the sample is set aside to calibrate thresholds by lang, which no score depends on.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -243,10 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(chosen), "id")
     rows = rows.select(F.xxhash64("id").alias("mark"), "y", "lang", "text").mapInArrow(ids_of, "mark long, y int, lang string, ids binary")
-    sample = rows.toArrow()  # as many rows as ids were chosen, and copies of them
+    first = F.min(F.struct("lang", "ids")).alias("first")
+    sample = rows.groupBy("mark", "y").agg(first).select("mark", "y", "first.lang", "first.ids").toArrow()  # as many rows as ids were chosen
     got: dict[int, tuple] = {}
     for mark, y, lang, ids in zip(*(sample[c].to_pylist() for c in ("mark", "y", "lang", "ids")), strict=True):
-        got.setdefault(mark, (y, lang, ids))
+        got[mark] = (y, lang, ids)
     marks_in_order = sorted(got)
     label = np.array([got[k][0] for k in marks_in_order], int)
     if len(set(label.tolist())) < 2:

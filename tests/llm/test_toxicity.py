@@ -93,3 +93,15 @@ def test_toxic_words_inside_unspaced_runs_are_seen(spark):
     got = toxicity.op1(docs.drop("toxic"), docs.select("doc_id", "toxic")).toPandas().merge(docs.select("doc_id", "toxic").toPandas(), on="doc_id", suffixes=("", "_label"))
     held = got[got.held_out]
     assert (held.predicted == held.toxic_label).mean() > 0.95
+
+
+def test_rows_that_repeat_an_id_train_once_in_any_order(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("sun rain hill".split()) for _ in range(12)) + (" vile" if i % 4 == 0 else ""), "en") for i in range(200)]
+    again = [(i, "quite another text " * 3, "de") for i in range(0, 200, 5)] * 3
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(None, 1), (900, 0), (3, None)], "doc_id long, toxic int")
+    score = []
+    for order in (rows + again, again[::-1] + rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3).withColumns({c: F.lit(1) for c in ("score", "mark", "y", "ids", "id", "threshold")})
+        score.append(sorted((r["doc_id"], r["score"]) for r in toxicity.op1(docs, labels).collect()))
+    assert score[0] == score[1] and len(score[0]) == 320
