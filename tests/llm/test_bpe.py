@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusmill.llm import bpe
@@ -107,3 +108,11 @@ def test_query_digests(spark):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string").withColumn("decoded", F.lit(1)).withColumn("ids", F.lit(2)).withColumn("n_tokens", F.lit(3))
+    out = bpe.encode(docs, PATH)
+    assert out.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
+    assert {(r["doc_id"], len(r["ids"]), r["decoded"]) for r in out.collect()} == {(1, 2, "a</w> b</w>"), (None, 0, "")}
+    assert bpe.op5(docs).count() == 2
