@@ -11,16 +11,18 @@ import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.functions.detect import detect
+from corpusmill.functions.detect import detect, load_yaml
 
 MISSING = object()
-FENCE = re.compile(r"(`{3,})[\s\S]*?\1")
-SHORTEST, PIECE = 20, re.compile(r"\w+|[^\w\s]|\s+")
+CDATA, XML_TOKEN = "<![CDATA[", re.compile(r"(<!\[CDATA\[.*?\]\]>|<[^>]*>)", re.S)
+SHORTEST, PIECE = 20, re.compile(r"\w{1,6}|[^\w\s]|\s+")
 STRUCTURED = {"json", "yaml", "xml", "toml", "csv"}
 
 
@@ -39,7 +41,7 @@ def load(text: str | None) -> Document:
 
 def count_tokens(text: str) -> int:
     """Approximate tokens: a word counts one for each six letters begun, a mark or a run of blanks one."""
-    return sum(-(-len(x) // 6) if x[0].isalnum() or x[0] == "_" else 1 for x in PIECE.findall(text))
+    return len(PIECE.findall(text))
 
 
 def _dump(data: object) -> str:
@@ -58,22 +60,43 @@ def _on_data(change: Callable[[object], object]) -> Callable[[Document], Documen
     return apply
 
 
+def _tight_xml(text: str) -> str:
+    """Blanks between tags and around texts dropped; what stands beside a CDATA section keeps its own."""
+    out: list[str] = []
+    tokens = [t for t in XML_TOKEN.split(text.strip()) if t]
+    tag = [t[0] == "<" and t[-1] == ">" and not t.startswith(CDATA) for t in tokens]
+    for i, token in enumerate(tokens):
+        if token[0] == "<" and (tag[i] or token.startswith(CDATA)):
+            out.append(token)
+            continue
+        after, before = i > 0 and tag[i - 1], i + 1 < len(tokens) and tag[i + 1]
+        if after and before and token.isspace():
+            continue
+        token = token.lstrip(" \t") if after else token
+        out.append(token.rstrip(" \t") if before else token)
+    return "".join(out)
+
+
+def _flow_yaml(text: str) -> str | None:
+    """YAML on one line; comments would be lost, so a text with one stays."""
+    data = None if any(x.lstrip().startswith("#") for x in text.split("\n")) else load_yaml(text)
+    if data is None:
+        return None
+    import yaml
+
+    return yaml.safe_dump(data, default_flow_style=True, sort_keys=False, width=10**9, allow_unicode=False).strip()
+
+
 def minify(d: Document) -> Document:
-    if d.data is not MISSING:
-        return replace(d, text=_dump(d.data))
-    t = d.text.strip()
-    if d.format == "yaml" and not re.search(r"(?m)^\s*#", t):
-        import yaml
-
-        data = yaml.safe_load(t)
-        return replace(d, text=yaml.dump(data, default_flow_style=True, sort_keys=False, width=999).rstrip("\n")) if isinstance(data, (dict, list)) else d
-    if d.format == "xml":
-        parts = re.split(r"(<!\[CDATA\[.*?\]\]>)", t, flags=re.S)
-        for i in range(0, len(parts), 2):
-            x = re.sub(r">\s+<", "><", parts[i])
-            parts[i] = re.sub(r"([^>])[ \t]+<", r"\1<", re.sub(r">[ \t]+([^<])", r">\1", x))
-        return replace(d, text="".join(parts).strip())
-    return d
+    if d.format == "json" and d.data is not MISSING:
+        tight = _dump(d.data)
+    elif d.format == "xml":
+        tight = _tight_xml(d.text)
+    elif d.format == "yaml":
+        tight = _flow_yaml(d.text)
+    else:
+        tight = None
+    return d if tight is None else replace(d, text=tight)
 
 
 def _empty(x: object) -> bool:
@@ -179,48 +202,102 @@ def deduplicated(x: object) -> object:
     return {"_refs": {a: s for s, a in alias.items()}, "_data": swap(x)}
 
 
-def _outside_fences(text: str, change: Callable[[str], str]) -> str:
-    """Applies change to a text in which fenced blocks stand as single marks, then puts them back."""
-    kept: list[str] = []
+def _fenced(lines: list[str], unclosed: bool = False) -> list[bool]:
+    """Of each line, whether it belongs to a fenced block; a fence ends with a line led by as many backticks. One never closed is none, or reaches to the end."""
+    out = [False] * len(lines)
+    opened, ticks = -1, 0
+    for i, line in enumerate(lines):
+        body = line.lstrip()
+        n = len(body) - len(body.lstrip("`"))
+        if opened < 0:
+            if n >= 3 and "`" * n not in body[n:]:
+                opened, ticks = i, n
+        elif n >= ticks:
+            out[opened : i + 1] = [True] * (i + 1 - opened)
+            opened = -1
+    if unclosed and opened >= 0:
+        out[opened:] = [True] * (len(lines) - opened)
+    return out
 
-    def hide(m: re.Match) -> str:
-        kept.append(m[0])
-        return f"\0F{len(kept) - 1}\0"
 
-    return re.sub("\0F(\\d+)\0", lambda m: kept[int(m[1])], change(FENCE.sub(hide, text)))
+def _squeeze(lines: list[str], fenced: list[bool]) -> list[str]:
+    """No more than one blank line between lines, two breaks at either end, and none beside a fence."""
+    full = [i for i, (x, f) in enumerate(zip(lines, fenced, strict=True)) if x or f]
+    if not full:
+        return lines[:3]
+    out = [""] * min(full[0], 2)
+    for here, following in zip(full, [*full[1:], None], strict=True):
+        out.append(lines[here])
+        if following is None:
+            out += [""] * min(len(lines) - 1 - here, 2)
+        elif following - here > 1 and not (fenced[here] or fenced[following]):
+            out.append("")
+    return out
 
 
 def collapse_whitespace(d: Document) -> Document:
-    if d.format in STRUCTURED:
+    if d.format in STRUCTURED or not d.text:
         return d
-
-    def change(t: str) -> str:
-        t = re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)[ \t]+$", "", t))
-        if not t.strip():
-            return "\n" if t else t
-        t = re.sub("\n{2,}(\0F)", r"\n\1", t)
-        return re.sub("(F\\d+\0)\n{2,}", r"\1\n", re.sub("(F\\d+\0)\n+(?=\0F)", r"\1", t))
-
-    return replace(d, text=_outside_fences(d.text, change))
+    if not d.text.strip():
+        return replace(d, text="\n" if "\n" in d.text else "")
+    lines = d.text.split("\n")
+    fenced = _fenced(lines)
+    lines = [x if f else x.rstrip(" \t") for x, f in zip(lines, fenced, strict=True)]
+    return replace(d, text="\n".join(_squeeze(lines, fenced)))
 
 
 def compact_tables(d: Document) -> Document:
-    if d.format != "markdown":
+    """Cells of a table's rows trimmed; empty cells in a row run into one, so columns may be lost."""
+    if d.format != "markdown" or "|" not in d.text:
         return d
-    out, fenced = [], False
-    for line in d.text.split("\n"):
-        fenced ^= line.startswith("```")
-        if not fenced and len(line) > 1 and line[0] == line[-1] == "|":
-            line = re.sub(r"\|{3,}", "||", "|".join(c.strip() for c in line.split("|")))
-        out.append(line)
-    return replace(d, text="\n".join(out))
+    lines = d.text.split("\n")
+    for i, inside in enumerate(_fenced(lines, unclosed=True)):
+        row = lines[i]
+        if inside or len(row) < 2 or not (row.startswith("|") and row.endswith("|")):
+            continue
+        cells = [c.strip() for c in row[1:-1].split("|")]
+        kept = [c for c, before in zip(cells, [True, *map(bool, cells)], strict=False) if c or before]
+        lead = "||" if len(cells) > 1 and not cells[0] and not cells[1] else "|"
+        if lead == "||" or len(kept) == len(cells):
+            text = "|" + "|".join(cells) + "|"
+            while "|||" in text:
+                text = text.replace("|||", "||")
+        else:
+            text = "|" + "|".join(kept) + "|"
+        lines[i] = text
+    return replace(d, text="\n".join(lines))
 
 
 def strip_comments(d: Document) -> Document:
-    if d.format not in ("markdown", "text"):
+    if d.format not in ("markdown", "text") or "<!--" not in d.text:
         return d
-    drop = lambda t: re.sub(r"\n{3,}", "\n\n", re.sub(r"<!--[\s\S]*?-->", "", re.sub(r"(?m)^<!--[\s\S]*?-->\n?", "", t)))
-    return replace(d, text=_outside_fences(d.text, drop))
+    lines = d.text.split("\n")
+    fenced = _fenced(lines)
+    out: list[str] = []
+    start = 0
+    for stop in range(1, len(lines) + 1):
+        if stop < len(lines) and fenced[stop] == fenced[start]:
+            continue
+        block = "\n".join(lines[start:stop])
+        out.append(block if fenced[start] else _uncommented(block + "\n" * (stop < len(lines))))
+        if fenced[start] and stop < len(lines):
+            out.append("\n")
+        start = stop
+    return replace(d, text="".join(out))
+
+
+def _uncommented(text: str) -> str:
+    """Comments cut out, one that leads its line with the line's break; where three breaks or more meet, two stay."""
+    kept, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (stop := text.find("-->", start + 4)) >= 0:
+        kept.append(text[at:start])
+        at = stop + 3
+        if (start == 0 or text[start - 1] == "\n") and text[at : at + 1] == "\n":
+            at += 1
+    text = "".join(kept) + text[at:]
+    while "\n\n\n" in text:
+        text = text.replace("\n\n\n", "\n\n")
+    return text
 
 
 STRATEGIES: dict[str, Callable[[Document], Document]] = {
@@ -252,11 +329,14 @@ def attempt(name: str, d: Document) -> Document:
 
 def chain(d: Document, names: list[str]) -> tuple[Document, list[str]]:
     """Rewrites in order; one is kept if it has fewer tokens, or as many and fewer characters."""
-    applied, size = [], count_tokens(d.text)
+    applied, size = [], None
     for name in names:
         new = attempt(name, d)
+        if new.text == d.text:
+            continue
+        size = count_tokens(d.text) if size is None else size
         n = count_tokens(new.text)
-        if new.text != d.text and (n, len(new.text)) < (size, len(d.text)) and n <= size:
+        if (n, len(new.text)) < (size, len(d.text)):
             applied.append(name)
             d, size = new, n
     return d, applied
@@ -278,7 +358,8 @@ def compact(text: Column, preset: str = "safe", strategies: list[str] | None = N
         for t in s:
             d = load(t)
             out, applied = chain(d, names)
-            a, b = count_tokens(d.text), count_tokens(out.text)
+            a = count_tokens(d.text)
+            b = count_tokens(out.text) if applied else a
             rows.append((d.format, out.text, applied, a, b, _saved(a, b)))
         return pd.DataFrame(rows, columns=["format", "compacted", "applied", "original_tokens", "compacted_tokens", "savings"])
 
@@ -294,7 +375,8 @@ def compact_check(text: Column) -> Column:
         for t in s:
             d = load(t)
             n = count_tokens(d.text)
-            alone = {k: round(_saved(n, count_tokens(attempt(k, d).text)), 2) for k in STRATEGIES}
+            tried = {k: attempt(k, d).text for k in STRATEGIES}
+            alone = {k: round(_saved(n, count_tokens(t)), 2) for k, t in tried.items() if t != d.text}
             rows.append((d.format, n, {k: v for k, v in alone.items() if v > 0}, _saved(n, count_tokens(chain(d, PRESETS["safe"])[0].text))))
         return pd.DataFrame(rows, columns=["format", "tokens", "estimates", "savings"])
 
@@ -312,8 +394,21 @@ def rewrite(text: Column, name: str) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    @F.pandas_udf("int")
-    def udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: count_tokens(t or "")).astype("int32")
+    """The approximate count as a built-in: letters, digits and underscores by sixes, other marks and runs of blanks one each."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]{1,6}|[^\p{L}\p{N}_ \t\n\r\f]|[ \t\n\r\f]+")), F.lit(0))
 
-    return udf(text)
+
+def _worth(c: Column, kind: T.DataType) -> Column:
+    """A typed value, null where it is empty from the leaves up; false and 0 stay."""
+    if isinstance(kind, T.StructType):
+        kept = [_worth(c[f.name], f.dataType).alias(f.name) for f in kind]
+        some = reduce(lambda a, b: a | b, [k.isNotNull() for k in kept])
+        return F.when(some, F.struct(*kept))
+    if isinstance(kind, T.ArrayType):
+        return F.nullif(F.filter(F.transform(c, lambda x: _worth(x, kind.elementType)), lambda x: x.isNotNull()), F.array().cast(kind))
+    return F.nullif(c, F.lit("")) if isinstance(kind, T.StringType) else c
+
+
+def drop_nulls(text: Column, schema: T.StructType) -> Column:
+    """JSON objects of a known schema without null and empty values, by built-ins alone; fields come in the schema's order."""
+    return F.coalesce(F.to_json(_worth(F.from_json(text, schema), schema)), F.lit("{}"))

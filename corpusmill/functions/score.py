@@ -62,24 +62,28 @@ def grade(score: Column, table: str = "audit") -> Column:
     return F.when(score.isNotNull(), out)
 
 
-def rule_scores(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, n, score, passed) for every rule of `rules`, from findings (rule_id, severity).
+def rule_scores(findings: DataFrame, rules: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(rule_id, n, score, passed) for every rule of `rules`, from findings (rule_id, severity); with `by`, for each project that has a finding.
 
     A rule without findings scores 100. Rules that weigh by severity add their points; all others count.
     """
+    keys = by or []
     points = F.lit(None).cast("int")
     for rule, penalty in PENALTIES.items():
         points = F.when(F.col("rule_id") == rule, penalty).otherwise(points)
-    for rule, by in SEVERITY_PENALTIES.items():
+    for rule, worth in SEVERITY_PENALTIES.items():
         own = F.lit(0)
-        for severity, penalty in by.items():
+        for severity, penalty in worth.items():
             own = F.when(F.col("severity") == severity, penalty).otherwise(own)
         points = F.when(F.col("rule_id") == rule, own).otherwise(points)
-    lost = findings.groupBy("rule_id").agg(F.count("*").alias("n"), F.sum(points).alias("lost"))
-    out = rules.select("rule_id").distinct().join(lost, "rule_id", "left")
+    lost = findings.groupBy(*keys, "rule_id").agg(F.count("*").alias("n"), F.sum(points).alias("lost"))
+    every = rules.select("rule_id").distinct()
+    if keys:
+        every = findings.select(*keys).distinct().crossJoin(F.broadcast(every))  # a rule set is a short table
+    out = every.join(lost, [*keys, "rule_id"], "left")
     score = F.greatest(F.lit(0), F.lit(100) - F.coalesce("lost", F.lit(0))).cast("int")
     need = F.when(F.col("rule_id") == "QUALITY_LINT", LINT_PASS_AT).otherwise(PASS_AT)
-    return out.select("rule_id", F.coalesce("n", F.lit(0)).alias("n"), score.alias("score"), (score >= need).alias("passed"))
+    return out.select(*keys, "rule_id", F.coalesce("n", F.lit(0)).alias("n"), score.alias("score"), (score >= need).alias("passed"))
 
 
 def weighted_score(checks: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -65,6 +65,45 @@ def impact(symbols: DataFrame, parts: dict[str, tuple[DataFrame, int]]) -> DataF
     return joined.select("symbol", points.alias("points")).withColumn("impact", level)
 
 
+def weighted_impact(counts: DataFrame, overrides: DataFrame, defaults: dict[str, int], project: str = "project") -> DataFrame:
+    """counts (project, symbol, and a count named as each default weight) with points and impact, under a project's own weights where it sets them.
+
+    overrides: project, and any of the weights; a null and a project without a row keep the defaults.
+    """
+    own = overrides.select(project, *[F.col(n).alias(f"own_{n}") if n in overrides.columns else F.lit(None).cast("int").alias(f"own_{n}") for n in defaults])
+    points = sum((F.coalesce(F.col(n), F.lit(0)) * F.coalesce(F.col(f"own_{n}"), F.lit(w)) for n, w in defaults.items()), F.lit(0))
+    scored = counts.join(own, project, "left").select(project, "symbol", points.alias("points"))
+    return scored.withColumn("impact", F.when(F.col("points") >= HIGH_AT, "HIGH").when(F.col("points") >= MEDIUM_AT, "MEDIUM").otherwise("LOW"))
+
+
+def failure_impacts(reports: DataFrame, callers: DataFrame, tests: DataFrame, most: int = 10) -> DataFrame:
+    """(failure, symbols, shown, more, tests, score): what the symbols of a failure touch.
+
+    reports: failure, symbol, score; callers: failure, symbol, caller; tests: failure, symbol, test. The first `most`
+    callers are shown, by symbol and name, with how many more there are; tests are counted once; the score is the
+    highest. Callers are ranked before they are gathered, so no more than `most` are.
+    """
+    from pyspark.sql import Window
+
+    order = F.array(*map(F.lit, IMPACT_ORDER))
+    head = reports.groupBy("failure").agg(F.countDistinct("symbol").alias("symbols"), F.element_at(order, F.max(F.array_position(order, F.col("score"))).cast("int")).alias("score"))
+    w = Window.partitionBy("failure")
+    ranked = callers.select("failure", "caller", F.row_number().over(w.orderBy("symbol", "caller")).alias("place"), F.count("*").over(w).alias("total")).where(F.col("place") <= most)
+    first = F.transform(F.array_sort(F.collect_list(F.struct("place", "caller"))), lambda x: x["caller"])
+    shown = ranked.groupBy("failure").agg(first.alias("shown"), F.greatest(F.max("total") - most, F.lit(0)).alias("more"))
+    seen = tests.groupBy("failure").agg(F.countDistinct("test").alias("tests"))
+    zero = F.lit(0)
+    out = head.join(shown, "failure", "left").join(seen, "failure", "left")
+    return out.select("failure", "symbols", F.coalesce("shown", F.array().cast(shown.schema["shown"].dataType)).alias("shown"), F.coalesce("more", zero).alias("more"), F.coalesce("tests", zero).alias("tests"), "score")
+
+
+def witness(rows: DataFrame, claims: dict[str, Column]) -> DataFrame:
+    """(claim, failures, holds): how many rows break each claim; a claim that is null for a row is broken by it. One pass over the rows."""
+    counted = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in claims.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("claim"), F.col(n).alias("failures")) for n in claims])
+    return counted.select(F.inline(pairs)).withColumn("holds", F.col("failures") == 0)
+
+
 def merge_impacts(reports: DataFrame, by: list[str]) -> DataFrame:
     """Reports (modules array, score) merged: sorted distinct modules, highest score."""
     rank = F.array_position(F.array(*map(F.lit, IMPACT_ORDER)), F.col("score"))

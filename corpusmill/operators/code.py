@@ -75,13 +75,13 @@ def filter_modules(modules: DataFrame, parts: list[str]) -> DataFrame:
 def describe(v: Views, detail: str = "summary") -> DataFrame:
     """Module listing: toc (counts), summary (public signatures), detailed (with docstrings and parameters)."""
     f = v["functions"].join(v["modules"].select("module", "all_exports"), "module")
-    public = F.when(F.col("all_exports").isNotNull(), F.array_contains("all_exports", F.col("name"))).otherwise(~F.startswith("name", F.lit("_")))
+    shown = public(F.col("name"), F.col("all_exports"))
     if detail == "toc":
         f_n = v["functions"].where("class_name is null").groupBy("module").agg(F.count("*").alias("functions"))
         c_n = v["classes"].groupBy("module").agg(F.count("*").alias("classes"))
         zero = F.lit(0)
         return v["modules"].join(f_n, "module", "left").join(c_n, "module", "left").select("module", F.coalesce("functions", zero).alias("functions"), F.coalesce("classes", zero).alias("classes"), F.coalesce(F.size("all_exports"), F.lit(-1)).alias("exports"))
-    own = f.where(public & F.col("class_name").isNull())
+    own = f.where(shown & F.col("class_name").isNull())
     if detail == "summary":
         return own.select("module", "signature", "line_start")
     return own.select("module", "signature", "line_start", "line_end", "docstring", F.size("params").alias("n_params"), "decorators")
@@ -93,6 +93,81 @@ def callers(v: Views, symbols: DataFrame | None = None) -> DataFrame:
     return calls if symbols is None else symbols.select("name").distinct().join(calls, "name")
 
 
+def workspace_callers(v: Views, symbols: DataFrame) -> DataFrame:
+    """Call sites in every package, the module led by its package: `package::module`."""
+    package = F.regexp_extract("module", r"^[^.]*", 0)
+    return callers(v, symbols).withColumn("module", F.concat_ws("::", package, "module"))
+
+
+def filter_tests(callers: DataFrame, type_uses: DataFrame, mode: str | None = None, exclude_tests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Callers and type uses (each with a module) without what stands in tests: `none` drops both, `related` the type uses alone.
+
+    A mode given outright goes before the flag, which means `none`.
+    """
+    from corpusmill.functions.text import is_test_module
+
+    mode = mode or ("none" if exclude_tests else None)
+    keep = ~is_test_module(F.col("module"))
+    return (callers.where(keep) if mode == "none" else callers), (type_uses.where(keep) if mode in ("none", "related") else type_uses)
+
+
+def is_outside(name: Column) -> Column:
+    """Whether a dotted name belongs to the language: a builtin, or a module of its standard library."""
+    import builtins
+    import sys
+
+    names = [n for n in dir(builtins) if not n.startswith("_")]
+    return name.isin(names) | F.substring_index(name, ".", 1).isin(sorted(sys.stdlib_module_names))
+
+
+def move_callers(files: DataFrame, module: str, names: list[str]) -> DataFrame:
+    """(path, names): files that import one of the names from a module, for a move of them.
+
+    A look at the text comes first, then what the file imports; one that has the text and does not parse is kept, with no names.
+    """
+    from corpusmill.sources import python_source as P
+
+    likely = P.parse_modules(files.where(F.contains("text", F.lit(f"from {module} import"))))
+    own = F.filter("imports", lambda i: ~i["is_relative"] & (i["target"] == module))
+    found = F.array_intersect(F.flatten(F.transform(own, lambda i: i["names"])), F.array(*map(F.lit, names)))
+    return likely.select("path", F.array_sort(found).alias("names"), "error").where((F.size("names") > 0) | F.col("error").isNotNull()).drop("error")
+
+
+def tests_naming(tests: DataFrame, symbol: str, module: str) -> DataFrame:
+    """(path) of test files (path, text) that name a symbol; only where none does, of those that import its module."""
+    direct = tests.where(F.contains("text", F.lit(symbol))).select("path")
+    line = rf"(?m)^\s*(from|import)\s+{re.escape(module)}\b"
+    fallback = tests.where(F.rlike("text", F.lit(line))).select("path")
+    none = direct.agg((F.count("*") == 0).alias("none"))
+    return direct.unionByName(fallback.crossJoin(F.broadcast(none)).where("none").select("path"))  # one row
+
+
+def public(name: Column, exports: Column) -> Column:
+    """Exported, where a module says what it exports (nothing, if the list is empty); else without a leading underscore."""
+    return F.when(exports.isNotNull(), F.array_contains(exports, name)).otherwise(~F.startswith(name, F.lit("_")))
+
+
+def symbol_corpus(v: Views, skipped: list[str]) -> DataFrame:
+    """(qualname, kind, signature, doc_first_line) of the public functions and classes of modules that parse and lie in no skipped folder."""
+    from corpusmill.functions.text import first_line
+
+    clear = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped)))
+    modules = v["modules"].where(F.col("error").isNull() & clear).select("module", "all_exports")
+    f = v["functions"].where("class_name is null").select("module", "name", F.lit("function").alias("kind"), "signature", "docstring")
+    c = v["classes"].select("module", "name", F.lit("class").alias("kind"), F.concat(F.lit("class "), "name", F.lit("("), F.array_join("bases", ", "), F.lit(")")).alias("signature"), "docstring")
+    own = f.unionByName(c).join(modules, "module").where(public(F.col("name"), F.col("all_exports")))
+    return own.select(F.concat_ws(".", "module", "name").alias("qualname"), "kind", "signature", first_line(F.col("docstring")).alias("doc_first_line"))
+
+
+def package_edges(v: Views) -> DataFrame:
+    """(src, dst, target): absolute imports of another package, resolved to the module if there is one, else to the package."""
+    package = lambda c: F.regexp_extract(c, r"^[^.]*", 0)
+    known = v["modules"].select(F.col("module").alias("known")).distinct()
+    packages = v["modules"].select(package(F.col("module")).alias("dst")).distinct()
+    i = v["imports"].where("not is_relative").select(package(F.col("module")).alias("src"), "target", package(F.col("target")).alias("dst")).where("src <> dst")
+    return i.join(packages, "dst", "left_semi").join(known, F.col("target") == F.col("known"), "left").select("src", "dst", F.coalesce("known", "dst").alias("target"))
+
+
 def callees(v: Views) -> DataFrame:
     """Calls inside any definition of a name, nested definitions included; calls of the name itself are not.
 
@@ -221,14 +296,26 @@ def doc_lines(docs: DataFrame) -> DataFrame:
 
 
 def doc_refs(docs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(symbol, path, line): lines with the symbol in backticks, or, ignoring case, in a heading.
+    """(symbol, path, line): lines with the symbol between two backticks, or, ignoring case, in a heading.
 
-    The symbols asked for are few; only lines with a backtick or a heading meet them.
+    A symbol is found inside longer words too. Each marked stretch is cut into its parts of the lengths that
+    symbols have, and those meet the symbols in an equi join.
     """
-    lines = doc_lines(docs).where(F.col("line_text").rlike("`|^#"))
-    quoted = F.concat(F.lit("`[^`]*\\Q"), F.col("symbol"), F.lit("\\E[^`]*`"))
-    heading = F.concat(F.lit("(?i)^#+\\s+.*\\Q"), F.col("symbol"), F.lit("\\E"))
-    return lines.join(symbols.select("symbol"), F.rlike("line_text", quoted) | F.rlike("line_text", heading)).select("symbol", "path", "line")
+    wanted = symbols.select("symbol").where("symbol <> ''").distinct()
+    lengths = [r["n"] for r in wanted.select(F.char_length("symbol").alias("n")).distinct().orderBy("n").collect()]  # at most the longest symbol's
+    lines = doc_lines(docs)
+    ticks = F.split("line_text", "`")
+    quoted = lines.where(F.contains("line_text", F.lit("`"))).select("path", "line", F.explode(F.slice(ticks, F.lit(2), F.greatest(F.size(ticks) - 2, F.lit(0)))).alias("stretch"))
+    headed = lines.select("path", "line", F.lower(F.regexp_extract("line_text", r"^#+\s+(.*)$", 1)).alias("stretch")).where("stretch <> ''")
+
+    def parts(stretches: DataFrame) -> DataFrame:
+        cut = lambda n: F.transform(F.sequence(F.lit(1), F.char_length("stretch") - n + 1), lambda i: F.substring("stretch", i, n))
+        every = F.flatten(F.filter(F.transform(F.array(*map(F.lit, lengths or [1])), lambda n: F.when(F.char_length("stretch") >= n, cut(n))), lambda x: x.isNotNull()))
+        return stretches.select("path", "line", F.explode(F.array_distinct(every)).alias("part"))
+
+    own = wanted.withColumn("low", F.lower("symbol"))
+    found = parts(quoted).join(own, F.col("part") == F.col("symbol")).unionByName(parts(headed).join(own, F.col("part") == F.col("low")))
+    return found.select("symbol", "path", "line").distinct()
 
 
 def undocumented(docs: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.similarity import jaccard
+from corpusmill.session import cut_lineage
 
 FEATURES = "path string, name string, class_name string, line int, body int, call_sig string, literals array<string>, patches array<string>, calls array<string>, attributes array<string>, statements array<string>, setup array<string>, raises boolean"
 # fixed values: thresholds of the conditions, and calls that are never what a test is about
@@ -15,7 +16,7 @@ LITERALS, TOKEN, TEMPLATE_BODY, SMALL_BODY, FAR, STRONG, SHARED, SETUP = 2, 4, 4
 GENERIC = ["len", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "sorted", "sum", "min", "max", "any", "all", "range", "print", "isinstance", "open", "mkdir", "write_text", "read_text", "raises", "approx", "fixture"]
 # fixed values: which conditions each signal tries, in order
 ORDER = {
-    "same_calls": ["distinct_literals", "patch_context", "setup_divergence", "call_multiplicity", "distinct_sut", "distinct_class", "raises_divergence"],
+    "same_calls": ["distinct_literals", "patch_context", "setup_divergence", "call_multiplicity", "distinct_sut", "distinct_class", "raises_divergence", "locality"],
     "same_name": ["distinct_literals", "template_pair", "patch_context", "distinct_sut", "distinct_class", "raises_divergence"],
     "same_file": ["distinct_literals", "patch_context", "body_size", "setup_divergence", "call_multiplicity", "distinct_sut", "distinct_class", "raises_divergence", "locality"],
 }
@@ -74,16 +75,35 @@ def conditions(a: str, b: str) -> dict[str, Column]:
     }
 
 
+#: A condition that must hold for every pair of a cluster; any other is enough in one.
+EVERY = "locality"
+
+
 def rescue(pairs: DataFrame, tests: DataFrame) -> DataFrame:
-    """pairs (a, b, signal) with a verdict: the first condition of the signal that holds, as ambiguous_*, else the signal."""
-    key = F.concat_ws("::", "path", F.concat_ws(".", "class_name", "name"))
-    t = tests.withColumn("key", key)
-    x, y = (t.select(*[F.col(c).alias(f"{c}_{s}") for c in t.columns]) for s in ("a", "b"))
-    c = conditions("a", "b")
+    """pairs (a, b, signal) with cluster (its first test), size and verdict: the first condition of the signal that holds for
+    the cluster, as ambiguous_*, else the signal.
+
+    A cluster is what pairs of one signal connect, and all its pairs are looked at, those that no signal named too:
+    clusters are tests alike, so small. Each test is met by its key, pairs inside a cluster by an equi join on it.
+    """
+    from corpusmill.operators.graph import connected_components
+
+    # a test that stands in clusters of two signals is a node in each
+    node = lambda c: F.struct("signal", F.col(c).alias("test"))
+    found = cut_lineage(connected_components(pairs.select(node("a").alias("src"), node("b").alias("dst"))))
+    members = found.select("node.signal", "node.test", F.col("component.test").alias("cluster"))
+    t = tests.withColumn("key", F.concat_ws("::", "path", F.concat_ws(".", "class_name", "name")))
+    x, y = (members.join(t, members.test == t.key).select("signal", "cluster", *[F.col(c).alias(f"{c}_{s}") for c in t.columns]) for s in ("a", "b"))
+    met = x.join(y, ["signal", "cluster"]).where("key_a < key_b")
+    own = conditions("a", "b")
+    holds = {n: (F.bool_and if n == EVERY else F.bool_or)(F.coalesce(c, F.lit(False))).alias(n) for n, c in own.items()}
+    judged = met.groupBy("signal", "cluster").agg(*holds.values())
     verdict = F.col("signal")
     for signal, names in ORDER.items():
-        own = F.lit(signal)
+        one = F.lit(signal)
         for n in reversed(names):
-            own = F.when(F.coalesce(c[n], F.lit(False)), f"ambiguous_{n}").otherwise(own)
-        verdict = F.when(F.col("signal") == signal, own).otherwise(verdict)
-    return pairs.join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b")).select("a", "b", "signal", verdict.alias("verdict"))
+            one = F.when(F.col(n), f"ambiguous_{n}").otherwise(one)
+        verdict = F.when(F.col("signal") == signal, one).otherwise(verdict)
+    size = members.groupBy("signal", "cluster").agg(F.count("*").alias("size"))
+    told = judged.select("signal", "cluster", verdict.alias("verdict")).join(size, ["signal", "cluster"])
+    return pairs.join(members.withColumnRenamed("test", "a"), ["signal", "a"]).join(told, ["signal", "cluster"]).select("a", "b", "signal", "cluster", "size", "verdict")

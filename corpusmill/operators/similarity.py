@@ -20,7 +20,8 @@ MAX_CLUSTER, MIN_DOC, MIN_REPEAT, HASH_LENGTH = 50, 15, 4, 12
 ACCESSOR_DOC = r"(?i)^(return|returns|get|gets|set|sets)\b.{0,40}$"
 ACCESSOR_NAMES = ["name", "value", "id", "key", "path", "data", "kind", "type", "label"]
 KEYWORDS = ["for", "while", "if", "elif", "else", "try", "except", "finally", "with", "return", "yield", "raise", "lambda", "async", "await"]
-BLOCK = 4096
+#: Rows of a block of vectors, and how many blocks of queries go with one scan.
+BLOCK, ABREAST = 4096, 16
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -56,41 +57,62 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _unit_matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length one; zero vectors stay zero."""
+    if not len(column):
+        return np.zeros((0, 0))
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1)[:, None]
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str, vector: str, group: str) -> DataFrame:
     """(i, j, score) with i < j, of different groups, at or above the threshold: every pair is compared.
 
-    The matrix is cut into blocks of rows; each pair of blocks is one unit of work and one matrix product.
+    The matrix is cut into blocks of rows; each pair of blocks is one unit of work and one matrix product. Units
+    arrive one after another, so a task holds two blocks at a time.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(group).cast("string").alias("grp"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and id is not null")
     n = max(1, -(-rows.count() // BLOCK))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    unit = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.least(x, own) * n + F.greatest(x, own))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.least(x, own).cast("long") * n + F.greatest(x, own))
     dealt = rows.select("id", "grp", "v", own.alias("block"), F.explode(unit).alias("unit"))
 
+    def compare(u: int, held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held).combine_chunks()
+        x = _unit_matrix(t["v"].combine_chunks())
+        ids, groups, block = t["id"].to_numpy(), t["grp"].to_pandas().to_numpy(), t["block"].to_numpy()
+        left, right = np.flatnonzero(block == u // n), np.flatnonzero(block == u % n)
+        for a in range(0, len(left), 512):
+            own = left[a : a + 512]
+            r, c = np.nonzero(x[own] @ x[right].T >= threshold - 1e-9)
+            r, c = own[r], right[c]
+            ok = groups[r] != groups[c]
+            if u // n == u % n:
+                ok &= ids[r] < ids[c]
+            r, c = r[ok], c[ok]
+            s = (x[r] * x[c]).sum(axis=1)
+            keep = s >= threshold
+            i, j = np.minimum(ids[r], ids[c])[keep], np.maximum(ids[r], ids[c])[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(s[keep])], ["i", "j", "score"])
+
     def run(batches):
-        held: dict[int, list] = {}
+        unit, held = None, []
         for b in batches:
-            for i, (u, k) in enumerate(zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                held.setdefault(u, []).append((k, b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()))
-        for u, got in held.items():
-            x = np.array([g[3] for g in got], np.float64)
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            ids, groups, block = np.array([g[1] for g in got]), np.array([g[2] for g in got], object), np.array([g[0] for g in got])
-            left, right = np.flatnonzero(block == u // n), np.flatnonzero(block == u % n)
-            for a in range(0, len(left), 512):
-                own = left[a : a + 512]
-                r, c = np.nonzero(x[own] @ x[right].T >= threshold - 1e-9)
-                r, c = own[r], right[c]
-                ok = groups[r] != groups[c]
-                if u // n == u % n:
-                    ok &= ids[r] < ids[c]
-                r, c = r[ok], c[ok]
-                s = (x[r] * x[c]).sum(axis=1)
-                keep = s >= threshold
-                i, j = np.minimum(ids[r], ids[c])[keep], np.maximum(ids[r], ids[c])[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(s[keep])], ["i", "j", "score"])
-
-    return dealt.repartition("unit").mapInArrow(run, "i long, j long, score double")
+            if not b.num_rows:
+                continue
+            key = b.column(4).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for first, stop in zip(edges, edges[1:], strict=False):
+                if key[first] != unit and held:
+                    yield from compare(unit, held)
+                    held = []
+                unit = int(key[first])
+                held.append(b.slice(first, stop - first))
+        if held:
+            yield from compare(unit, held)
+
+    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "i long, j long, score double")
 
 
 def top_k(scores: DataFrame, by: str, item: str, k: int, threshold: float | None = None) -> DataFrame:
@@ -102,39 +124,38 @@ def top_k(scores: DataFrame, by: str, item: str, k: int, threshold: float | None
 def exact_neighbours(vectors: DataFrame, queries: Column, k: int, id_col: str, vector: str, threshold: float = -1.0) -> DataFrame:
     """(query_id, vec_id, rank, score): the k best of all other rows for each row that `queries` selects.
 
-    Queries are gone through in blocks of BLOCK; a block is one matrix of known size, sent to every task,
-    which keeps the k best of its own rows for each query.
+    Queries are gone through in blocks of BLOCK, each a matrix of known size; up to ABREAST blocks are sent for one
+    scan of the rows, in which a task keeps the k best of its own rows for each query.
     """
-    from pyspark.sql import functions as fn
-
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and id is not null")
     asked = vectors.where(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and id is not null")
     blocks = max(1, -(-asked.count() // BLOCK))
     met = None
-    for i in range(blocks):
-        own = asked.where(fn.pmod(fn.xxhash64("id"), fn.lit(blocks)) == i).toArrow()
-        ids = np.array(own["id"].to_pylist(), np.int64)
-        q = np.array(own["v"].to_pylist(), np.float64)
-        sent = rows.sparkSession.sparkContext.broadcast((ids, q / np.sqrt((q * q).sum(axis=1))[:, None] if len(q) else q))
-
-        def run(batches, sent=sent):
-            ids, q = sent.value
+    for first in range(0, blocks, ABREAST):
+        sent = []
+        for i in range(first, min(first + ABREAST, blocks)):
+            own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()  # about BLOCK rows
+            if own.num_rows:
+                sent.append(rows.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), _unit_matrix(own["v"].combine_chunks()))))
+
+        def run(batches, sent=tuple(sent)):
             for b in batches:
-                if not b.num_rows or not len(ids):
+                if not b.num_rows:
                     continue
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                own = b.column(0).to_numpy()
-                for a in range(0, len(ids), 256):
-                    s = q[a : a + 256] @ x.T
-                    s[ids[a : a + 256, None] == own[None, :]] = -2
-                    r, c = np.nonzero(s >= max(threshold, -1.5) - 1e-9)
-                    exact = (q[a : a + 256][r] * x[c]).sum(axis=1)
-                    order = np.lexsort((own[c], -exact, r))
-                    r, c, exact = r[order], c[order], exact[order]
-                    place = np.arange(len(r)) - np.searchsorted(r, r)
-                    keep = (place < k) & (exact >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 256][r[keep]]), pa.array(own[c[keep]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
+                x, own = _unit_matrix(b.column(1)), b.column(0).to_numpy()
+                for block in sent:
+                    every, q = block.value
+                    for a in range(0, len(every), 256):
+                        ids = every[a : a + 256]
+                        s = q[a : a + 256] @ x.T
+                        s[ids[:, None] == own[None, :]] = -2
+                        r, c = np.nonzero(s >= max(threshold, -1.5) - 1e-9)
+                        exact = (q[a : a + 256][r] * x[c]).sum(axis=1)
+                        order = np.lexsort((own[c], -exact, r))
+                        r, c, exact = r[order], c[order], exact[order]
+                        place = np.arange(len(r)) - np.searchsorted(r, r)
+                        keep = (place < k) & (exact >= threshold)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(own[c[keep]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
 
         one = rows.mapInArrow(run, "query_id long, vec_id long, score double")
         met = one if met is None else met.unionByName(one)
@@ -246,8 +267,8 @@ def tfidf(docs: DataFrame, tokens: Column, id_col: str) -> DataFrame:
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     raw = (F.lit(1) + F.log("tf")) * (F.log((F.lit(1.0) + n) / (F.lit(1) + F.col("df"))) + 1)
     w = tf.join(df, "token").select("id", "token", raw.alias("raw"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return w.join(norm, "id").select("id", "token", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))  # a later ranking by id needs no further shuffle
+    return w.select("id", "token", (F.col("raw") / norm).alias("weight"))
 
 
 def suggestions(names: DataFrame, wanted: str, cutoff: float = 0.6, most: int = 10) -> DataFrame:

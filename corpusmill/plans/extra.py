@@ -6,57 +6,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.docstring import parse_docstring
-from corpusmill.operators import test_rescue as R
-from corpusmill.plans.registry import query, values
+from corpusmill.plans.registry import query
 from corpusmill.plans.rules import sources
 from corpusmill.plans.similar import COMPONENTS, pairs
-from corpusmill.session import table
-from corpusmill.sources.python_rules import _scan, scan_tests, test_pairs
+from corpusmill.session import cut_lineage, table
 
-DOCSTRINGS = [
-    ("google", "Do it.\n\nArgs:\n    x: y\n\nRaises:\n    ValueError: bad\n        input.\n    KeyError: gone.\n\nExample:\n    >>> f()\n    1\n", "Do it.", "ValueError=bad input.;KeyError=gone.", ">>> f()\n1"),
-    ("numpy", "Sum up\nthings.\n\nRaises\n------\nValueError\n    If bad.\n\nExamples\n--------\n>>> g()\n2", "Sum up things.", "ValueError=If bad.", ">>> g()\n2"),
-    ("sphinx", "Short.\n\n:param x: y\n:raises OSError: when\n    closed\n:returns: z", "Short.", "OSError=when closed", ""),
-    ("none", None, None, "", ""),
-]
 
-
-@query(f"WITH {values('d', ['style', 'summary', 'raises', 'examples'], [(s, m, r, e) for s, _, m, r, e in DOCSTRINGS])} SELECT * FROM d")
+@query("""SELECT p_partkey AS k, CASE WHEN p_partkey % 4 < 3 THEN concat(upper(p_name[1]), p_name[2:], '.') END AS summary,
+CASE p_partkey % 4 WHEN 0 THEN concat('ValueError=bad ', p_size, ' input.;KeyError=gone.') WHEN 1 THEN concat('ValueError=If ', p_size, '.') WHEN 2 THEN concat('OSError=when ', p_size, ' closed') ELSE '' END AS raises,
+CASE p_partkey % 4 WHEN 0 THEN concat('>>> f(', p_size, ')', chr(10), '1') WHEN 1 THEN concat('>>> g()', chr(10), p_size) ELSE '' END AS examples FROM part""")
 def docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(s, t) for s, t, *_ in DOCSTRINGS], "style string, text string").withColumn("p", parse_docstring(F.col("text")))
-    return d.select("style", "p.summary", F.array_join(F.transform("p.raises", lambda x: F.concat(x["name"], F.lit("="), x["text"])), ";").alias("raises"), F.array_join("p.examples", "\n").alias("examples"))
-
-
-ALIKE = [
-    ("tests/test_alpha.py", "class TestA:\n    def test_run(self):\n        x = make('a', 'b', 'c')\n        assert x.ok\n\n\nclass TestB:\n    def test_run_two(self):\n        x = make('d', 'e', 'f')\n        assert x.ok\n"),
-    ("tests/test_beta.py", "def test_once():\n    r = apply(1)\n    assert r == 1\n\n\ndef test_twice():\n    r = apply(1)\n    r = apply(1)\n    assert r == 1\n\n\ndef test_same():\n    r = apply(1)\n    assert r == 1\n"),
-]
-
-
-@query("""SELECT * FROM (VALUES ('tests/test_alpha.py::TestA.test_run', 'tests/test_alpha.py::TestB.test_run_two', 'same_file', 'ambiguous_distinct_literals'), ('tests/test_beta.py::test_once', 'tests/test_beta.py::test_same', 'same_file', 'same_file'),
- ('tests/test_beta.py::test_once', 'tests/test_beta.py::test_twice', 'same_file', 'ambiguous_body_size'), ('tests/test_beta.py::test_same', 'tests/test_beta.py::test_twice', 'same_file', 'ambiguous_body_size')) AS t(a, b, signal, verdict)""")
-def rescued_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(ALIKE, "path string, text string")
-    tests = _scan(files, R.features, R.FEATURES, [c.split()[0] for c in R.FEATURES.split(", ")])
-    return R.rescue(test_pairs(scan_tests(files)), tests)
+    """Docstrings of three styles, and none."""
+    lead = "concat(upper(substring(p_name, 1, 1)), substring(p_name, 2, 1000))"
+    text = rf"""CASE p_partkey % 4 WHEN 0 THEN concat({lead}, '.\n\nArgs:\n    x: y\n\nRaises:\n    ValueError: bad ', p_size, '\n        input.\n    KeyError: gone.\n\nExample:\n    >>> f(', p_size, ')\n    1\n')
+     WHEN 1 THEN concat(replace({lead}, ' ', '\n'), '.\n\nRaises\n------\nValueError\n    If ', p_size, '.\n\nExamples\n--------\n>>> g()\n', p_size)
+     WHEN 2 THEN concat({lead}, '.\n\n:param x: y\n:raises OSError: when ', p_size, '\n    closed\n:returns: z') END"""
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", f"{text} AS text").withColumn("p", parse_docstring(F.col("text")))
+    return d.select("k", "p.summary", F.array_join(F.transform("p.raises", lambda x: F.concat(x["name"], F.lit("="), x["text"])), ";").alias("raises"), F.array_join("p.examples", "\n").alias("examples"))
 
 
-@query("""WITH n(file, tier, canonical, names) AS (VALUES ('test_a', 'unit', 'test_a', 1), ('test_b', 'unit', 'test_x', 1), ('test_c', 'unit', 'test_x', 2), ('test_d', 'e2e', 'test_x', 2)),
+@query("""WITH n AS (SELECT concat('test_', p_partkey) AS file, p_type AS tier, concat('test_', CASE WHEN p_partkey % 7 = 0 THEN p_partkey ELSE p_partkey // 3 END) AS canonical, p_size % 3 + 1 AS names FROM part),
 c AS (SELECT *, count(*) OVER (PARTITION BY tier, canonical) > 1 AS collide FROM n)
 SELECT file, canonical <> file AS mismatch, canonical <> file AND names > 1 AS split, collide FROM c""")
 def naming_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test files whose name is not what their tests are about, that are about several things, or that share a name."""
-    n = spark.createDataFrame([("test_a", "unit", "test_a", 1), ("test_b", "unit", "test_x", 1), ("test_c", "unit", "test_x", 2), ("test_d", "e2e", "test_x", 2)], "file string, tier string, canonical string, names int")
+    k = F.col("p_partkey")
+    about = F.when(k % 7 == 0, k).otherwise(F.floor(k / 3))
+    n = table(spark, sf_dir, "part").select(F.concat(F.lit("test_"), k).alias("file"), F.col("p_type").alias("tier"), F.concat(F.lit("test_"), about).alias("canonical"), (F.col("p_size") % 3 + 1).alias("names"))
     other = F.col("canonical") != F.col("file")
     return n.select("file", other.alias("mismatch"), (other & (F.col("names") > 1)).alias("split"), (F.count("*").over(Window.partitionBy("tier", "canonical")) > 1).alias("collide"))
 
 
-@query("SELECT 'tests/test_bad.py' AS path, 'test_always' AS name")
+@query("SELECT concat('tests/test_c', c_custkey, '.py') AS path, 'test_always' AS name FROM customer WHERE c_custkey % 5 = 0")
 def tests_without_package_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests whose calls name nothing that the package defines."""
     from corpusmill.sources import python_source as P
 
-    v = P.views(P.parse_modules(sources(spark)))
+    v = P.views(cut_lineage(P.parse_modules(sources(spark, sf_dir))))
     package = v["definitions"].where("path like 'src/%'").select(F.col("name").alias("symbol")).distinct()
     inside = v["definitions"].where("path like 'tests/%' and name like 'test_%'").alias("d")
     c = v["calls"].alias("c")
@@ -80,13 +66,17 @@ def cluster_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("best"), "cluster").limit(30).select("cluster", "size", F.round("best", 6).alias("best"), "total")
 
 
-@query("SELECT * FROM (VALUES ('shop.cart', 'cart'), ('shop.util', 'util'), ('a.b', 'a.b'), ('c', 'c')) AS t(name, short)")
+@query("""WITH n AS (SELECT p_size AS g, CASE WHEN p_size % 5 = 0 AND p_partkey % 3 = 0 THEN concat('c', p_partkey) ELSE concat(CASE WHEN p_size % 2 = 0 THEN 'shop' ELSE concat('a', p_partkey % 2) END, '.m', p_partkey) END AS name FROM part),
+w AS (SELECT name, min(split_part(name, '.', 1)) OVER g = max(split_part(name, '.', 1)) OVER g AND bool_and(contains(name, '.')) OVER g AS shared FROM n WINDOW g AS (PARTITION BY g))
+SELECT name, CASE WHEN shared THEN regexp_replace(name, '^[^.]*\\.', '') ELSE name END AS short FROM w""")
 def stripped_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first segment is dropped where all names of a group share it."""
-    n = spark.createDataFrame([(1, "shop.cart"), (1, "shop.util"), (2, "a.b"), (2, "c")], "g int, name string")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    lead = F.when(size % 2 == 0, "shop").otherwise(F.concat(F.lit("a"), k % 2))
+    n = table(spark, sf_dir, "part").select(size.alias("g"), F.when((size % 5 == 0) & (k % 3 == 0), F.concat(F.lit("c"), k)).otherwise(F.concat(lead, F.lit(".m"), k)).alias("name"))
     w = Window.partitionBy("g")
-    lead = F.substring_index("name", ".", 1)
-    shared = (F.min(lead).over(w) == F.max(lead).over(w)) & F.every(F.contains("name", F.lit("."))).over(w)
+    first = F.substring_index("name", ".", 1)
+    shared = (F.min(first).over(w) == F.max(first).over(w)) & F.every(F.contains("name", F.lit("."))).over(w)
     return n.select("name", F.when(shared, F.regexp_replace("name", "^[^.]*\\.", "")).otherwise(F.col("name")).alias("short"))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import graph as G
-from corpusmill.plans.code import facts, views
-from corpusmill.plans.registry import query, values
+from corpusmill.plans.corpus import facts, views
+from corpusmill.plans.registry import query
 from corpusmill.session import table
 
 # parts that follow each other within an order
@@ -21,8 +21,6 @@ def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null").distinct()
 
 
-
-
 def _rank_sql(rounds: int) -> str:
     steps = [f"WITH {EDGE_SQL}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), k AS (SELECT count(*) AS k FROM n), o AS (SELECT src, count(*) AS out FROM e GROUP BY 1), r0 AS (SELECT node, 1.0 / (SELECT k FROM k) AS rank FROM n)"]
     for i in range(rounds):
@@ -40,11 +38,11 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT '__mod__' || module AS src, unnest(all_exports) AS dst FROM modules_ UNION ALL SELECT name, unnest(bases) FROM classes_ UNION ALL SELECT '__mod__' || module, unnest(names) FROM imports_ WHERE is_relative)
 SELECT DISTINCT src, dst FROM e JOIN s ON s.name = dst WHERE src <> dst UNION ALL SELECT name, NULL FROM s""")
 def symbol_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _symbol_edges(spark)
+    return _symbol_edges(spark, sf_dir)
 
 
-def _symbol_edges(spark: SparkSession) -> DataFrame:
-    v = views(spark)
+def _symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views(spark, sf_dir)
     symbols = v["functions"].where("class_name is null").select("name").unionByName(v["classes"].select("name"))
     exports = v["modules"].select("module", F.explode("all_exports").alias("name"))
     bases = v["classes"].select("name", F.explode("bases").alias("base"))
@@ -55,7 +53,7 @@ def _symbol_edges(spark: SparkSession) -> DataFrame:
 @query()
 def symbol_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols by rank; module nodes are left out after scoring."""
-    return G.pagerank(_symbol_edges(spark)).where(~F.startswith("node", F.lit("__mod__"))).withColumn("rank", F.round("rank", 9))
+    return G.pagerank(_symbol_edges(spark, sf_dir)).where(~F.startswith("node", F.lit("__mod__"))).withColumn("rank", F.round("rank", 9))
 
 
 @query("""WITH m AS (SELECT p_brand AS module, max(p_retailprice) / 40000 AS score, count_if(p_size > 48) AS symbols FROM part GROUP BY 1)
@@ -72,14 +70,14 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reach(e, e.agg(F.min("src").alias("node")), 5).select("node", "depth")
 
 
-@query(facts("definitions", "calls").replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT d.name AS src, c.symbol AS dst FROM definitions_ d JOIN calls_ c ON c.module = d.module AND c.pos >= d.first AND c.pos < d.last AND c.symbol <> d.name),
-r(node, depth, chain) AS (SELECT 'test_total', 0, ['test_total'] UNION ALL SELECT e.dst, r.depth + 1, list_append(r.chain, e.dst) FROM r JOIN e ON e.src = r.node WHERE r.depth < 3),
+@query(facts("inside", recursive=True) + """, e AS (SELECT DISTINCT name AS src, callee AS dst FROM inside_),
+r(node, depth, chain) AS (SELECT 'test_m2', 0, ['test_m2'] UNION ALL SELECT e.dst, r.depth + 1, list_append(r.chain, e.dst) FROM r JOIN e ON e.src = r.node WHERE r.depth < 5),
 m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1) SELECT r.node, r.depth, min(chain) AS chain FROM r JOIN m ON m.node = r.node AND m.depth = r.depth GROUP BY 1, 2""", lists=("chain",))
 def flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.operators.code import callees
 
-    e = callees(views(spark)).select(F.col("name").alias("src"), F.col("callee").alias("dst"))
-    return G.trace(e, "test_total", 3)
+    e = callees(views(spark, sf_dir)).select(F.col("name").alias("src"), F.col("callee").alias("dst"))
+    return G.trace(e, "test_m2", 5)
 
 
 @query()
@@ -88,23 +86,28 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.strong_components(successors(spark, sf_dir))
 
 
-EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("g", "g"), ("f", "h")]
-ADDS = [("f", "d"), ("h", "h")]
-
-
-def _edges(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "src string, dst string")
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in rows of four: every third row closed to a cycle, and some parts with an edge to themselves."""
+    k = "p_partkey"
+    next_ = f"CASE WHEN {k} % 4 < 3 THEN {k} + 1 WHEN CAST(floor({k} / 4) AS BIGINT) % 3 = 0 THEN {k} - 3 END"
+    p = table(spark, sf_dir, "part")
+    e = p.selectExpr(f"{k} AS src", f"{next_} AS dst").where("dst is not null")
+    return e.unionByName(p.where(f"{k} % 17 = 0").selectExpr(f"{k} AS src", f"{k} AS dst"))
 
 
-@query(f"""WITH RECURSIVE {values('e', ['src', 'dst'], EDGES)}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
-SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1""")
+@query("SELECT p_partkey AS node, CASE WHEN p_partkey // 4 % 3 = 0 THEN p_partkey // 4 * 4 ELSE p_partkey END AS component FROM part WHERE p_partkey // 4 % 3 = 0 OR p_partkey % 17 = 0")
 def cycles_with_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.cycles(_edges(spark, EDGES))
+    return G.cycles(_blocks(spark, sf_dir))
 
 
-@query("SELECT ['d', 'e', 'f'] AS members UNION ALL SELECT ['h']", lists=("members",))
+@query("SELECT list_sort(list(p_partkey)) AS members FROM part WHERE p_partkey // 4 % 3 = 1 GROUP BY p_partkey // 4 UNION ALL SELECT [p_partkey] FROM part WHERE p_partkey // 4 % 9 = 0 AND p_partkey % 17 = 0", lists=("members",))
 def new_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.new_cycles(_edges(spark, EDGES), _edges(spark, ADDS), _edges(spark, [("g", "g")]))
+    """Rows closed by new edges, and loops that stood inside a cycle until an edge of it went."""
+    row = "CAST(floor(p_partkey / 4) AS BIGINT)"
+    p = table(spark, sf_dir, "part")
+    adds = p.where(f"{row} % 3 = 1 and p_partkey % 4 = 3").selectExpr("p_partkey AS src", "p_partkey - 3 AS dst")
+    gone = p.where(f"{row} % 9 = 0 and p_partkey % 4 = 0").selectExpr("p_partkey AS src", "p_partkey + 1 AS dst")
+    return G.new_cycles(_blocks(spark, sf_dir), adds, gone)
 
 
 @query(f"""WITH RECURSIVE {EDGE_SQL}, r(node) AS (SELECT min(src) FROM e UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r""")
@@ -114,10 +117,16 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reach(e, e.agg(F.min("src").alias("node"))).select("node")
 
 
-@query("SELECT * FROM (VALUES ('h')) AS t(node)")
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION SELECT p_partkey, p_partkey // 5 FROM part),
+m(node) AS (SELECT e.dst FROM e WHERE src % 100 = 51 UNION SELECT e.dst FROM m JOIN e ON e.src = m.node), r(node) AS (SELECT e.dst FROM e WHERE src % 100 = 62 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)
+SELECT node FROM m WHERE node IN (SELECT node FROM r) AND node % 100 NOT IN (51, 62)""")
 def shared_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, [("m", "h"), ("m", "x"), ("r", "y"), ("y", "h"), ("x", "m")])
-    return G.shared_helpers(e, spark.createDataFrame([("m",)], "node string"), spark.createDataFrame([("r",)], "node string"))
+    """What both moved parts and remaining ones lead to."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    e = p.select(k.alias("src"), F.floor(k / 2).alias("dst")).unionByName(p.select(k.alias("src"), F.floor(k / 5).alias("dst")))
+    pick = lambda n: p.where(k % 100 == n).select(k.alias("node"))
+    return G.shared_helpers(e, pick(51), pick(62))
 
 
 DAG = "SELECT DISTINCT l_partkey AS src, l_partkey // 3 - l_suppkey % 5 AS dst FROM lineitem WHERE l_partkey // 3 - l_suppkey % 5 > 0"

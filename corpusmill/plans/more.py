@@ -8,93 +8,92 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import code as C
-from corpusmill.plans.code import DOC_SQL, docs, facts, views
-from corpusmill.plans.fixture import FILES
+from corpusmill.plans.code import TOP
+from corpusmill.plans.corpus import BROKEN, docs, facts, named, sources, views
 from corpusmill.plans.registry import QUERIES, query, values
 from corpusmill.session import ensure_checkpoint_dir, table
 from corpusmill.sources.logs import line_slice
 from corpusmill.streaming import events as E
 
+HEADER = f"""h_ AS (SELECT m, path, CASE WHEN broken THEN 'def broken(:' ELSE concat(chr(34), chr(34), chr(34), 'Module ', m, '.', chr(34), chr(34), chr(34), chr(10),
+  CASE m % 4 WHEN 0 THEN 'import json' WHEN 1 THEN concat('from p', t % 5, '.m', t, ' import ', {named('8 * t + 1')}, ', ', {named('8 * t + 2')}) WHEN 2 THEN concat('from . import m', t) ELSE concat('from .m', t, ' import ', {named('8 * t + 1')}) END, chr(10),
+  CASE m % 3 WHEN 0 THEN concat('__all__ = ["', {named('8 * m + 1')}, '", "', {named('8 * m + 2')}, '", "', {named('8 * t + 1')}, '"]') WHEN 1 THEN '__all__ = []' ELSE concat('LIMIT', m, ': int = ', m) END) END AS text FROM mods_
+  UNION ALL SELECT m, path, concat('from p', m % 5, '.m', m, ' import ', {named('8 * m + 1')}, chr(10), chr(10)) FROM tests_)"""
 
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, text string")
 
-
-@query(facts("functions", "classes") + """
-SELECT name, module, 'function' AS kind FROM functions_ WHERE class_name IS NULL AND name = 'discount' UNION ALL SELECT name, module, 'class' FROM classes_ WHERE name = 'discount'""")
+@query(facts("functions", "classes") + f", {TOP} SELECT name, module, CASE WHEN starts_with(name, 'C') THEN 'class' ELSE 'function' END AS kind FROM s_ WHERE name IN ('h3', 'C8')")
 def inspect_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = views(spark)
+    v = views(spark, sf_dir)
     f = v["functions"].where("class_name is null").select("name", "module", F.lit("function").alias("kind"))
-    return f.unionByName(v["classes"].select("name", "module", F.lit("class").alias("kind"))).where("name = 'discount'")
+    return f.unionByName(v["classes"].select("name", "module", F.lit("class").alias("kind"))).where("name in ('h3', 'C8')")
 
 
-@query(f"WITH {values('f', ['path', 'text'], FILES)} SELECT path, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS text FROM f")
+@query(facts("mods", "tests") + f", {HEADER} SELECT path, text FROM h_")
 def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_slice(files(spark).dropDuplicates(["path"]), 1, 3)
+    return line_slice(sources(spark, sf_dir), 1, 3)
 
 
-@query(f"WITH {values('f', ['path', 'text'], FILES)} SELECT path FROM f WHERE path LIKE 'tests/%' AND contains(text, 'total_price')")
+@query(facts("tests") + f"SELECT path, true AS direct FROM tests_ WHERE contains(concat({named('8 * m + 1')}, ' ', {named('8 * m + 5')}), 'f17') UNION ALL SELECT path, false FROM tests_ WHERE m = 4")
 def tests_of_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test files that name the symbol; only where none does, those that import its module."""
-    t = files(spark).where("path like 'tests/%'")
-    direct = t.where(F.contains("text", F.lit("total_price"))).select("path")
-    fallback = t.where(F.rlike("text", F.lit(r"(?m)^\s*(from|import)\s+shop\.cart\b"))).select("path")
-    none = direct.agg((F.count("*") == 0).alias("none"))
-    return direct.unionByName(fallback.crossJoin(F.broadcast(none)).where("none").select("path"))
+    """Test files that name a symbol (any test of f17...), and those of a symbol that none names, found by their import of its module."""
+    t = sources(spark, sf_dir).where("path like 'tests/%'")
+    direct = C.tests_naming(t, "f17", "p2.m2").select("path", F.lit(True).alias("direct"))
+    return direct.unionByName(C.tests_naming(t, "never_named", "p4.m4").select("path", F.lit(False).alias("direct")))
 
 
-@query("SELECT 'shop.web' AS module UNION ALL SELECT 'tests.test_cart'")
+@query(facts("imports") + "SELECT DISTINCT module FROM imports_ WHERE NOT is_relative AND list_contains(names, 'f1')")
 def importers_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules that import the exported symbol by an absolute import."""
-    i = views(spark)["imports"]
-    return i.where(F.array_contains("names", "Cart") & ~F.col("is_relative")).select("module").distinct()
-
-
-PACKAGES = [("a", ["a.core", "a.util"], ["b.api", "json", "c"]), ("b", ["b", "b.api"], ["a.util", "b.api"]), ("c", ["c"], ["b.gone", "a"])]
+    i = views(spark, sf_dir)["imports"]
+    return i.where(F.array_contains("names", "f1") & ~F.col("is_relative")).select("module").distinct()
 
 
-@query("SELECT * FROM (VALUES ('a', 'b', 'b.api'), ('a', 'c', 'c'), ('b', 'a', 'a.util'), ('c', 'b', 'b'), ('c', 'a', 'a')) AS t(src, dst, target)")
+@query(facts("imports", "modules") + """, i AS (SELECT split_part(module, '.', 1) AS src, split_part(target, '.', 1) AS dst, target FROM imports_ WHERE NOT is_relative)
+SELECT src, dst, CASE WHEN target IN (SELECT module FROM modules_) THEN target ELSE dst END AS target FROM i WHERE src <> dst AND dst IN (SELECT split_part(module, '.', 1) FROM modules_)""")
 def cross_package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of other packages, resolved to the submodule if there is one, else to the package."""
-    p = spark.createDataFrame(PACKAGES, "package string, modules array<string>, imports array<string>")
-    known = p.select(F.explode("modules").alias("m"))
-    i = p.select(F.col("package").alias("src"), F.explode("imports").alias("imp")).withColumn("dst", F.substring_index("imp", ".", 1))
-    i = i.join(p.select(F.col("package").alias("dst")), "dst", "left_semi").where("src <> dst")
-    return i.join(known, F.col("imp") == F.col("m"), "left").select("src", "dst", F.coalesce("m", "dst").alias("target"))
+    return C.package_edges(views(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('a', 'b'), ('a', 'c')) AS t(src, dst)")
+@query("SELECT DISTINCT concat('p', p_partkey % 5) AS src, concat('p', p_size % 9) AS dst FROM part WHERE p_size % 9 < 5 AND p_partkey % 5 <> p_size % 9")
 def declared_package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([("a", "b"), ("a", "numpy"), ("a", "c"), ("a", "a")], "src string, dst string")
-    return d.join(spark.createDataFrame([("a",), ("b",), ("c",)], "dst string"), "dst", "left_semi").where("src <> dst").select("src", "dst")
+    """Declared dependencies on other packages of the workspace; those on anything else are left out."""
+    p = table(spark, sf_dir, "part")
+    d = p.select(F.concat(F.lit("p"), F.col("p_partkey") % 5).alias("src"), F.concat(F.lit("p"), F.col("p_size") % 9).alias("dst")).distinct()
+    members = d.select(F.col("src").alias("dst")).distinct()
+    return d.join(members, "dst", "left_semi").where("src <> dst").select("src", "dst")
 
 
 @query(facts("modules", "functions", "classes") + """
 SELECT split_part(module, '.', 1) AS package, count(*) AS modules, CAST(sum(coalesce(f, 0)) AS BIGINT) AS functions, CAST(sum(coalesce(c, 0)) AS BIGINT) AS classes FROM modules_
 LEFT JOIN (SELECT module, count(*) AS f FROM functions_ WHERE class_name IS NULL GROUP BY 1) USING (module) LEFT JOIN (SELECT module, count(*) AS c FROM classes_ GROUP BY 1) USING (module) GROUP BY 1""")
 def workspace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toc = C.describe(views(spark), "toc")
+    toc = C.describe(views(spark, sf_dir), "toc")
     return toc.groupBy(F.substring_index("module", ".", 1).alias("package")).agg(F.count("*").alias("modules"), F.sum("functions").alias("functions"), F.sum("classes").alias("classes"))
 
 
-STACK = [("cli", ["click", "typer"]), ("web", ["flask", "fastapi", "aiohttp"]), ("test", ["pytest"])]
+STACK = [("metal", ["bolt", "rod"]), ("round", ["ring", "gear", "widget"]), ("size", ["small", "large"])]
 
 
-@query("SELECT * FROM (VALUES ('cli', ['click-extra']), ('test', ['pytest', 'pytest-cov']), ('web', ['fastapi'])) AS t(category, deps)", lists=("deps",))
+@query(f"""WITH {values('k', ['i', 'category', 'name'], [(i, c, n) for i, (c, ns) in enumerate(STACK) for n in ns])}, d AS (SELECT DISTINCT replace(p_name, ' ', '-') AS dep FROM part UNION SELECT string_split(p_name, ' ')[-1] FROM part),
+f AS (SELECT dep, min_by(category, i) AS category FROM d JOIN k ON starts_with(dep, k.name) GROUP BY 1) SELECT category, list_sort(list(dep)) AS deps FROM f GROUP BY 1""", lists=("deps",))
 def dependency_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first category whose known name equals or begins the dependency."""
     known = spark.createDataFrame([(i, c, n) for i, (c, ns) in enumerate(STACK) for n in ns], "k int, category string, name string")
-    deps = spark.createDataFrame([("pytest",), ("pytest-cov",), ("fastapi",), ("click-extra",), ("numpy",), ("pytest",)], "dep string").distinct()
-    first = deps.join(F.broadcast(known), F.startswith("dep", "name")).groupBy("dep").agg(F.min_by("category", "k").alias("category"))
+    p = table(spark, sf_dir, "part")
+    deps = p.select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("dep")).unionByName(p.select(F.substring_index("p_name", " ", -1).alias("dep"))).distinct()
+    first = deps.join(F.broadcast(known), F.startswith("dep", "name")).groupBy("dep").agg(F.min_by("category", "k").alias("category"))  # a handful of names
     return first.groupBy("category").agg(F.array_sort(F.collect_list("dep")).alias("deps"))
 
 
-@query("SELECT 'test_flows' AS name, 'integration' AS tier")
+@query(facts("mods") + """, t AS (SELECT concat('test_m', o_custkey) AS name, o_orderstatus AS tier FROM orders)
+SELECT name, tier, count(*) AS n FROM t WHERE tier <> 'F' AND name IN (SELECT concat('test_m', m) FROM mods_) GROUP BY 1, 2""")
 def scenario_named_like_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Integration and end-to-end tests named after a source module."""
-    t = spark.createDataFrame([("test_flows", "integration"), ("test_checkout", "e2e"), ("test_flows", "unit")], "name string, tier string")
-    m = spark.createDataFrame([("flows",), ("_cart",)], "module string").select(F.concat(F.lit("test_"), F.regexp_replace("module", "^_+", "")).alias("name"))
-    return t.where("tier <> 'unit'").join(m, "name", "left_semi").select("name", "tier")
+    t = table(spark, sf_dir, "orders").select(F.concat(F.lit("test_m"), "o_custkey").alias("name"), F.col("o_orderstatus").alias("tier"))
+    stem = F.regexp_extract("path", r"([^/]+)\.py$", 1)
+    m = sources(spark, sf_dir).where("path like 'src/%'").select(F.concat(F.lit("test_"), F.regexp_replace(stem, "^_+", "")).alias("name"))
+    return t.where("tier <> 'F'").join(m, "name", "left_semi").groupBy("name", "tier").agg(F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT o_orderpriority AS rule_id, o_totalprice > 1000 AS passed, CAST(floor(o_totalprice / 6000) AS INTEGER) AS score FROM orders)
@@ -104,57 +103,62 @@ def improvable_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("passed and score < 100").groupBy("rule_id", "score").agg(F.count("*").alias("n"))
 
 
-@query(facts("modules", "functions", "classes") + """
-, s AS (SELECT module, name FROM functions_ WHERE class_name IS NULL UNION ALL SELECT module, name FROM classes_), r AS (SELECT module, count(*) * 0.5 AS weight FROM s GROUP BY 1)
+@query(facts("modules", "functions", "classes") + f""", {TOP}, r AS (SELECT module, count(*) * 0.5 AS weight FROM s_ GROUP BY 1)
 SELECT module, weight FROM r ORDER BY weight DESC, module LIMIT 5""", doubles=("weight",))
 def top_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = views(spark)
+    v = views(spark, sf_dir)
     s = v["functions"].where("class_name is null").select("module").unionByName(v["classes"].select("module"))
     return s.groupBy("module").agg((F.count("*") * 0.5).alias("weight")).orderBy(F.desc("weight"), "module").limit(5)
 
 
 @query(facts("modules") + ", n AS (SELECT count(*) AS n FROM modules_) SELECT module AS line, CAST(row_number() OVER (ORDER BY module) AS INTEGER) AS place FROM modules_ QUALIFY row_number() OVER (ORDER BY module) <= 4 UNION ALL SELECT '… ' || CAST(n - 4 AS VARCHAR) || ' more', 5 FROM n")
 def listing_with_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = views(spark)["modules"].select("module").orderBy("module")
+    m = views(spark, sf_dir)["modules"].select("module").orderBy("module")
     shown = m.limit(4).withColumn("place", F.row_number().over(Window.orderBy("module")))
     rest = m.agg(F.concat(F.lit("… "), (F.count("*") - 4).cast("string"), F.lit(" more")).alias("line")).select("line", F.lit(5).alias("place"))
     return shown.select(F.col("module").alias("line"), "place").unionByName(rest)
 
 
-@query(facts("imports", "functions", "classes") + """
-, i AS (SELECT module, unnest(names) AS name FROM imports_), d AS (SELECT module AS home, name FROM functions_ WHERE class_name IS NULL UNION ALL SELECT module, name FROM classes_)
-SELECT i.module, i.name, d.home FROM i JOIN d USING (name) WHERE i.module <> d.home""")
+@query(facts("imports", "functions", "classes") + f"""
+, {TOP}, i AS (SELECT module, unnest(names) AS name FROM imports_) SELECT i.module, i.name, d.module AS home FROM i JOIN s_ d USING (name) WHERE i.module <> d.module""")
 def import_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where an imported name is defined, one re-export followed."""
-    v = views(spark)
+    v = views(spark, sf_dir)
     i = v["imports"].select("module", F.explode("names").alias("name"))
     d = v["functions"].where("class_name is null").select(F.col("module").alias("home"), "name").unionByName(v["classes"].select(F.col("module").alias("home"), "name"))
     return i.join(d, "name").where("module <> home").select("module", "name", "home")
 
 
-@query(facts("functions") + """
-, h AS (SELECT module, name, CASE WHEN name = 'discount' THEN signature || ' # new' ELSE signature END AS signature FROM functions_ WHERE class_name IS NULL AND name <> 'forgotten' UNION ALL SELECT 'shop.cart', 'fresh', 'def fresh()'),
-b AS (SELECT module, name, signature FROM functions_ WHERE class_name IS NULL)
+@query(facts("functions") + f"""
+, b AS (SELECT module, name, signature FROM functions_ WHERE class_name IS NULL),
+h AS (SELECT module, name, CASE WHEN contains(signature, 'list[') THEN replace(signature, ' -> str', ' -> bytes') ELSE signature END AS signature FROM b WHERE NOT starts_with(name, '_') UNION ALL SELECT concat('p', m % 5, '.m', m), concat('fresh', m), 'def fresh()' FROM (SELECT DISTINCT m FROM base_ WHERE m % 9 = 0 AND NOT {BROKEN}))
 SELECT * FROM (SELECT coalesce(b.module, h.module) AS module, coalesce(b.name, h.name) AS name, CASE WHEN b.name IS NULL THEN 'added' WHEN h.name IS NULL THEN 'removed' WHEN b.signature <> h.signature THEN 'modified' END AS change FROM b FULL JOIN h ON b.module = h.module AND b.name = h.name) WHERE change IS NOT NULL""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two states of one corpus, as a scan of each would give them."""
-    base = views(spark)["functions"].where("class_name is null").select("module", "name", "signature")
-    fresh = spark.createDataFrame([("shop.cart", "fresh", "def fresh()")], base.schema)
-    head = base.where("name <> 'forgotten'").withColumn("signature", F.when(F.col("name") == "discount", F.concat("signature", F.lit(" # new"))).otherwise(F.col("signature"))).unionByName(fresh)
-    return C.structural_diff(base, head, ["module", "name"], "signature").select("module", "name", "change")
+    """Two states of one source tree, as a scan of each would give them: in the second, files are edited and parsed again."""
+    from corpusmill.sources import python_source as P
+
+    files = sources(spark, sf_dir)
+    text = F.regexp_replace(F.regexp_replace("text", r"(?m)^(def f\d+\(a: list\[.*) -> str:", "$1 -> bytes:"), r"(?m)^def _f", "class _F:\n  def f")
+    m = F.regexp_extract("path", r"^src/p\d+/m(\d+)\.py$", 1).try_cast("int")
+    text = F.when((m % 9 == 0) & (m % 50 != 49), F.concat(text, F.lit("\n\ndef fresh"), m, F.lit("():\n    pass\n"))).otherwise(text)
+    top = lambda f: P.views(P.parse_modules(f))["functions"].where("class_name is null").select("module", "name", "signature")
+    fresh = F.when(F.startswith("name", F.lit("fresh")), "def fresh()").otherwise(F.col("signature"))
+    return C.structural_diff(top(files), top(files.withColumn("text", text)).withColumn("signature", fresh), ["module", "name"], "signature").select("module", "name", "change")
 
 
-@query("SELECT 'graph TD' || chr(10) || '  a --> b' || chr(10) || '  a --> c' AS text, '[{\"src\":\"a\",\"dst\":\"b\"},{\"src\":\"a\",\"dst\":\"c\"}]' AS json")
+@query("""WITH e AS (SELECT r_name AS src, n_name AS dst FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT 'graph TD' || chr(10) || string_agg('  ' || src || ' --> ' || dst, chr(10) ORDER BY src, dst) AS text, '[' || string_agg('{"src":"' || src || '","dst":"' || dst || '"}', ',' ORDER BY src, dst) || ']' AS json FROM e""")
 def rendered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.createDataFrame([("a", "c"), ("a", "b")], "src string, dst string")
-    rows = F.array_sort(F.collect_list(F.struct("src", "dst")))
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    e = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
+    rows = F.array_sort(F.collect_list(F.struct("src", "dst")))  # a rendered graph is one text, whatever its size
     lines = F.transform(rows, lambda x: F.concat(F.lit("  "), x["src"], F.lit(" --> "), x["dst"]))
     return e.agg(F.concat(F.lit("graph TD\n"), F.array_join(lines, "\n")).alias("text"), F.to_json(rows).alias("json"))
 
 
-@query(f"WITH {DOC_SQL} SELECT path FROM docs_ WHERE contains(lower(path), 'guide')")
+@query(facts("docs") + "SELECT path FROM docs_ WHERE contains(path, 'm1') OR contains(path, '2.md')")
 def docs_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark).where(F.lower("path").rlike("\\Qguide\\E")).select("path")
+    return docs(spark, sf_dir).where(F.lower("path").rlike("\\Qm1\\E|\\Q2.md\\E")).select("path")
 
 
 @query("SELECT l_shipdate AS k, count(*) AS total, count(*) > 40 AS truncated FROM lineitem GROUP BY 1")

@@ -36,37 +36,37 @@ def diff_size_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("score", S.linear_score(F.col("lines")))
 
 
-FINDINGS = """SELECT l_suppkey AS package, CASE l_linenumber % 3 WHEN 0 THEN 'QUALITY_SECURITY' WHEN 1 THEN 'ARCH_COUPLING' ELSE 'TEST_QUALITY_FILE_NAMING' END AS rule_id,
- CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity FROM lineitem WHERE l_quantity = 1 AND l_tax = 0.08 AND l_discount = 0.1"""
+FINDINGS = """SELECT l_orderkey AS package, CASE l_linenumber % 3 WHEN 0 THEN 'QUALITY_SECURITY' WHEN 1 THEN 'ARCH_COUPLING' ELSE 'TEST_QUALITY_FILE_NAMING' END AS rule_id,
+ CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity FROM lineitem"""
 
 
 @query(f"""
 WITH f AS ({FINDINGS}), r(rule_id) AS (VALUES ('QUALITY_SECURITY'), ('ARCH_COUPLING'), ('TEST_QUALITY_FILE_NAMING'), ('QUALITY_LINT')),
-p AS (SELECT rule_id, count(*) AS n, sum(CASE WHEN rule_id = 'QUALITY_SECURITY' THEN CASE severity WHEN 'high' THEN 15 WHEN 'medium' THEN 5 ELSE 0 END
+p AS (SELECT package, rule_id, count(*) AS n, sum(CASE WHEN rule_id = 'QUALITY_SECURITY' THEN CASE severity WHEN 'high' THEN 15 WHEN 'medium' THEN 5 ELSE 0 END
   WHEN rule_id = 'ARCH_COUPLING' THEN CASE severity WHEN 'error' THEN 5 WHEN 'warning' THEN 3 ELSE 0 END
-  ELSE CASE severity WHEN 'warning' THEN 3 WHEN 'info' THEN 1 ELSE 0 END END) AS lost FROM f GROUP BY 1),
-s AS (SELECT r.rule_id, coalesce(n, 0) AS n, CAST(greatest(0, 100 - coalesce(lost, 0)) AS INTEGER) AS score FROM r LEFT JOIN p USING (rule_id))
-SELECT rule_id, n, score, score >= CASE rule_id WHEN 'QUALITY_LINT' THEN 100 ELSE 90 END AS passed FROM s""")
+  ELSE CASE severity WHEN 'warning' THEN 3 WHEN 'info' THEN 1 ELSE 0 END END) AS lost FROM f GROUP BY 1, 2),
+s AS (SELECT package, r.rule_id, coalesce(n, 0) AS n, CAST(greatest(0, 100 - coalesce(lost, 0)) AS INTEGER) AS score FROM (SELECT DISTINCT package FROM f) CROSS JOIN r LEFT JOIN p USING (package, rule_id))
+SELECT package, rule_id, n, score, score >= CASE rule_id WHEN 'QUALITY_LINT' THEN 100 ELSE 90 END AS passed FROM s""")
 def rule_scores_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") == 1) & (F.col("l_tax") == 0.08) & (F.col("l_discount") == 0.1))
     kind = F.col("l_linenumber") % 3
-    found = lines.select(
+    found = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("package"),
         F.when(kind == 0, "QUALITY_SECURITY").when(kind == 1, "ARCH_COUPLING").otherwise("TEST_QUALITY_FILE_NAMING").alias("rule_id"),
         F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "warning").otherwise("info").alias("severity"),
     )
     rules = spark.createDataFrame([("QUALITY_SECURITY",), ("ARCH_COUPLING",), ("TEST_QUALITY_FILE_NAMING",), ("QUALITY_LINT",)], "rule_id string")
-    return S.rule_scores(found, rules)
+    return S.rule_scores(found, rules, ["package"])
 
 
 @query(f"""
 WITH {values("p", ["rule_id", "penalty"], sorted(S.PENALTIES.items()))},
-f AS (SELECT p_size % 7 AS k, count(*) AS n FROM part WHERE p_size > 40 GROUP BY 1),
+f AS (SELECT p_size % 7 AS k, count(*) AS n FROM part GROUP BY 1),
 r AS (SELECT rule_id, penalty, row_number() OVER (ORDER BY rule_id) % 7 AS k FROM p)
 SELECT rule_id, coalesce(n, 0) % 12 AS n, CAST(greatest(0, 100 - (coalesce(n, 0) % 12) * penalty) AS INTEGER) AS score FROM r LEFT JOIN f USING (k)""")
 def every_rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each counting rule's penalty, over counts taken from parts."""
     rules = spark.createDataFrame([(r, p, (i + 1) % 7) for i, (r, p) in enumerate(sorted(S.PENALTIES.items()))], "rule_id string, penalty int, k int")
-    f = table(spark, sf_dir, "part").where("p_size > 40").groupBy((F.col("p_size") % 7).alias("k")).agg(F.count("*").alias("n"))
+    f = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 7).alias("k")).agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0)) % 12
     return rules.join(f, "k", "left").select("rule_id", n.alias("n"), S.penalty_score(n, F.col("penalty")).alias("score"))
 
@@ -186,17 +186,67 @@ def coupling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_custkey AS symbol, count(*) AS callers FROM orders WHERE o_totalprice > 200000 GROUP BY 1),
-l AS (SELECT o_custkey AS symbol, count(DISTINCT l_suppkey) AS modules FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 48 GROUP BY 1),
-s AS (SELECT c_custkey AS symbol, coalesce(callers, 0) AS callers, coalesce(modules, 0) AS modules FROM customer LEFT JOIN o ON o.symbol = c_custkey LEFT JOIN l ON l.symbol = c_custkey)
-SELECT symbol, callers * 1 + modules * 1 AS points, CASE WHEN callers + modules >= 5 THEN 'HIGH' WHEN callers + modules >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS impact FROM s""")
+WITH c AS (SELECT l_orderkey AS symbol, count(*) AS callers, count(DISTINCT l_suppkey) AS modules FROM lineitem GROUP BY 1),
+s AS (SELECT o_orderkey AS symbol, coalesce(callers, 0) AS callers, coalesce(modules, 0) AS modules FROM orders LEFT JOIN c ON c.symbol = o_orderkey)
+SELECT symbol, callers + modules AS points, CASE WHEN callers + modules >= 5 THEN 'HIGH' WHEN callers + modules >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS impact FROM s""")
 def impact_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    symbols = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol"))
-    callers = orders.where("o_totalprice > 200000").groupBy(F.col("o_custkey").alias("symbol")).agg(F.count("*").alias("callers"))
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 48")
-    modules = orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy(F.col("o_custkey").alias("symbol")).agg(F.countDistinct("l_suppkey").alias("modules"))
-    return A.impact(symbols, {"callers": (callers, 1), "modules": (modules, 1)})
+    symbols = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("symbol"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("symbol"))
+    return A.impact(symbols, {"callers": (lines.agg(F.count("*").alias("callers")), 1), "modules": (lines.agg(F.countDistinct("l_suppkey").alias("modules")), 1)})
+
+
+@query("""
+WITH w AS (SELECT n_nationkey AS project, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 5 END AS callers FROM nation WHERE n_nationkey % 3 <> 0),
+c AS (SELECT c_nationkey AS project, c_custkey AS symbol, count(o_orderkey) % 4 AS callers, count(DISTINCT o_orderpriority) % 3 AS modules FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+p AS (SELECT project, symbol, c.callers * coalesce(w.callers, 1) + c.modules AS points FROM c LEFT JOIN w USING (project))
+SELECT project, symbol, points, CASE WHEN points >= 5 THEN 'HIGH' WHEN points >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS impact FROM p""", longs=("points",))
+def impact_weights_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impact under each project's own weights; half the projects set none, or leave it null."""
+    key = F.col("n_nationkey")
+    w = table(spark, sf_dir, "nation").where(key % 3 != 0).select(key.alias("project"), F.when(key % 2 == 0, key % 5).alias("callers"))
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    n = c.join(o, c.c_custkey == o.o_custkey, "left").groupBy(F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("symbol")).agg((F.count("o_orderkey") % 4).alias("callers"), (F.countDistinct("o_orderpriority") % 3).alias("modules"))
+    return A.weighted_impact(n, w, {"callers": 1, "modules": 1})
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS failure, o_orderkey AS symbol, CASE WHEN o_totalprice > 300000 THEN 2 WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS score FROM orders),
+c AS (SELECT failure, symbol, l_partkey AS caller, l_suppkey AS test FROM r JOIN lineitem ON l_orderkey = symbol),
+k AS (SELECT *, row_number() OVER (PARTITION BY failure ORDER BY symbol, caller) AS place FROM c),
+s AS (SELECT failure, list(caller ORDER BY place) FILTER (place <= 10) AS shown, greatest(count(*) - 10, 0) AS more, count(DISTINCT test) AS tests FROM k GROUP BY 1)
+SELECT failure, count(DISTINCT symbol) AS symbols, coalesce(any_value(shown), []) AS shown, coalesce(any_value(more), 0) AS more, coalesce(any_value(tests), 0) AS tests, CASE max(score) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS score FROM r LEFT JOIN s USING (failure) GROUP BY 1""", lists=("shown",), longs=("more",))
+def failure_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as the symbols of a failure: callers (capped, with how many more), tests and the worst score."""
+    price = F.col("o_totalprice")
+    r = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("failure"), F.col("o_orderkey").alias("symbol"), F.when(price > 300000, "HIGH").when(price > 150000, "MEDIUM").otherwise("LOW").alias("score"))
+    met = r.join(table(spark, sf_dir, "lineitem"), F.col("symbol") == F.col("l_orderkey")).select("failure", "symbol", F.col("l_partkey").alias("caller"), F.col("l_suppkey").alias("test"))
+    return A.failure_impacts(r, met.select("failure", "symbol", "caller"), met.select("failure", "symbol", "test"))
+
+
+@query("""SELECT 'dated' AS claim, count_if(l_shipdate IS NULL) AS failures, count_if(l_shipdate IS NULL) = 0 AS holds FROM lineitem UNION ALL SELECT 'discount_small', count_if(NOT l_discount < 0.1), count_if(NOT l_discount < 0.1) = 0 FROM lineitem
+UNION ALL SELECT 'priced', count_if(NOT l_extendedprice > l_quantity), count_if(NOT l_extendedprice > l_quantity) = 0 FROM lineitem""", longs=("failures",))
+def witnessed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims about a table, with how many rows break each."""
+    return A.witness(table(spark, sf_dir, "lineitem"), {"dated": F.col("l_shipdate").isNotNull(), "discount_small": F.col("l_discount") < 0.1, "priced": F.col("l_extendedprice") > F.col("l_quantity")})
+
+
+@query("""SELECT 'LARGE' AS rule_id, p_partkey AS id FROM part WHERE p_size > 45 UNION ALL SELECT 'CHEAP', p_partkey FROM part WHERE p_retailprice < 950 UNION ALL SELECT 'OLD', p_partkey FROM part WHERE p_name LIKE 'old %'""")
+def registered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of two categories, registered and run over parts as steps of a pipeline."""
+    from corpusmill.plans import tools
+
+    saved = {k: list(v) for k, v in tools.RULES.items()}
+    tools.RULES.clear()
+    try:
+        found = lambda name, hit: tools.rule(name[1])(lambda facts: facts.where(hit).select(F.lit(name[0]).alias("rule_id"), F.col("p_partkey").alias("id")))
+        found(("LARGE", "size"), F.col("p_size") > 45)
+        found(("CHEAP", "price"), F.col("p_retailprice") < 950)
+        found(("OLD", "size"), F.startswith("p_name", F.lit("old ")))
+        step = tools.node(lambda facts: tools.run_rules(facts), {"facts": "parts"}, {"findings": "result"})
+        return step({"parts": table(spark, sf_dir, "part")})["findings"]
+    finally:
+        tools.RULES.clear()
+        tools.RULES.update(saved)
 
 
 @query("""

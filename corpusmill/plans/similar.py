@@ -71,11 +71,13 @@ def waivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.unionByName(M.stale_waivers(d, h).select("hash", F.lit("stale").alias("state")))
 
 
-@query(f"""WITH {values('w', ['hash', 'reason'], [*WAIVERS, ('0123456789ab', 'fine')])}
-SELECT hash, CASE WHEN NOT regexp_full_match(hash, '[0-9a-f]{{12}}') THEN 'hash must be 12 hex digits' WHEN trim(reason) = '' THEN 'reason must not be empty' END AS problem FROM w""")
+@query("""WITH w AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN substr(sha256(p_name), 1, 12) WHEN 1 THEN p_name ELSE upper(substr(sha256(p_name), 1, 12)) END AS hash, CASE WHEN p_size % 4 = 0 THEN ' ' ELSE p_type END AS reason FROM part)
+SELECT hash, reason, CASE WHEN NOT regexp_full_match(hash, '[0-9a-f]{12}') THEN 'hash must be 12 hex digits' WHEN trim(reason) = '' THEN 'reason must not be empty' END AS problem FROM w""")
 def waiver_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = spark.createDataFrame([*WAIVERS, ("0123456789ab", "fine")], "hash string, reason string")
-    return w.select("hash", M.waiver_problem(F.col("hash"), F.col("reason")).alias("problem"))
+    digest = F.substring(F.sha2(F.col("p_name").cast("binary"), 256), 1, 12)
+    k = F.col("p_partkey") % 3
+    w = table(spark, sf_dir, "part").select(F.when(k == 0, digest).when(k == 1, F.col("p_name")).otherwise(F.upper(digest)).alias("hash"), F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.col("p_type")).alias("reason")).distinct()
+    return w.select("hash", "reason", M.waiver_problem(F.col("hash"), F.col("reason")).alias("problem"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, {LINES} AS xs FROM documents), d AS (SELECT min(doc_id) AS id, xs FROM s WHERE len(xs) > 0 GROUP BY xs)
@@ -87,10 +89,14 @@ def line_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.jaccard_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), lines.alias("items")), 0.5).withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT * FROM (VALUES ('both empty', 1.0), ('one empty', 0.0), ('half', 0.5), ('same', 1.0)) AS t(name, score)""", doubles=("score",))
+@query("""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split(p_name, ' ') END AS a, CASE WHEN p_partkey % 10 IN (0, 1) THEN CAST([] AS VARCHAR[]) ELSE [string_split(p_name, ' ')[1], p_brand] END AS b FROM part)
+SELECT p_partkey, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS score FROM s""", doubles=("score",))
 def jaccard_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("both empty", [], []), ("one empty", ["a"], []), ("half", ["a", "b", "c"], ["b", "c", "d"]), ("same", ["x"], ["x"])]
-    return spark.createDataFrame(rows, "name string, a array<string>, b array<string>").select("name", M.jaccard(F.col("a"), F.col("b")).alias("score"))
+    """Sets that are empty on either side, on both, or on none."""
+    k, words, none = F.col("p_partkey"), F.split("p_name", " "), F.array().cast("array<string>")
+    a = F.when(k % 5 == 0, none).otherwise(words)
+    b = F.when((k % 10).isin(0, 1), none).otherwise(F.array(F.element_at(words, 1), "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", M.jaccard(a, b).alias("score"))
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT vec_id AS id, CASE vec_id % 9 WHEN 0 THEN 'name' WHEN 1 THEN 'l' || CAST(label AS VARCHAR) || '_run' WHEN 2 THEN '_l' || CAST(label AS VARCHAR) ELSE 'f' || CAST(vec_id AS VARCHAR) END AS name,
@@ -127,9 +133,11 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("rank", rank).where("rank <= 3").select("id", "token", F.round("weight", 6).alias("weight"), "rank")
 
 
-@query("""SELECT * FROM (VALUES ('a', ['loadjsonfile', 'load', 'json', 'file', 'return', 'return', 'snake_case', 'snake', 'case', 'return', 'return']), ('b', CAST([] AS VARCHAR[]))) AS t(id, tokens)""", lists=("tokens",))
+@query("""WITH w AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS w FROM part)
+SELECT id, list_concat([concat('get', w[1], w[2]), 'get', w[1], w[2], 'return', 'return', concat(w[1], '_', w[2]), w[1], w[2]], ['return', 'return']) AS tokens FROM w""", lists=("tokens",))
 def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("a", "loadJsonFile(1); return snake_case"), ("b", "12 + 3")], "id string, text string").select("id", M.code_tokens(F.col("text")).alias("tokens"))
+    text = F.concat(F.lit("get"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("(12); return "), F.replace("p_name", F.lit(" "), F.lit("_")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), M.code_tokens(text).alias("tokens"))
 
 
 @query()

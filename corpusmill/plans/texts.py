@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import compact as K
 from corpusmill.functions import detect as D
 from corpusmill.functions import text as X
 from corpusmill.operators import aggregate as A
-from corpusmill.plans.code import DOC_SQL, docs
-from corpusmill.plans.fixture import FILES, LOG, SUBJECTS
+from corpusmill.plans.corpus import docs, facts, named, sources
 from corpusmill.plans.registry import query, values
 from corpusmill.session import table
 from corpusmill.sources import logs as L
@@ -38,67 +36,115 @@ def detect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", D.detect_format(F.col("props")).alias("format"))
 
 
-SAMPLES = [
-    ("empty", "  ", "text"), ("json", '{"a": [1, 2]}', "json"), ("broken json", "{oops", "text"), ("xml", "<?xml version='1.0'?><r/>", "xml"), ("xml root", "<note x='1'>hi</note>", "xml"), ("page", "<div>hi</div>", "text"),
-    ("yaml", "name: x\nitems:\n  - a\n  - b\n", "yaml"), ("markdown", "# One\n\nText\n\n## Two\n\nMore", "markdown"), ("table", "|a|b|\n|-|-|\n|1|2|", "markdown"), ("toml", "[tool]\nx = 1\n", "toml"), ("csv", "a,b\n1,2\n3,4", "csv"), ("prose", "Just a line, with a comma", "text"),
+def _texts(spark: SparkSession, sf_dir: str, forms: list[tuple[str, str, str]]) -> DataFrame:
+    """(k, form, text): one of the forms a part, in turn."""
+    case = " ".join(f"WHEN {i} THEN {text}" for i, (_, text, _) in enumerate(forms))
+    names = " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _, _) in enumerate(forms))
+    n = len(forms)
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS k", f"CASE p_partkey % {n} {names} END AS form", f"CASE p_partkey % {n} {case} END AS text")
+
+
+def _wanted(forms: list[tuple[str, str, str]]) -> str:
+    return f"CASE p_partkey % {len(forms)} " + " ".join(f"WHEN {i} THEN {want}" for i, (_, _, want) in enumerate(forms)) + " END"
+
+
+# a form, a text of it as Spark SQL over a part, and its format
+FORMATS = [
+    ("object", """concat('{"a": [1, ', p_size, ']}')""", "'json'"), ("broken", "concat('{oops ', p_name)", "'text'"), ("declared", """concat("<?xml version='1.0'?><r>", p_name, '</r>')""", "'xml'"), ("rooted", """concat("<note x='", p_size, "'>hi</note>")""", "'xml'"),
+    ("page", "concat('<div>', p_name, '</div>')", "'text'"), ("mapping", r"concat('name: ', p_name, '\nitems:\n  - a\n  - b\n')", "'yaml'"), ("headed", r"concat('# ', p_name, '\n\nText\n\n## Two\n\nMore')", "'markdown'"), ("table", r"concat('|a|b|\n|-|-|\n|1|', p_size, '|')", "'markdown'"),
+    ("settings", r"concat('[tool]\nx = ', p_size, '\n')", "'toml'"), ("grid", r"concat('a,b\n1,2\n3,', p_size)", "'csv'"), ("prose", "concat('Just a line, with ', p_name)", "'text'"), ("empty", "'  '", "'text'"),
 ]
 
 
-@query(f"WITH {values('s', ['name', 'format'], [(n, f) for n, _, f in SAMPLES])} SELECT name, format FROM s")
+GRID = " OR ".join(f"(contains(l[1], {d}) AND len(list_distinct(list_transform(l, lambda x: len(x) - len(replace(x, {d}, ''))))) = 1)" for d in ("','", "';'", "chr(9)", "'|'"))
+
+
+@query(f"""SELECT p_partkey AS k, {_wanted(FORMATS)} AS format FROM part
+UNION ALL SELECT -1 - page_id, CASE WHEN len(l) > 1 AND ({GRID}) THEN 'csv' ELSE 'text' END FROM (SELECT page_id, list_filter(string_split(html, chr(10)), lambda x: trim(x) <> '') AS l FROM pages)""")
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, t) for n, t, _ in SAMPLES], "name string, text string").select("name", D.detect_format(F.col("text")).alias("format"))
-
-
-LONG = "a text of more than twenty characters"
-COMPACTIONS = [
-    ("minify", '{"b": 1, "a": [1, 2.0]}', '{"a":[1,2.0],"b":1}'),
-    ("drop_nulls", '{"a": null, "b": {"c": []}, "d": false, "e": 0, "f": ["", {"g": ""}, 1]}', '{"d":false,"e":0,"f":[1]}'),
-    ("flatten", '{"a": {"b": {"c": 1}}, "x": {"y": 1, "z": {"w": 2}}, "l": [{"m": {"n": 1}}]}', '{"a.b.c":1,"l":[{"m.n":1}],"x":{"y":1,"z.w":2}}'),
-    ("tabular", '[{"a": 1, "b": null}, {"a": true, "c": "x|y"}]', 'a|b|c\n1|null|\ntrue||"x|y"'),
-    ("tabular", '{"rows": [{"a": 1}], "n": 2}', '{"rows":"a\\n1","n":2}'),
-    ("round_numbers", '{"a": 0.125, "b": 2.675, "c": 3, "d": "1.239"}', '{"a":0.12,"b":2.67,"c":3,"d":"1.239"}'),
-    ("strip_quotes", '{"a_b":1,"c d":{"e.f":"g"}}', '{a_b:1,"c d":{e.f:"g"}}'),
-    ("dedup_values_with_refs", json.dumps({"x": LONG, "y": LONG, "z": "short"}), '{"_data":{"x":"$R0","y":"$R0","z":"short"},"_refs":{"$R0":"' + LONG + '"}}'),
-    ("collapse_whitespace", "one  \n\n\n\ntwo\t\n", "one\n\ntwo\n"),
-    ("compact_tables", "# H\n\n## K\n\n| a  | b |\n|----|---|\n|  |  | x |", "# H\n\n## K\n\n|a|b|\n|----|---|\n||x|"),
-    ("strip_html_comments", "a\n<!-- gone -->\nb <!-- too --> c\n```\n<!-- kept -->\n```\n", "a\nb  c\n```\n<!-- kept -->\n```\n"),
-    ("minify", "<r>\n  <a> 1 </a>\n</r>", "<r><a>1</a></r>"),
+    """Texts of every format, and pages, which are none, but that lines with as many commas each read as a grid."""
+    pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("k"), F.col("html").alias("text"))
+    return _texts(spark, sf_dir, FORMATS).select("k", "text").unionByName(pages).select("k", D.detect_format(F.col("text")).alias("format"))
+
+
+# a rewrite, a text as Spark SQL over a part, and what becomes of it as SQL of the other dialect
+REWRITES = [
+    ("minify", """concat('{"b": ', p_size, ', "a": ["', p_name, '", 2.0]}')""", """concat('{"a":["', p_name, '",2.0],"b":', p_size, '}')"""),
+    ("drop_nulls", """concat('{"a": null, "b": {"c": []}, "d": false, "e": ', p_size, ', "f": ["", {"g": ""}, 0]}')""", """concat('{"d":false,"e":', p_size, ',"f":[0]}')"""),
+    ("flatten", """concat('{"a": {"b": {"c": ', p_size, '}}, "x": {"y": 1, "z": {"w": "', p_name, '"}}, "l": [{"m": {"n": 1}}]}')""", """concat('{"a.b.c":', p_size, ',"l":[{"m.n":1}],"x":{"y":1,"z.w":"', p_name, '"}}')"""),
+    ("tabular", """concat('[{"a": ', p_size, ', "b": null}, {"a": true, "c": "x|', p_name, '"}]')""", """concat('a|b|c', chr(10), p_size, '|null|', chr(10), 'true||"x|', p_name, '"')"""),
+    ("tabular", """concat('{"rows": [{"a": ', p_size, '}], "n": 2}')""", """concat('{"rows":"a\\n', p_size, '","n":2}')"""),
+    ("round_numbers", """concat('{"a": ', p_size, '.125, "b": 2.675, "c": 3, "d": "1.239"}')""", """concat('{"a":', p_size, '.12,"b":2.67,"c":3,"d":"1.239"}')"""),
+    ("strip_quotes", """concat('{"a_b":', p_size, ',"c d":{"e.f":"', p_name, '"}}')""", """concat('{a_b:', p_size, ',"c d":{e.f:"', p_name, '"}}')"""),
+    ("dedup_values_with_refs", """concat('{"x": "a text of more than ', p_name, '", "y": "a text of more than ', p_name, '", "z": "', p_size, '"}')""", """concat('{"_data":{"x":"$R0","y":"$R0","z":"', p_size, '"},"_refs":{"$R0":"a text of more than ', p_name, '"}}')"""),
+    ("collapse_whitespace", r"concat(p_name, '  \n\n\n\ntwo\t\n')", "concat(p_name, chr(10), chr(10), 'two', chr(10))"),
+    ("collapse_whitespace", r"concat(p_name, '\n\n\n```\n\n\n  x  \n```\n\n\nend ', p_size)", "concat(p_name, chr(10), '```', chr(10), chr(10), chr(10), '  x  ', chr(10), '```', chr(10), 'end ', p_size)"),
+    ("compact_tables", r"concat('# H\n\n## K\n\n| ', p_name, '  | b |\n|----|---|\n|  |  | ', p_size, ' |')", "concat('# H', chr(10), chr(10), '## K', chr(10), chr(10), '|', p_name, '|b|', chr(10), '|----|---|', chr(10), '||', p_size, '|')"),
+    ("strip_html_comments", r"concat('a\n<!-- ', p_name, ' -->\nb <!-- too --> c\n```\n<!-- ', p_size, ' -->\n```\n')", "concat('a', chr(10), 'b  c', chr(10), '```', chr(10), '<!-- ', p_size, ' -->', chr(10), '```', chr(10))"),
+    ("minify", r"concat('<r>\n  <a> ', p_name, ' </a>\n</r>')", "concat('<r><a>', p_name, '</a></r>')"),
 ]
 
 
-@query(f"WITH {values('s', ['id', 'rewrite', 'text'], [(i, n, t) for i, (n, _, t) in enumerate(COMPACTIONS)])} SELECT id, rewrite, text FROM s")
+@query(f"SELECT p_partkey AS k, {_wanted([(str(i), a, b) for i, (_, a, b) in enumerate(REWRITES)])} AS text FROM part")
 def compaction_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, n, t) for i, (n, t, _) in enumerate(COMPACTIONS)], "id int, rewrite string, text string")
+    """Each rewrite on texts of its own."""
+    forms = [(str(i), a, b) for i, (_, a, b) in enumerate(REWRITES)]
+    rows = _texts(spark, sf_dir, forms)
+    text = F.col("text")
+    for i, (name, _, _) in enumerate(REWRITES):
+        text = F.when(F.col("form") == str(i), K.rewrite(F.when(F.col("form") == str(i), F.col("text")), name)).otherwise(text)
+    return rows.select("k", text.alias("text"))
+
+
+DIRTY = T.StructType([T.StructField("inner", T.StructType([T.StructField("x", T.StringType())])), T.StructField("k", T.LongType()), T.StructField("list", T.ArrayType(T.StringType())), T.StructField("none", T.StringType()), T.StructField("off", T.BooleanType()), T.StructField("type", T.StringType())])
+
+
+@query("""SELECT event_id, '{"k":' || k || ',"list":["x"],"off":false,"type":"' || event_type || '"}' AS text FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""")
+def json_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls and empty values built in, then removed by built-ins, as the fields are known."""
+    dirty = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "none": null, "off": false, "list": ["", null, "x"], "inner": {"x": ""}, "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", K.drop_nulls(dirty, DIRTY).alias("text"))
+
+
+def _everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, kind, text): event properties, pages and documents."""
     out = None
-    for name in dict.fromkeys(n for n, _, _ in COMPACTIONS):
-        one = rows.where(F.col("rewrite") == name).select("id", "rewrite", K.rewrite(F.col("text"), name).alias("text"))
+    for name, key, text in (("events", "event_id", "props"), ("pages", "page_id", "html"), ("documents", "doc_id", "text")):
+        one = table(spark, sf_dir, name).select(F.col(key).alias("id"), F.lit(name).alias("kind"), F.col(text).alias("text"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("""SELECT event_id, '{"k":' || k || ',"type":"' || event_type || '"}' AS text FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""")
-def json_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nulls and empty values built in, then removed; keys come out sorted."""
-    dirty = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "none": null, "list": [], "inner": {"x": ""}, "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
-    return table(spark, sf_dir, "events").select("event_id", K.rewrite(dirty, "drop_nulls").alias("text"))
+def _compacted(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
+    report = _everything(spark, sf_dir).withColumn("report", K.compact(F.col("text"), preset))
+    return report.select("id", "kind", "report.format", "report.applied", "report.original_tokens", "report.compacted_tokens")
 
 
 @query()
 def compaction_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The guarded pipeline over event properties, pages and documents."""
-    texts = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), F.col("props").alias("text")).unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), "text"))
-    return texts.withColumn("report", K.compact(F.col("text"), "moderate")).select("id", "kind", "report.format", "report.applied", "report.original_tokens", "report.compacted_tokens")
+    return _compacted(spark, sf_dir, "moderate")
 
 
 @query()
-def compaction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, t) for n, t, _ in SAMPLES], "name string, text string").withColumn("report", K.compact_check(F.col("text")))
-    return rows.select("name", "report.format", "report.tokens", F.to_json("report.estimates").alias("estimates"), "report.savings")
+def compaction_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compacted(spark, sf_dir, "safe")
 
 
 @query()
+def compaction_aggressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compacted(spark, sf_dir, "aggressive")
+
+
+@query()
+def compaction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _texts(spark, sf_dir, FORMATS).withColumn("report", K.compact_check(F.col("text")))
+    return rows.select("k", "report.format", "report.tokens", F.to_json("report.estimates").alias("estimates"), "report.savings")
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]{1,6}|[^\p{L}\p{N}_ \t\n\r\f]|[ \t\n\r\f]+')) AS tokens FROM documents""", longs=("tokens",))
 def approximate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", K.tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", K.tokens(F.col("text")).cast("long").alias("tokens"))
 
 
 @query("""WITH l AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE len(line) >= 20 GROUP BY 1, 2 HAVING count(*) > 1)
@@ -118,90 +164,115 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where(~X.is_placeholder(F.col("value")))
 
 
-SECRETS = [("key = 'AKIA" + "A" * 16 + "'", "aws_access_key"), ("ghp_" + "a1" * 18, "github_token"), ("-----BEGIN RSA PRIVATE KEY-----", "private_key"), ("AKIAshort", None)]
-
-
-@query(f"WITH {values('s', ['text', 'format'], SECRETS)} SELECT text, format FROM s")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'aws_access_key' WHEN 1 THEN 'github_token' WHEN 2 THEN 'private_key' WHEN 3 THEN 'github_token' END AS format FROM customer""")
 def secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of every format among texts that only look like one."""
+    k = F.col("c_custkey")
+    tail = F.lpad(k.cast("string"), 16, "A")
+    text = F.when(k % 5 == 0, F.concat(F.lit("key = 'AKIA"), tail, F.lit("'"))).when(k % 5 == 1, F.concat(F.lit("ghp_"), F.lpad(k.cast("string"), 36, "b"))).when(k % 5 == 2, F.lit("x\n-----BEGIN RSA PRIVATE KEY-----")).when(k % 5 == 3, F.concat(F.lit("github_pat_"), F.lpad(k.cast("string"), 22, "c"))).otherwise(F.concat(F.lit("AKIA short ghp_"), k))
     found = F.lit(None).cast("string")
     for name, pattern in X.SECRET_FORMATS.items():
-        found = F.when(F.col("text").rlike(pattern), name).otherwise(found)
-    return spark.createDataFrame([(t,) for t, _ in SECRETS], "text string").withColumn("format", found)
+        found = F.when(text.rlike(pattern), name).otherwise(found)
+    return table(spark, sf_dir, "customer").select("c_custkey", found.alias("format"))
 
 
-PLACEHOLDERS = [("changeme", True), ("<your key>", True), ("short", True), ("********", True), ("sk_live...xyz", True), ("correct horse", False), ("Redacted", True)]
-
-
-@query(f"WITH {values('s', ['value', 'placeholder'], PLACEHOLDERS)} SELECT value, placeholder FROM s")
+@query("SELECT c_custkey, c_custkey % 9 NOT IN (5, 6) AS placeholder FROM customer")
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(v,) for v, _ in PLACEHOLDERS], "value string").withColumn("placeholder", X.is_placeholder(F.col("value")))
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("key of "), k.cast("string"))
+    forms = [F.lit("changeme"), F.concat(F.lit("<"), name, F.lit(">")), F.lit(" short "), F.lit("********"), F.concat(name, F.lit("...xyz")), name, F.concat(F.lit("correct horse "), k.cast("string")), F.lit("Redacted"), F.lit("your-token")]
+    value = forms[0]
+    for i, f in enumerate(forms):
+        value = F.when(k % len(forms) == i, f).otherwise(value)
+    return table(spark, sf_dir, "customer").select("c_custkey", X.is_placeholder(value).alias("placeholder"))
 
 
-@query(f"""WITH {DOC_SQL}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line FROM docs_) SELECT path, CAST(len(regexp_extract(line, '^(#+)', 1)) AS INTEGER) AS level, trim(regexp_replace(line, '^#+\\s+', '')) AS text FROM l WHERE regexp_matches(line, '^#{{1,3}}\\s+\\S')""")
+@query(facts("docs") + f"""SELECT path, 1 AS level, concat('Module m', m) AS text FROM docs_ UNION ALL SELECT path, unnest([2, 2]), concat({named('8 * m + 5')}, ' and more') FROM docs_ UNION ALL SELECT CAST(page_id AS VARCHAR), 1, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) FROM pages WHERE regexp_matches(html, '<h1>\\s*\\S')""", longs=("level",))
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark).select("path", F.inline(X.headings(F.col("text"))))
+    """Headings of the documentation, and those of pages, written as such."""
+    h1 = F.regexp_extract("html", "<h1>(.*?)</h1>", 1)
+    pages = table(spark, sf_dir, "pages").where(F.col("html").rlike(r"<h1>\s*\S")).select(F.col("page_id").cast("string").alias("path"), F.concat(F.lit("intro\n# "), h1, F.lit("\n#### deep\n")).alias("text"))
+    found = docs(spark, sf_dir).unionByName(pages).select("path", F.inline(X.headings(F.col("text"))))
+    return found.withColumn("level", F.col("level").cast("long"))
 
 
-@query("""SELECT * FROM (VALUES ('README.md', 'Shop', 'Use `open_shop` to begin.'), ('README.md', 'Cart', 'The `Cart` holds items.'), ('README.md', 'Discount', 'Take a share off with `discount`.'),
- ('docs/guide.md', 'Guide', 'Start with bread.'), ('docs/guide.md', 'total_price', 'Adds up a `Cart` at a rate.'), ('docs/howto.md', 'How to', NULL), ('docs/howto.md', 'Cart', 'See the guide.')) AS t(path, heading, sentence)""")
+@query(facts("docs") + f"""SELECT path, concat('Module m', m) AS heading, concat('Use `', {named('8 * m + 3')}, '` first.') AS sentence FROM docs_ UNION ALL SELECT path, concat({named('8 * m + 5')}, ' and more'), 'Later words.' FROM docs_""")
 def heading_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line below each heading that is neither a fence, a quote nor a heading; a later heading of that name wins."""
     sections = F.filter(F.split("text", r"(?m)^(?=#{1,3}\s)"), lambda s: s.rlike(r"^#{1,3}\s"))
     body = F.filter(F.slice(F.split("section", "\n"), 2, 1 << 30), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*(```|>|#)"))
-    d = docs(spark).select("path", F.posexplode(sections).alias("k", "section"))
+    d = docs(spark, sf_dir).select("path", F.posexplode(sections).alias("k", "section"))
     d = d.select("path", "k", F.trim(F.regexp_replace(F.element_at(F.split("section", "\n"), 1), r"^#+\s+", "")).alias("heading"), F.try_element_at(body, F.lit(1)).alias("sentence"))
     return d.groupBy("path", "heading").agg(F.max_by("sentence", "k").alias("sentence"))
 
 
-SUBJECT_SQL = values("s", ["id", "subject"], list(enumerate(SUBJECTS)))
-CLASSIFIED = f"""{SUBJECT_SQL}, m AS (SELECT *, regexp_replace(subject, '^[0-9a-f]{{3,40}} ', '') AS message FROM s),
-c AS (SELECT id, message, coalesce(nullif(regexp_extract(message, '^([a-z]+)(\\(.+\\))?!?:', 1), ''), 'other') AS type, regexp_matches(message, '^[a-z]+(\\(.+\\))?!:') OR contains(message, 'BREAKING CHANGE:') AS breaking FROM m)"""
+# the lead of a subject, its type, whether it breaks, and whether it is a feature
+LEADS = [("feat(api): ", "feat", False, True), ("fix!: ", "fix", True, False), ("docs: ", "docs", False, False), ("abc1234 feat: ", "feat", False, True), ("Merge branch ", "other", False, False), ("chore(deps): BREAKING CHANGE: ", "chore", True, False), ("refactor(core)!: ", "refactor", True, False), ("deadbeef fix: ", "fix", False, False), ("feat(x)!: ", "feat", True, False)]
+LEAD_SQL = values("l", ["i", "lead", "type", "breaking", "feature"], [(i, *x) for i, x in enumerate(LEADS)])
+CLASSIFIED = f"""{LEAD_SQL}, c AS (SELECT event_id, regexp_replace(lead, '^(abc1234|deadbeef) ', '') || event_type || ' ' || event_id AS message, type, breaking, feature, user_id FROM events JOIN l ON i = event_id % {len(LEADS)})"""
 
 
-def _subjects(spark: SparkSession) -> DataFrame:
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.lit("")
+    for i, (x, *_) in enumerate(LEADS):
+        lead = F.when(F.col("event_id") % len(LEADS) == i, x).otherwise(lead)
     s = F.col("subject")
-    return spark.createDataFrame(list(enumerate(SUBJECTS)), "id int, subject string").select("id", X.commit_message(s).alias("message"), X.commit_type(s).alias("type"), X.is_breaking(s).alias("breaking"), X.is_feature(s).alias("feature"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.concat(lead, "event_type", F.lit(" "), F.col("event_id").cast("string")).alias("subject"))
+    return e.select("event_id", "user_id", X.commit_message(s).alias("message"), X.commit_type(s).alias("type"), X.is_breaking(s).alias("breaking"), X.is_feature(s).alias("feature"))
 
 
-@query(f"WITH {CLASSIFIED} SELECT id, message, type, breaking FROM c")
+@query(f"WITH {CLASSIFIED} SELECT event_id, message, type, breaking FROM c")
 def commit_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _subjects(spark).drop("feature")
+    return _subjects(spark, sf_dir).select("event_id", "message", "type", "breaking")
 
 
 @query(f"WITH {CLASSIFIED} SELECT type AS key, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'breaking', count(*) FROM c WHERE breaking HAVING count(*) > 0")
 def commit_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _subjects(spark)
+    c = _subjects(spark, sf_dir)
     breaking = c.where("breaking").agg(F.count("*").alias("n")).where("n > 0").select(F.lit("breaking").alias("key"), "n")
     return c.groupBy(F.col("type").alias("key")).agg(F.count("*").alias("n")).unionByName(breaking)
 
 
-@query("""SELECT * FROM (VALUES ('v1.4.2', 'major', 'v2.0.0'), ('v0.4.2', 'minor', 'v0.5.0'), ('v2.0.9', 'minor', 'v2.1.0'), ('v3.1.0', 'patch', 'v3.1.1')) AS t(tag, bump, next)""")
+@query(f"""WITH {CLASSIFIED}, t AS (SELECT user_id, user_id % 3 AS major, user_id % 7 AS minor, user_id % 5 AS patch, bool_or(breaking) AS b, bool_or(feature) AS f FROM c WHERE event_id % 4 <> 1 GROUP BY ALL)
+SELECT user_id, CASE WHEN b AND major > 0 THEN 'major' WHEN b OR f THEN 'minor' ELSE 'patch' END AS bump,
+ CASE WHEN b AND major > 0 THEN concat('v', major + 1, '.0.0') WHEN b OR f THEN concat('v', major, '.', minor + 1, '.0') ELSE concat('v', major, '.', minor, '.', patch + 1) END AS next FROM t""")
 def version_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("v1.4.2", "fix!: x"), ("v1.4.2", "feat: y"), ("v0.4.2", "feat!: z"), ("v2.0.9", "feat: a"), ("v2.0.9", "fix: b"), ("v3.1.0", "docs: c")], "tag string, subject string")
-    s = F.col("subject")
-    flags = rows.groupBy("tag").agg(F.bool_or(X.is_breaking(s)).alias("breaking"), F.bool_or(X.is_feature(s)).alias("feature"))
-    k = X.version_key(F.col("tag"))
+    """The next version of each user's package, from the commits since its tag."""
+    u = F.col("user_id")
+    tag = F.concat(F.lit("v"), F.concat_ws(".", (u % 3).cast("string"), (u % 7).cast("string"), (u % 5).cast("string")))
+    flags = _subjects(spark, sf_dir).where("event_id % 4 <> 1").groupBy("user_id").agg(F.bool_or("breaking").alias("breaking"), F.bool_or("feature").alias("feature"))
+    k = X.version_key(tag)
     args = [F.element_at(k, i) for i in (1, 2, 3)]
-    return flags.select("tag", X.version_bump(args[0], F.col("breaking"), F.col("feature")).alias("bump"), X.next_version(*args, F.col("breaking"), F.col("feature")).alias("next"))
+    return flags.select("user_id", X.version_bump(args[0], F.col("breaking"), F.col("feature")).alias("bump"), X.next_version(*args, F.col("breaking"), F.col("feature")).alias("next"))
 
 
-TAGS = ["core/v1.9.0", "core/v1.10.0", "v2.0.0", "core/beta", "core/v1.2.33"]
+@query("""WITH t AS (SELECT o_custkey % 4 AS package, o_orderkey % 3 AS a, o_custkey % 30 AS b, o_orderkey % 40 AS c FROM orders WHERE o_orderkey % 6 <> 0)
+SELECT package, concat('p', package, '/v', a, '.', b, '.', c) AS tag FROM (SELECT DISTINCT *, row_number() OVER (PARTITION BY package ORDER BY a DESC, b DESC, c DESC) AS k FROM t) WHERE k = 1""")
+def latest_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest version of each package by numbers, not by letters; tags of other shapes do not count."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    lead = F.concat(F.lit("p"), (c % 4).cast("string"), F.lit("/"))
+    version = F.when(k % 6 == 0, F.concat(F.lit("beta9."), k.cast("string"))).otherwise(F.concat(F.lit("v"), F.concat_ws(".", (k % 3).cast("string"), (c % 30).cast("string"), (k % 40).cast("string"))))
+    t = table(spark, sf_dir, "orders").select((c % 4).alias("package"), F.concat(lead, version).alias("tag"))
+    key = X.version_key(F.concat(F.substring_index("tag", "/", -1)))
+    return t.withColumn("key", key).where("key is not null").groupBy("package").agg(F.max_by("tag", "key").alias("tag"))
 
 
-@query("SELECT 'core/v1.10.0' AS tag")
-def latest_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in TAGS], "tag string").withColumn("k", X.version_key(F.col("tag"), "core/"))
-    return t.where("k is not null").orderBy(F.desc("k")).limit(1).select("tag")
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exported log an order: what its lines name are the files of the commit, with a picture and a blank line among them."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.concat(F.lit("src/f"), F.col("l_suppkey").cast("string"), F.lit(".py")))).alias("files"))
+    return li.select(F.concat(F.lit("\x1f"), F.col("l_orderkey").cast("string"), F.lit("\nlogo.PNG\n\n"), F.array_join("files", "\n"), F.lit("\n")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('src/cart.py', 5), ('src/pricing.py', 4), ('src/util.py', 2), ('README.md', 1)) AS t(file, n)")
+@query("SELECT concat('src/f', l_suppkey, '.py') AS file, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1")
 def git_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.commit_files(spark.createDataFrame([(LOG,)], "text string")).groupBy("file").agg(F.count("*").alias("n"))
+    return L.commit_files(_log(spark, sf_dir)).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'src/pricing.py' AS file, 4 AS co_changes, 0.8 AS strength UNION ALL SELECT 'src/util.py', 2, 0.4", doubles=("strength",))
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), n AS (SELECT s, count(*) AS n FROM c GROUP BY 1), p AS (SELECT b.s, count(*) AS co FROM c a JOIN c b USING (o) WHERE a.s = 1 AND b.s <> 1 GROUP BY 1)
+SELECT concat('src/f', s, '.py') AS file, co AS co_changes, co / greatest(n, (SELECT n FROM n WHERE s = 1)) AS strength FROM p JOIN n USING (s) WHERE co >= 3 AND co / greatest(n, (SELECT n FROM n WHERE s = 1)) >= 0.03""", doubles=("strength",))
 def git_log_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.coupled_with(L.commit_files(spark.createDataFrame([(LOG,)], "text string")), "src/cart.py", 0.3, 2)
+    return A.coupled_with(L.commit_files(_log(spark, sf_dir)), "src/f1.py", 0.03, 3)
 
 
 @query("""WITH s AS (SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages), c AS (SELECT page_id, slug, substr(slug, 1, 40) AS cut FROM s)
@@ -210,18 +281,22 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.slug(F.col("url")).alias("slug"))
 
 
-TICKETS = [([], "x", "feat"), (["urgent", "bug", "feature"], "x", "fix"), (["urgent"], "docs(api): x", "docs"), (["urgent"], "chore: x", "chore"), (["documentation"], "fix: x", "docs"), (["odd"], "Fix it", "chore")]
+# labels as Spark SQL, a title, and the type of the branch
+TICKETS = [("array()", "x", "feat"), ("array('urgent', 'bug', 'feature')", "x", "fix"), ("array('urgent')", "docs(api): ", "docs"), ("array('urgent', event_type)", "chore: ", "chore"), ("array('documentation', event_type)", "fix: ", "docs"), ("array(event_type)", "Fix it ", "chore"), ("array('enhancement')", "test: ", "feat"), ("array(event_type)", "refactor(a)!: ", "refactor")]
 
 
-@query(f"WITH {values('s', ['id', 'type'], [(i, t) for i, (_, _, t) in enumerate(TICKETS)])} SELECT id, type FROM s")
+@query(f"WITH {values('t', ['i', 'type'], [(i, t) for i, (_, _, t) in enumerate(TICKETS)])} SELECT event_id, type FROM events JOIN t ON i = event_id % {len(TICKETS)}")
 def branch_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, ls, t) for i, (ls, t, _) in enumerate(TICKETS)], "id int, labels array<string>, title string")
-    return rows.select("id", X.branch_type(F.col("labels"), F.col("title")).alias("type"))
+    case = lambda xs: f"CASE event_id % {len(TICKETS)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", f"cast({case([a for a, _, _ in TICKETS])} as array<string>) AS labels", case([f"concat('{t}', event_id)" for _, t, _ in TICKETS]) + " AS title")
+    return rows.select("event_id", X.branch_type(F.col("labels"), F.col("title")).alias("type"))
 
 
-@query("SELECT * FROM (VALUES (' M', 'src/a.py'), ('??', 'new file.txt')) AS t(status, path)")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ' M' WHEN 1 THEN '??' ELSE 'R ' END AS status, concat('src/', p_name, '.py') AS path FROM part")
 def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(" M src/a.py",), ("?? new file.txt",)], "line string").select(F.substring("line", 1, 2).alias("status"), F.substring("line", 4, 1000).alias("path"))
+    k = F.col("p_partkey")
+    line = F.concat(F.when(k % 3 == 0, " M").when(k % 3 == 1, "??").otherwise("R "), F.lit(" src/"), "p_name", F.lit(".py"))
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in L.status_fields(line).items()])
 
 
 @query("""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', (n + 50000) // 100000 / 10) WHEN n >= 1000 THEN printf('%.1fK', (n + 50) // 100 / 10) ELSE CAST(n AS VARCHAR) END AS count,
@@ -240,9 +315,12 @@ def layered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("key"), value.alias("value"), source.alias("source"))
 
 
-@query("SELECT * FROM (VALUES ('core', 'api_key', 'APP_CORE_API_KEY'), ('core.net', 'url', 'APP_CORE__NET_URL')) AS t(namespace, key, name)")
+@query("""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'core' ELSE concat('core.', replace(p_name, ' ', '.')) END AS namespace, concat(replace(p_name, ' ', '_'), '_key') AS key FROM part)
+SELECT p_partkey, 'APP_' || upper(replace(namespace, '.', '__')) || '_' || upper(key) AS name FROM n""")
 def env_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("core", "api_key"), ("core.net", "url")], "namespace string, key string").withColumn("name", X.env_name(F.col("namespace"), F.col("key")))
+    namespace = F.when(F.col("p_partkey") % 2 == 0, "core").otherwise(F.concat(F.lit("core."), F.replace("p_name", F.lit(" "), F.lit("."))))
+    key = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_key"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.env_name(namespace, key).alias("name"))
 
 
 SPANS = "s AS (SELECT event_id, user_id, ts AS first, ts + INTERVAL 1 MINUTE * CAST(floor(value * 10) AS INTEGER) AS last FROM events)"
@@ -281,39 +359,68 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("file").agg(F.concat(F.lit("test_"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sym"))), lambda x: x["sym"]), "_")).alias("canonical"))
 
 
-REPORT = json.dumps({"tests": [{"nodeid": "t::a", "outcome": "passed"}, {"nodeid": "t::b", "outcome": "failed", "call": {"crash": {"message": "ValueError: bad", "lineno": 3}, "longrepr": "1\n2\n3\n4\n5\n6"}}, {"nodeid": "t::c", "outcome": "error"}]})
-
-
-@query("SELECT * FROM (VALUES ('t::b', 'ValueError', 'ValueError: bad', E'2\\n3\\n4\\n5\\n6'), ('t::c', '', '', '')) AS t(nodeid, error_type, message, traceback)")
+@query("""SELECT concat('t::o', o_orderkey) AS nodeid, CASE WHEN o_orderstatus = 'F' THEN 'ValueError' ELSE '' END AS error_type, CASE WHEN o_orderstatus = 'F' THEN concat('ValueError: bad ', o_custkey) ELSE '' END AS message,
+CASE WHEN o_orderstatus = 'F' THEN concat('2', chr(10), '3', chr(10), '4', chr(10), '5', chr(10), 'at ', o_orderkey) ELSE '' END AS traceback FROM orders WHERE o_orderstatus IN ('F', 'P')""")
 def test_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.test_failures(spark.createDataFrame([(REPORT,)], "text string"))
-
-
-COVERAGE = json.dumps({"totals": {"percent_covered": 81.5}, "files": {"a.py": {"summary": {"percent_covered": 90.0}}, "x/__main__.py": {"summary": {"percent_covered": 0.0}}}})
+    """A report of tests a customer, as JSON: orders passed, failed or broke."""
+    o = table(spark, sf_dir, "orders")
+    crash = F.struct(F.concat(F.lit("ValueError: bad "), F.col("o_custkey").cast("string")).alias("message"), F.lit(3).alias("lineno"))
+    call = F.struct(crash.alias("crash"), F.concat(F.lit("1\n2\n3\n4\n5\nat "), F.col("o_orderkey").cast("string")).alias("longrepr"))
+    outcome = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "error").otherwise("passed")
+    test = F.struct(F.concat(F.lit("t::o"), F.col("o_orderkey").cast("string")).alias("nodeid"), outcome.alias("outcome"), F.when(outcome == "failed", call).alias("call"))
+    return L.test_failures(o.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(test).alias("tests"))).alias("text")))
 
 
-@query("SELECT * FROM (VALUES ('a.py', 90.0::DOUBLE), (NULL, 81.5::DOUBLE)) AS t(file, percent)")
+@query("""SELECT concat('c', c_custkey, '.py') AS file, c_acctbal AS percent FROM customer WHERE c_custkey % 50 <> 0 UNION ALL SELECT NULL, count(*) + 0.5 FROM customer GROUP BY c_nationkey""", doubles=("percent",))
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.coverage(spark.createDataFrame([(COVERAGE,)], "text string"))
-
-
-ISSUES = json.dumps([{"filename": f"f{i % 3}.py", "code": "E1", "message": f"m{i}", "location": {"row": i, "column": 1}} for i in range(25)])
+    """A coverage report a nation, as JSON."""
+    k = F.col("c_custkey")
+    file = F.when(k % 50 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("/__main__.py"))).otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit(".py")))
+    one = F.struct(file.alias("key"), F.struct(F.struct(F.col("c_acctbal").alias("percent_covered")).alias("summary")).alias("value"))
+    body = F.struct(F.struct((F.count("*") + 0.5).alias("percent_covered")).alias("totals"), F.map_from_entries(F.collect_list(one)).alias("files"))
+    return L.coverage(table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(body).alias("text")))
 
 
-@query("SELECT 'r' AS id, 'f' || CAST(i % 3 AS VARCHAR) || '.py' AS file, CAST(i AS INTEGER) AS line, 'E1' AS code, 'm' || CAST(i AS VARCHAR) AS message, 25 AS total FROM range(20) AS t(i)")
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS total FROM part)
+SELECT p_brand AS id, concat(replace(p_name, ' ', '_'), '.py') AS file, p_size AS line, concat('E', p_partkey % 9) AS code, concat('m', p_partkey) AS message, total FROM p WHERE k <= 20""")
 def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.lint_issues(spark.createDataFrame([("r", ISSUES)], "id string, text string"))
-
-
-@query("SELECT * FROM (VALUES ('R1', 'm', 'h'), ('R2', 'd', NULL), ('R3', '', 'k')) AS t(rule_id, message, fix_hint)")
+    """A linter's report a brand, as JSON: the first twenty issues of each are shown."""
+    k = F.col("p_partkey")
+    issue = F.struct(k.alias("k"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".py")).alias("filename"), F.concat(F.lit("E"), (k % 9).cast("string")).alias("code"), F.concat(F.lit("m"), k.cast("string")).alias("message"), F.struct(F.col("p_size").alias("row"), F.lit(1).alias("column")).alias("location"))
+    return L.lint_issues(table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(issue))).alias("text")))
+
+
+@query("""WITH p AS (SELECT p_brand AS b, p_partkey AS k, p_size AS s FROM part)
+SELECT b AS id, greatest(0, 100 - 5 * count_if(s > 47)) AS format_score, least(greatest(0, 100 - 5 * count_if(s = 7)), CASE WHEN bool_or(s = 50) THEN 50 ELSE 100 END) AS type_score, greatest(0, 100 - 15 * count_if(s = 11 AND k % 3 > 0)) AS audit_score, greatest(0, 100 - 10 * count_if(s = 13 AND NOT (k % 4 = 1 AND k % 5 = 0))) AS hygiene_score FROM p GROUP BY 1""", longs=("format_score", "type_score", "audit_score", "hygiene_score"))
+def tool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a formatter, a type checker, a vulnerability scanner and a dependency checker, as JSON a brand, and their scores."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(F.lit("Dep_"), k.cast("string"))
+    some = lambda when, what: F.collect_list(F.when(when, what))
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(
+        F.to_json(F.struct(some(size > 47, name).alias("files"))).alias("format"),
+        F.to_json(F.struct(some(size == 7, F.struct(F.lit("error").alias("severity"))).alias("diagnostics"), (~F.bool_or(size == 50)).alias("complete"))).alias("types"),
+        F.to_json(F.struct(some(size == 11, F.struct(F.when(k % 3 == 0, "pip").otherwise(name).alias("name"), F.array(F.struct(F.lit("V1").alias("id"))).alias("vulns"))).alias("dependencies"))).alias("audit"),
+        F.to_json(some(size == 13, F.struct(F.concat(F.lit("DEP00"), (k % 4 + 1).cast("string")).alias("code"), name.alias("module")))).alias("hygiene"),
+    )
+    known = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("dep-"), k.cast("string")).alias("name"))
+    return L.tool_scores(rows, known).select("id", *[F.col(c).cast("long").alias(c) for c in ("format_score", "type_score", "audit_score", "hygiene_score")])
+
+
+@query("""SELECT o_orderkey, concat('R', o_custkey) AS rule_id, CASE o_orderkey % 3 WHEN 2 THEN '' ELSE o_orderpriority END AS message, CASE o_orderkey % 3 WHEN 1 THEN NULL ELSE o_orderstatus END AS fix_hint FROM orders""")
 def failure_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("R1", None, "m", None, "h", None), (None, "R2", None, "d", None, None), ("R3", "x", None, None, None, "k")]
-    return L.normalise_failures(spark.createDataFrame(rows, "rule_id string, name string, message string, detail string, fix_hint string, hint string"))
+    """Payloads in two shapes and a mixture."""
+    k, rule = F.col("o_orderkey") % 3, F.concat(F.lit("R"), F.col("o_custkey").cast("string"))
+    when = lambda hit, x: F.when(hit, x)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", when(k != 1, rule).alias("rule_id"), when(k == 1, rule).alias("name"), when(k == 0, F.col("o_orderpriority")).alias("message"), when(k == 1, F.col("o_orderpriority")).alias("detail"), when(k == 0, F.col("o_orderstatus")).alias("fix_hint"), when(k == 2, F.col("o_orderstatus")).alias("hint"))
+    return L.normalise_failures(rows, ["o_orderkey"])
 
 
-@query("SELECT * FROM (VALUES ('src', true, 1), ('src/shop', true, 2), ('tests', true, 1), ('tests/test_cart.py', false, 2), ('tests/test_pricing.py', false, 2)) AS t(path, is_dir, level)")
+@query(facts("modules", "docs") + """, f AS (SELECT path FROM modules_ UNION ALL SELECT path FROM docs_), p AS (SELECT string_split(path, '/') AS p FROM f)
+SELECT DISTINCT array_to_string(p[1:i], '/') AS path, i < len(p) AS is_dir, i AS level FROM p, (SELECT unnest([1, 2]) AS i) WHERE i <= len(p)""", longs=("level",))
 def directory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.listing(spark.createDataFrame(FILES, "path string, text string"), 2)
+    files = sources(spark, sf_dir).select("path").unionByName(docs(spark, sf_dir).select("path"))
+    return L.listing(files, 2).withColumn("level", F.col("level").cast("long"))
 
 
 @query("SELECT doc_id AS path, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS text FROM documents")
@@ -326,16 +433,18 @@ def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.truncate(F.col("text"), 60).alias("text"))
 
 
-@query(f"WITH {values('m', ['path', 'module', 'test'], [('src/shop/__init__.py', 'shop', False), ('src/shop/a/b.py', 'shop.a.b', False), ('tests/test_a.py', 'tests.test_a', True), ('shop/testing.py', 'shop.testing', False)])} SELECT path, module, test FROM m")
+@query(facts("modules") + r"SELECT path, module, regexp_matches(module, '(^|\.)(tests($|\.)|test_)') AS test FROM modules_ UNION ALL SELECT replace(path, '.py', '/__init__.py'), module, regexp_matches(module, '(^|\.)(tests($|\.)|test_)') FROM modules_")
 def module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("src/shop/__init__.py",), ("src/shop/a/b.py",), ("tests/test_a.py",), ("shop/testing.py",)], "path string")
-    return rows.withColumn("module", X.module_name(F.col("path"))).withColumn("test", X.is_test_module(F.col("module")))
+    """Dotted names of modules, and of packages in their place."""
+    files = sources(spark, sf_dir).select("path")
+    every = files.unionByName(files.select(F.replace("path", F.lit(".py"), F.lit("/__init__.py")).alias("path")))
+    return every.withColumn("module", X.module_name(F.col("path"))).withColumn("test", X.is_test_module(F.col("module")))
 
 
-@query("""SELECT p_name AS name, lower(p_name || ' ' || p_brand || ' ' || p_type) AS entry FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#2') AND p_size = 7 ORDER BY name, entry LIMIT 20""")
+@query("""SELECT p_name AS name, lower(p_name || ' ' || p_brand || ' ' || p_type) AS entry FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#2') ORDER BY name, entry LIMIT 20""")
 def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type"))
-    return table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_name").alias("name"), entry.alias("entry")).where(F.contains("entry", F.lit("brand#2"))).orderBy("name", "entry").limit(20)
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), entry.alias("entry")).where(F.contains("entry", F.lit("brand#2"))).orderBy("name", "entry").limit(20)
 
 
 @query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS part, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part),

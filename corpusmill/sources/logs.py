@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "\x1f"
@@ -58,9 +58,42 @@ def lint_issues(reports: DataFrame, shown: int = 20) -> DataFrame:
     return ranked.where(F.col("place") <= shown).drop("place")
 
 
-def normalise_failures(payloads: DataFrame) -> DataFrame:
-    """Two payload shapes of failed rules in one: (rule_id, message, fix_hint)."""
-    return payloads.select(F.coalesce("rule_id", "name").alias("rule_id"), F.coalesce("message", "detail", F.lit("")).alias("message"), F.coalesce("fix_hint", "hint").alias("fix_hint"))
+# fixed values: packages of the environment itself, whose vulnerabilities are not the project's
+ENVIRONMENT = ["pip", "setuptools", "wheel", "uv"]
+FORMAT, TYPES = "struct<files:array<string>>", "struct<diagnostics:array<struct<severity:string>>,complete:boolean>"
+AUDIT, HYGIENE = "struct<dependencies:array<struct<name:string,vulns:array<struct<id:string>>>>>", "array<struct<code:string,module:string>>"
+INCOMPLETE = 50
+
+
+def tool_scores(reports: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, format_score, type_score, audit_score, hygiene_score) from the JSON reports of four tools.
+
+    reports: id, format, types, audit, hygiene. Unformatted files, errors of types, vulnerable packages but those of
+    the environment, and dependency issues count; an unused dependency that `known` (name) has is none, and the score
+    of a type check that could not see its whole environment is capped. A missing report counts no findings.
+    """
+    from corpusmill.functions.score import PENALTIES, penalty_score
+    from corpusmill.sources.python_rules import unused_dependencies
+
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    parsed = reports.select("id", F.from_json("format", FORMAT)["files"].alias("files"), F.from_json("types", TYPES).alias("types"), F.from_json("audit", AUDIT)["dependencies"].alias("packages"), F.from_json("hygiene", HYGIENE).alias("issues"))
+    errors = size(F.filter("types.diagnostics", lambda d: d["severity"] == "error"))
+    own = size(F.filter("packages", lambda d: (F.size(d["vulns"]) > 0) & ~F.lower(d["name"]).isin(ENVIRONMENT)))
+    left = unused_dependencies(parsed.select("id", F.inline("issues")), known, keep=["id"]).groupBy("id").agg(F.count("*").alias("n"))
+    typed = penalty_score(errors, PENALTIES["QUALITY_TYPE"])
+    typed = F.when(F.coalesce("types.complete", F.lit(True)), typed).otherwise(F.least(typed, F.lit(INCOMPLETE)))
+    scored = parsed.select("id", penalty_score(size(F.col("files")), PENALTIES["QUALITY_FORMAT"]).alias("format_score"), typed.alias("type_score"), penalty_score(own, PENALTIES["DEPS_AUDIT"]).alias("audit_score"))
+    return scored.join(left, "id", "left").select("id", "format_score", "type_score", "audit_score", penalty_score(F.coalesce("n", F.lit(0)), PENALTIES["DEPS_HYGIENE"]).alias("hygiene_score"))
+
+
+def status_fields(line: Column) -> dict[str, Column]:
+    """The two-letter status and the path of a version-control status line."""
+    return {"status": F.substring(line, 1, 2), "path": F.substring(line, 4, 1 << 20)}
+
+
+def normalise_failures(payloads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Two payload shapes of failed rules in one: (rule_id, message, fix_hint), after the columns kept."""
+    return payloads.select(*(keep or []), F.coalesce("rule_id", "name").alias("rule_id"), F.coalesce("message", "detail", F.lit("")).alias("message"), F.coalesce("fix_hint", "hint").alias("fix_hint"))
 
 
 HISTORY = "ts string, repo string, sha string, branch string, kind string, score double, grade string, fails array<struct<rule_id:string,message:string,fix_hint:string>>"

@@ -205,3 +205,10 @@ def test_pairs(t: DataFrame, across: float = 0.95, within: float = 0.8) -> DataF
     both_raise = x.join(y, F.col("raises_a") & F.col("raises_b") & (F.col("call_sig_a") == F.col("call_sig_b")) & ordered).select("key_a", "key_b", F.lit(3).alias("order"), F.lit("raises").alias("signal"))
     every = same_name.unionByName(same_file).unionByName(same_calls).unionByName(both_raise)
     return every.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(F.min_by("signal", "order").alias("signal"))
+
+
+def unused_dependencies(issues: DataFrame, known: DataFrame, code: str = "DEP002", keep: list[str] | None = None) -> DataFrame:
+    """issues (code, module, and the columns to keep) without the unused ones that are entry points or optional after all (known: name, normalised)."""
+    name = F.regexp_replace(F.lower("module"), "[-_.]+", "-")
+    own = known.select("name", F.lit(code).alias("code"))
+    return issues.withColumn("name", name).join(own, ["code", "name"], "left_anti").select(*(keep or []), "code", "module")

@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import module_name
@@ -192,6 +192,18 @@ def read_files(spark: SparkSession, root: str, suffix: str = ".py", files_a_task
     return listed.mapInPandas(load, "path string, text string")
 
 
+def is_source(path: Column, skipped: list[str] = SKIPPED_SEGMENTS, suffix: str = ".py") -> Column:
+    """Whether a path is a source file outside the skipped folders."""
+    return F.endswith(path, F.lit(suffix)) & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, skipped)))
+
+
+def tree_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change) between two fingerprints (path, modified): added, removed or modified."""
+    both = before.select("path", F.col("modified").alias("old")).join(after.select("path", F.col("modified").alias("new")), "path", "full_outer")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
+    return both.select("path", change.alias("change")).where("change is not null")
+
+
 def fingerprint(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
     """(path, modified) of every source file: equal tables mean that nothing changed."""
     return spark.createDataFrame([(p, i.mtime_ns) for p, i in _tree(root, suffix)], "path string, modified long")
@@ -214,11 +226,3 @@ def views(modules: DataFrame) -> dict[str, DataFrame]:
         out[name] = modules.select("path", "module", F.explode(name).alias("x")).select("path", "module", "x.*")
     out["refs"] = modules.select("path", "module", F.explode("refs").alias("name"))
     return out
-
-
-def module_rows(files: list[tuple[str, str]]) -> list[dict]:
-    """Parsed rows of a few files on the driver, for fixtures."""
-    import re
-
-    name = lambda p: re.sub(r"^src/", "", re.sub(r"(^|/)__init__$", "", re.sub(r"\.py$", "", p))).replace("/", ".")
-    return [parse(p, t, name(p)) for p, t in files]

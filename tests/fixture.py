@@ -225,36 +225,3 @@ DOCS = [
     ("docs/howto.md", "# How to\n\n## Cart\n\nSee the guide.\n\n#### deep\n\ntext\n"),
 ]
 
-LOG = """\x1fa1
-src/cart.py
-src/pricing.py
-logo.png
-\x1fb2
-src/cart.py
-src/pricing.py
-src/util.py
-\x1fc3
-src/cart.py
-\x1fd4
-src/pricing.py
-src/cart.py
-README.md
-\x1fe5
-src/util.py
-src/cart.py
-src/pricing.py
-"""
-
-SUBJECTS = [
-    "a1b2c3d feat(cart): add bulk rule",
-    "fix: round prices",
-    "feat!: new price table",
-    "docs(readme): explain rates",
-    "deadbee refactor(core)!: split modules",
-    "Merge branch main",
-    "chore: tidy BREAKING CHANGE: drops old keys",
-    "perf: cache lookups",
-    "Feat: wrong case",
-    "feat: add sirens",
-    "face up to facts",
-]

@@ -1,5 +1,5 @@
 from corpusmill.operators import code as C
-from corpusmill.plans.fixture import FILES
+from fixture import FILES
 from corpusmill.sources import logs as L
 from corpusmill.sources import python_rules as R
 from corpusmill.sources import python_source as P
