@@ -411,4 +411,5 @@ def _worth(c: Column, kind: T.DataType) -> Column:
 
 def drop_nulls(text: Column, schema: T.StructType) -> Column:
     """JSON objects of a known schema without null and empty values, by built-ins alone; fields come in the schema's order."""
-    return F.coalesce(F.to_json(_worth(F.from_json(text, schema), schema)), F.lit("{}"))
+    once = F.transform(F.array(F.from_json(text, schema)), lambda x: F.to_json(_worth(x, schema)))  # a bound value is parsed once
+    return F.coalesce(F.element_at(once, 1), F.lit("{}"))
