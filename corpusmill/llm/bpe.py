@@ -30,9 +30,11 @@ ROLL = 48
 #: Chunks are about two to this power bytes on average, and have so many words at least.
 CHUNK_BITS, LEAST_WORDS = 9, 4
 #: A worker keeps encodings of about so many bytes of chunks and so many words; the oldest go first.
-KEEP_BYTES = 24 << 20
-BATCH_BYTES = 1 << 20
-KEEP_WORDS = 400_000
+KEEP_BYTES = 16 << 20
+BATCH_BYTES = 1 << 19
+KEEP_WORDS = 150_000
+#: What a kept chunk takes beside its ids and counts, and how many texts the library gets at once.
+ENTRY, AT_ONCE = 400, 2048
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -100,8 +102,11 @@ class Encoder:
         return out
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in got]
+        out: list[bytes] = []
+        for a in range(0, len(texts), AT_ONCE):  # the library's results are many times as large as the ids
+            got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[a : a + AT_ONCE]], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in got]
+        return out
 
     @staticmethod
     def _chunks(at: np.ndarray, data: np.ndarray) -> tuple[list[int], list[int], list[int], np.ndarray]:
@@ -152,10 +157,10 @@ class Encoder:
         found = self._ids(pieces)
         for key, i in fresh.items():
             self.chunks[key] = found[i]
-            self.kept += 5 * len(found[i][1]) + len(found[i][0]) + 200
+            self.kept += 4 * len(found[i][1]) + len(found[i][0]) + ENTRY
         while self.kept > KEEP_BYTES and self.chunks:
             _, (ids, counts) = self.chunks.popitem(last=False)
-            self.kept -= 5 * len(counts) + len(ids) + 200
+            self.kept -= 4 * len(counts) + len(ids) + ENTRY
         return [x if isinstance(x, tuple) else found[x] for x in out]
 
     def _joins(self, raw: bytes, joins: list[int], chunks: list[tuple[bytes, array]], begins: np.ndarray, starts: list[int]) -> dict[int, tuple[int, bytes, int]]:
