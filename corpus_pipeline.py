@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, decontaminate, langid, simhash, toxicity
+from corpusmill.llm.common import bound_batches
 from corpusmill.session import cut_lineage, ensure_checkpoint_dir, remove, table
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, dict[str, str]], DataFrame], keep: Column) -> DataFrame:
     """The rows of docs that `keep` allows after `judge` added its columns to them under neutral names."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
     own = [f"_in{i}" for i in range(len(names))]
     judged = judge(docs.toDF(*own), {n: own[names.index(n)] for n in ("doc_id", "text", "lang")})

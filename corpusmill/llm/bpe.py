@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import _power, mix, slices, text_buffer
+from corpusmill.llm.common import bound_batches, mix, _power, slices, text_buffer
 
 ROLL = 48
 #: Chunks are about two to this power bytes on average, and have so many words at least.
@@ -259,6 +259,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 
 def op5(docs: DataFrame, path: str | None = None) -> DataFrame:
+    bound_batches(docs.sparkSession)
     if path is None:
         import public_tokenizers
 

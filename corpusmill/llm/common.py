@@ -6,15 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked through in slices of about so many bytes, which bounds the arrays built from them.
 SLICE_BYTES = 1 << 18
+#: Rows go to and from Python in batches of about so many bytes.
+BATCH_LIMIT = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to BATCH_LIMIT bytes, unless it is lower already: texts of any length then
+    take about as much memory in an executor and its Python workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_LIMIT:
+        spark.conf.set(name, str(BATCH_LIMIT))
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

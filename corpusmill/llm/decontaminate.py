@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import byte_table, slices, text_buffer
+from corpusmill.llm.common import bound_batches, byte_table, slices, text_buffer
 from corpusmill.session import cut_lineage, release
 
 WINDOW = 10
@@ -187,6 +187,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
 
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = find_contamination(rows, benchmark)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.common import bound_batches
 from corpusmill.session import cut_lineage, release
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)""", re.S)
@@ -756,5 +757,6 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 
 def op6(pages: DataFrame) -> DataFrame:
+    bound_batches(pages.sparkSession)
     out = main_text(pages.select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))

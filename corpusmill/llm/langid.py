@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import slices, sum_packed, text_buffer
+from corpusmill.llm.common import bound_batches, slices, sum_packed, text_buffer
 
 SIZES = (1, 2, 3)
 BUCKET_BITS = 16
@@ -189,6 +189,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     from corpusmill.llm.common import fold
 
     model = fit(docs, fold("doc_id", 4) != 2)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import _power, byte_table, mix, slices, span_hashes, sum_packed
+from corpusmill.llm.common import bound_batches, byte_table, mix, _power, slices, span_hashes, sum_packed
 from corpusmill.session import cut_lineage
 
 MARK = "▁".encode()
@@ -398,6 +398,7 @@ def score_texts(docs: DataFrame, vocabulary: str, train: Column, id_col: str = "
 
 
 def op10(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    bound_batches(docs.sparkSession)
     from corpusmill.llm.common import fold
 
     if vocabulary is None:

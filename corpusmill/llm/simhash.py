@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import byte_table, slices
+from corpusmill.llm.common import bound_batches, byte_table, slices
 from corpusmill.operators.graph import connected_components
 from corpusmill.session import cut_lineage, release
 
@@ -238,4 +238,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import byte_table, fold, slices, span_hashes, spans, text_buffer
+from corpusmill.llm.common import bound_batches, byte_table, fold, slices, span_hashes, spans, text_buffer
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -293,6 +293,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text",
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     model = fit(docs, labels, fold("doc_id", 5) != 0)
     rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"), "lang")
     out = score_toxicity(rows, model)
