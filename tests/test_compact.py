@@ -37,6 +37,14 @@ def test_rewrites(name, text, want):
     assert K.attempt(name, K.load(text)).text == want
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ('<a href="/x,">x,</a><a href="/y">y</a>\nEnd, here.', "text"),  # a quote that opens a cell and closes inside it
+    ('<a href="/x,">x</a>\nEnd, here.', "csv"), ('a,"b\nc,d', "csv"), ("a,b\n1," + "2" * 200_000, "csv"), ("a,b\x85c\n1,2", "csv"), ('a,b\n"1,2",3', "csv"),
+])
+def test_quotes_in_grids(text, want):
+    assert detect(text) == want
+
+
 @pytest.mark.parametrize(("text", "want"), FORMATS)
 def test_formats(text, want):
     assert detect(text) == want
