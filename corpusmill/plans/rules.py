@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import score as S
 from corpusmill.operators import governance as V
 from corpusmill.plans.registry import query
-from corpusmill.session import table
+from corpusmill.session import cut_lineage, release, table
 from corpusmill.sources import python_rules as R
 
 Q = "concat(chr(34), chr(34), chr(34))"
@@ -124,8 +124,11 @@ def rescued_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.operators import rescue
 
     files = tests(spark, sf_dir)
-    features = R._scan(files, rescue.features, rescue.FEATURES, [c.split()[0] for c in rescue.FEATURES.split(", ")])
-    return rescue.rescue(R.test_pairs(R.scan_tests(files)), features)
+    found = cut_lineage(R._scan(files, rescue.scan, rescue.SCAN, [c.split()[0] for c in rescue.SCAN.split(", ")]))
+    scanned = found.withColumn("raises", F.col("called")).select("path", "name", "class_name", "line", "call_sig", "raises", "statements")
+    pairs = R.test_pairs(scanned, judge=lambda members: rescue.judge(members, found.drop("called")))
+    release(found)
+    return pairs
 
 
 @query("""WITH f AS (SELECT c_custkey AS k, c_custkey % 2 = 0 AS io, c_custkey % 3 = 0 AS process, c_custkey % 5 < 3 AS public, c_custkey % 7 < 2 AS internal FROM customer)
